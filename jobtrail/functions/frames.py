@@ -44,7 +44,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 
 def salted_join(rows: DataFrame, stats: DataFrame, by: Sequence[str], spread: Sequence[str],
-                salts: int = SALTS) -> DataFrame:
+                salts: int = SALTS, how: str = "inner") -> DataFrame:
     """Join many rows per key with the one row of statistics of that key.
 
     Each key is cut into ``salts`` parts by the hash of the ``spread`` columns
@@ -55,4 +55,4 @@ def salted_join(rows: DataFrame, stats: DataFrame, by: Sequence[str], spread: Se
         return attach(rows, stats, "_stats").select(*rows.columns, "_stats.*")
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return null_safe_join(left, right, [*by, "_salt"]).drop("_salt")
+    return null_safe_join(left, right, [*by, "_salt"], how).drop("_salt")
