@@ -70,13 +70,13 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, values: Sequence[s
     timeline whose gaps are filled by a last-value scan; left rows then find
     their instant by an equi-join.
     """
-    slots = left.select(*by, on).distinct().withColumn("_seen", F.lit(None).cast(
-        right.select(F.struct(*values)).schema[0].dataType)).withColumn("_asked", F.lit(True))
-    points = right.select(*by, on, F.struct(*values).alias("_seen"), F.lit(False).alias("_asked"))
-    timeline = slots.unionByName(points).groupBy(*by, on).agg(
-        F.any_value("_seen", True).alias("_seen"), F.bool_or("_asked").alias("_asked"))
+    seen = F.struct(*values)
+    kind = right.select(seen.alias("s")).schema["s"].dataType
+    slots = left.select(*by, on, F.lit(None).cast(kind).alias("_seen"))
+    points = right.select(*by, on, seen.alias("_seen"))
+    timeline = slots.unionByName(points).groupBy(*by, on).agg(F.any_value("_seen", True).alias("_seen"))
     filled = key_scan(timeline, on, [Scan("_last", "last", "_seen")], by=by)
-    found = filled.where("_asked").select(*by, on, *[F.col(f"_last.{v}").alias(v) for v in values])
+    found = filled.select(*by, on, *[F.col(f"_last.{v}").alias(v) for v in values])
     return null_safe_join(left, found, [*by, on], "left")
 
 

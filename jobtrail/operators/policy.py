@@ -137,7 +137,9 @@ def wilcoxon(diffs: DataFrame, by: str = "policy") -> DataFrame:
     """
     d = F.col("diff")
     ties = diffs.where(d.isNotNull() & (d != 0)).groupBy(by, F.abs(d).cast("bigint").alias("size")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(d > 0).alias("n_pos"))
+        F.count_if(d > 0).alias("n_pos"), F.count_if(d < 0).alias("_neg"))
+    # Both branches of the scan read both counts, so the counting is planned once.
+    ties = ties.select(by, "size", "n_pos", (F.col("n_pos") + F.col("_neg")).alias("n"))
     ranked = key_scan(ties, "size", [Scan("_upto", "sum", "n")], by=[by])
     n = F.col("n").cast("decimal(18,0)")
     # Twice the mean rank of a tie group stays an integer.

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobtrail.functions.frames import attach, single_row
 from jobtrail.operators.quantiles import values_at_ranks
 from jobtrail.operators.scan import with_ordinal
 
@@ -14,36 +13,36 @@ TIME_ORDER = ("arrival_us", "job_id")
 HASH_ORDER = ("_hash", "job_id")
 
 
-def cut_points(df: DataFrame, ranks: Mapping[str, Column], order: Sequence[str] = TIME_ORDER) -> DataFrame:
+def cut_points(df: DataFrame, ranks: Mapping[str, Column], order: Sequence[str] = TIME_ORDER) -> dict:
     """Where the rows at 0-based ``ranks`` lie in the order (BIGINT column, unique BIGINT tie-break).
 
     ``ranks`` are expressions over the row count ``total``. The leading column
-    is located from counts per value; only rows holding a located value are
-    then ranked by the tie-break. The one resulting row has ``<name>_lead`` and
-    ``<name>_tie`` (null beyond the last row) and ``total``.
+    is located from counts per value; then only rows holding a located value
+    are ranked by the tie-break. The result, a (lead, tie) pair per name or None
+    beyond the last row, is all that comes to the driver, so a split becomes a
+    comparison with constants that later scans can push down.
     """
     keys = df.select(F.col(order[0]).cast("bigint").alias("value"), F.col(order[1]).cast("bigint").alias("_tie"))
     counted = keys.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("_key", F.col("value"))
-    leads = values_at_ranks(counted, ranks).select("total", *[
-        c for name, rank in ranks.items()
-        for c in (F.col(name).alias(f"{name}_lead"), (rank - F.col(f"{name}_before")).alias(f"{name}_rest"))])
-    found = single_row(leads)
-    tied = attach(keys, leads, "_c").where(F.array_contains(
-        F.array(*[F.col(f"_c.{name}_lead") for name in ranks]), F.col("value")))
-    counted_ties = tied.groupBy(F.col("value").alias("_at"), F.col("_tie").alias("value")) \
+    found = values_at_ranks(counted, ranks).select(
+        *ranks, *[(rank - F.col(f"{name}_before")).alias(f"{name}_rest") for name, rank in ranks.items()]).first()
+    inside = {name: found for name in ranks if found is not None and found[name] is not None}
+    if not inside:
+        return {name: None for name in ranks}
+    tied = keys.where(F.col("value").isin(sorted({found[name] for name in inside}))) \
+        .groupBy(F.col("value").alias("_at"), F.col("_tie").alias("value")) \
         .agg(F.count(F.lit(1)).alias("n")).withColumn("_key", F.col("value"))
-    picks = values_at_ranks(counted_ties, {n: found.getField(f"{n}_rest") for n in ranks}, by=["_at"])
-    ties = attach(picks.select("_at", *ranks), leads, "_c").select(*[
-        F.when(F.col("_at") == F.col(f"_c.{n}_lead"), F.col(n)).alias(f"{n}_tie") for n in ranks])
-    return attach(ties.agg(*[F.max(c).alias(c) for c in ties.columns]), leads, "_c").select(
-        "_c.total", *[F.col(f"_c.{n}_lead") for n in ranks], *[f"{n}_tie" for n in ranks])
+    ties = values_at_ranks(tied, {n: F.lit(found[f"{n}_rest"]).cast("bigint") for n in inside}, by=["_at"]) \
+        .agg(*[F.max(F.when(F.col("_at") == found[n], F.col(n))).alias(n) for n in inside]).first()
+    return {name: (found[name], ties[name]) if name in inside else None for name in ranks}
 
 
-def _precedes(order: Sequence[str], cut: str) -> Column:
+def _precedes(order: Sequence[str], cut: tuple | None) -> Column:
     """True for rows before the cut; a cut beyond the last row has all rows before it."""
+    if cut is None:
+        return F.lit(True)
     lead, tie = F.col(order[0]), F.col(order[1])
-    at_lead, at_tie = F.col(f"_cut.{cut}_lead"), F.col(f"_cut.{cut}_tie")
-    return at_lead.isNull() | (lead < at_lead) | ((lead == at_lead) & (tie < at_tie))
+    return (lead < cut[0]) | ((lead == cut[0]) & (tie < cut[1]))
 
 
 def _test_rows(test_size: float) -> Column:
@@ -53,9 +52,7 @@ def _test_rows(test_size: float) -> Column:
 def chrono_split(jobs: DataFrame, test_size: float = 0.2, order: Sequence[str] = TIME_ORDER) -> DataFrame:
     """Add ``split``: the last ``ceil(test_size * n)`` jobs in time are ``test``, the others ``train``."""
     cuts = cut_points(jobs, {"test": F.col("total") - _test_rows(test_size)}, order)
-    return (attach(jobs, cuts, "_cut")
-            .withColumn("split", F.when(_precedes(order, "test"), F.lit("train")).otherwise(F.lit("test")))
-            .drop("_cut"))
+    return jobs.withColumn("split", F.when(_precedes(order, cuts["test"]), F.lit("train")).otherwise(F.lit("test")))
 
 
 def chrono_val_split(jobs: DataFrame, test_size: float = 0.2, val_size: float = 0.2, seq_len: int = 10,
@@ -70,9 +67,9 @@ def chrono_val_split(jobs: DataFrame, test_size: float = 0.2, val_size: float =
     n_val = F.greatest(F.floor(n_windows.cast("double") * F.lit(val_size)).cast("bigint"), F.lit(1))
     cuts = cut_points(jobs, {"warm": F.lit(seq_len - 1).cast("bigint"), "val": n_train - n_val, "test": n_train},
                       order)
-    label = (F.when(~_precedes(order, "test"), "test").when(_precedes(order, "warm"), "warmup")
-             .when(_precedes(order, "val"), "train").otherwise("val"))
-    return attach(jobs, cuts, "_cut").withColumn("split", label).drop("_cut")
+    label = (F.when(~_precedes(order, cuts["test"]), "test").when(_precedes(order, cuts["warm"]), "warmup")
+             .when(_precedes(order, cuts["val"]), "train").otherwise("val"))
+    return jobs.withColumn("split", label)
 
 
 def _hash(seed: int) -> Column:
@@ -84,9 +81,8 @@ def hash_split(jobs: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataF
     # 40 hash bits spread the jobs over 2**18 key blocks; the job id breaks ties.
     hashed = jobs.withColumn("_hash", F.shiftrightunsigned(_hash(seed), 24))
     cuts = cut_points(hashed, {"train": _test_rows(test_size)}, HASH_ORDER)
-    return (attach(hashed, cuts, "_cut")
-            .withColumn("split", F.when(_precedes(HASH_ORDER, "train"), F.lit("test")).otherwise(F.lit("train")))
-            .drop("_cut", "_hash"))
+    part = F.when(_precedes(HASH_ORDER, cuts["train"]), F.lit("test")).otherwise(F.lit("train"))
+    return hashed.withColumn("split", part).drop("_hash")
 
 
 def with_fold(jobs: DataFrame, folds: int = 3, seed: int = 42, name: str = "fold") -> DataFrame:
