@@ -33,6 +33,9 @@ def attach(df: DataFrame, row: DataFrame, name: str = "_row") -> DataFrame:
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; key columns come from the left."""
+    nullable = {f.name for f in left.schema.fields if f.nullable}
+    if not nullable.intersection(on):
+        return left.join(right, list(on), how).select(*left.columns, *[c for c in right.columns if c not in on])
     renamed = right.select(
         *[F.col(c).alias(f"_r_{c}") for c in on],
         *[c for c in right.columns if c not in on],

@@ -9,7 +9,8 @@ Two ways to cut:
   the key without its low bits. A block holds at most 2**LEAF_BITS keys, a
   parent at most 2**PARENT_BITS blocks and the top at most
   2**(64 - LEAF_BITS - PARENT_BITS) parents, whatever the data. Callers
-  aggregate rows of one key first, so a hot instant is one row here.
+  aggregate rows of one key first, so a hot instant is one row here. Plans that
+  read less than SMALL_BYTES use wider blocks: the whole input then fits one.
 * ``range_blocks`` + ``block_scan`` for any order with unique tie-breaks: the
   rows are range-partitioned by (group, order), so blocks are even even if one
   group or instant holds most rows. The cut is written out once because later
@@ -27,6 +28,8 @@ from jobtrail.functions.frames import null_safe_join
 from jobtrail.operators.checkpoints import materialise
 
 LEAF_BITS = 22
+SMALL_LEAF_BITS = 36
+SMALL_BYTES = 64 << 20
 PARENT_BITS = 20
 BLOCK = "_block"
 
@@ -123,8 +126,15 @@ def block_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], scans: Se
     ])
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Spark's size estimate of what the plan reads; no job runs. Unknown sizes come out huge."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def with_key_blocks(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn(BLOCK, F.shiftright(F.col(key).cast("bigint"), LEAF_BITS))
+    bits = SMALL_LEAF_BITS if _input_bytes(df) <= SMALL_BYTES else LEAF_BITS
+    return df.withColumn(BLOCK, F.shiftright(F.col(key).cast("bigint"), bits))
 
 
 def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] = (),

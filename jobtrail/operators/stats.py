@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobtrail.functions.expressions import exact_mean, order_key, to_seconds
+from jobtrail.functions.expressions import exact_mean, to_seconds
 from jobtrail.functions.frames import attach, require_columns
 from jobtrail.operators.quantiles import quantiles, value_counts
 from jobtrail.operators.scan import Scan, key_scan
@@ -91,30 +93,53 @@ def verify_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot(["rows"], list(columns), "column", "_v").select("column", "rows", "_v.*")
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+def _pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Co-moments of all ordered column pairs over rows where both are present.
+
+    Dozens of pairs exceed what one generated aggregation handles well, so each
+    task multiplies its batches as matrices and emits one row per pair. Values
+    are shifted by the column means, which keeps the sums small.
+    """
+    names = list(columns)
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    shift = np.array([m or 0.0 for m in values.agg(*[F.avg(c).alias(c) for c in names]).first()])
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = np.zeros((6, len(names), len(names)))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            there = ~np.isnan(x)
+            x, there = np.where(there, x - shift, 0.0), there.astype(float)
+            sums, squares = x.T @ there, (x * x).T @ there
+            totals += np.stack([there.T @ there, sums, sums.T, squares, squares.T, x.T @ x])
+        a, b = (i.ravel() for i in np.indices((len(names), len(names))))
+        yield pd.DataFrame({"a": np.take(names, a), "b": np.take(names, b),
+                            **{c: t.ravel() for c, t in zip(("n", "sa", "sb", "qa", "qb", "p"), totals)}})
+
+    partial = values.mapInPandas(moments, "a string, b string, n double, sa double, sb double, "
+                                          "qa double, qb double, p double")
+    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+
+
+def _pearson(moments: DataFrame) -> DataFrame:
+    n = F.col("n")
+    spread_a = F.col("qa") - F.try_divide(F.col("sa") * F.col("sa"), n)
+    spread_b = F.col("qb") - F.try_divide(F.col("sb") * F.col("sb"), n)
+    # What rounding leaves of a constant column counts as no spread.
+    varies = (spread_a > F.col("qa") * 1e-14) & (spread_b > F.col("qb") * 1e-14)
+    joint = F.col("p") - F.try_divide(F.col("sa") * F.col("sb"), n)
+    return moments.select("a", "b", F.when(varies, joint / (F.sqrt(spread_a) * F.sqrt(spread_b))).alias("corr"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all ordered pairs in one aggregation; null for a constant column."""
-    names = list(columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in names]).agg(*[
-        _pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    entries = []
-    for a, b in pairs:
-        entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("corr")))
-        if a != b:
-            entries.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"{a}|{b}").alias("corr")))
-    return wide.select(F.inline(F.array(*entries)))
+    """Pearson correlation of all ordered pairs, pairwise complete; null for a constant column."""
+    return _pearson(_pair_moments(df, columns))
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Correlation of each column with the target, strongest positive first."""
-    wide = df.agg(*[_pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
-    return wide.unpivot([], list(columns), "column", "corr").orderBy(F.desc("corr"), "column")
+    pairs = _pair_moments(df, [*columns, target]).where((F.col("b") == target) & (F.col("a") != target))
+    return _pearson(pairs).select(F.col("a").alias("column"), "corr").orderBy(F.desc_nulls_last("corr"), "column")
 
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from jobtrail.schema import EXPERIMENT
 from jobtrail.sources.traces import _path_exists
@@ -21,8 +21,8 @@ def write_experiments(df: DataFrame, path: str) -> None:
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     """All experiments under ``path``: folders written here, or plain ``<name>.json`` files."""
     if not _path_exists(spark, path):
-        return spark.createDataFrame([], "experiment string, metrics struct<>, best_params map<string,string>") \
-            .select("experiment", F.lit(None).cast(EXPERIMENT["metrics"].dataType).alias("metrics"), "best_params")
+        named = T.StructType([T.StructField("experiment", T.StringType()), *EXPERIMENT.fields])
+        return spark.createDataFrame([], named)
     loaded = (spark.read.schema(EXPERIMENT).option("multiLine", True)
               .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path))
     file = F.url_decode(F.col("_metadata.file_path"))
@@ -40,10 +40,22 @@ def read_experiment(spark: SparkSession, path: str, name: str) -> DataFrame | No
 
 
 def experiment_table(experiments: DataFrame) -> DataFrame:
-    """Metrics as columns, best first within each experiment track (the part before the model)."""
+    """Metrics of each experiment as columns."""
     return experiments.select("experiment", "metrics.*")
 
 
+def comparison_table(experiments: DataFrame, labels: DataFrame) -> DataFrame:
+    """Experiments under their ``track`` and ``model`` label, best MAE first within a track.
+
+    ``labels`` has one row ``(experiment, track, model)`` per experiment to show;
+    there is one row per trained model, so the table is small.
+    """
+    rows = experiment_table(experiments).join(labels, "experiment")
+    within = Window.partitionBy("track").orderBy(F.col("mae").asc_nulls_last(), "model")
+    return rows.select("track", "model", "mae", "rmse", "r2", F.row_number().over(within).alias("place")) \
+        .orderBy("track", "place")
+
+
 def champion_parameters(experiments: DataFrame) -> DataFrame:
     """Chosen parameters of each experiment as one JSON text."""
     return experiments.select("experiment", F.to_json("best_params").alias("params"))

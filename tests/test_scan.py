@@ -12,6 +12,12 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+@pytest.fixture(autouse=True, params=["narrow", "wide"])
+def blocks(request, monkeypatch):
+    if request.param == "narrow":
+        monkeypatch.setattr(scans, "SMALL_BYTES", 0)
+
+
 @pytest.fixture(params=[1, 4, 17])
 def partitions(request, spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -50,6 +56,7 @@ def test_key_scan_independent_of_block_width(spark, monkeypatch):
     outcomes = []
     for leaf, parent in ((2, 3), (10, 4), (16, 8), (22, 20)):
         monkeypatch.setattr(scans, "LEAF_BITS", leaf)
+        monkeypatch.setattr(scans, "SMALL_BYTES", 0)
         monkeypatch.setattr(scans, "PARENT_BITS", parent)
         outcomes.append(rows(key_scan(df, "t", [Scan("s", "sum", "v"), Scan("m", "max", "v")])))
     assert all(o == outcomes[0] for o in outcomes)
