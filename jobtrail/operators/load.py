@@ -72,11 +72,11 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, values: Sequence[s
     """
     seen = F.struct(*values)
     kind = right.select(seen.alias("s")).schema["s"].dataType
-    slots = left.select(*by, on, F.lit(None).cast(kind).alias("_seen"))
-    points = right.select(*by, on, seen.alias("_seen"))
-    timeline = slots.unionByName(points).groupBy(*by, on).agg(F.any_value("_seen", True).alias("_seen"))
-    filled = key_scan(timeline, on, [Scan("_last", "last", "_seen")], by=by)
-    found = filled.select(*by, on, *[F.col(f"_last.{v}").alias(v) for v in values])
+    points = right.select(*by, on, F.lit(0).alias("_asked"), seen.alias("_seen"))
+    slots = left.select(*by, on).distinct().select(*by, on, F.lit(1).alias("_asked"), F.lit(None).cast(kind).alias("_seen"))
+    # At one instant the point comes first, so an exact match counts.
+    filled = key_scan(points.unionByName(slots), on, [Scan("_last", "last", "_seen")], by=by, order=["_asked"])
+    found = filled.where(F.col("_asked") == 1).select(*by, on, *[F.col(f"_last.{v}").alias(v) for v in values])
     return null_safe_join(left, found, [*by, on], "left")
 
 

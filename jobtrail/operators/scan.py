@@ -22,9 +22,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from jobtrail.functions.frames import null_safe_join
 from jobtrail.operators.checkpoints import materialise
 
 LEAF_BITS = 22
@@ -51,7 +50,8 @@ def _block_value(scan: Scan, order: Sequence[str]) -> Column:
     if scan.op == "max":
         return F.max(c)
     if scan.op == "last":
-        return F.max_by(c, F.when(c.isNotNull(), F.struct(*order)))
+        position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+        return F.max_by(c, F.when(c.isNotNull(), position))
     raise ValueError(f"Unknown scan: {scan.op!r}")
 
 
@@ -88,44 +88,72 @@ def _inherited(blocks: DataFrame, by: Sequence[str], scans: Sequence[Scan], widt
     parents = children.groupBy(*by, "_parent").agg(*[
         _block_value(Scan(s.name, s.op, f"_v_{s.name}"), [BLOCK]).alias(f"_v_{s.name}") for s in scans
     ]).withColumnRenamed("_parent", BLOCK)
-    above = _inherited(parents, by, scans, higher).withColumnRenamed(BLOCK, "_parent")
-    above = above.select(*by, "_parent", *[F.col(f"_h_{s.name}").alias(f"_u_{s.name}") for s in scans])
+    above = _inherited(parents, by, scans, higher).select(
+        *by, F.col(BLOCK).alias("_parent"), *[F.col(f"_h_{s.name}").alias(f"_u_{s.name}") for s in scans])
     within = Window.partitionBy(*by, "_parent").orderBy(BLOCK)
     local = children.select(*by, BLOCK, "_parent", *[
         _running(s, f"_v_{s.name}", within, True).alias(f"_l_{s.name}") for s in scans if s.op != "total"
     ])
-    joined = null_safe_join(local, above, [*by, "_parent"])
-    return joined.select(*by, BLOCK, *[
+    return local.join(above, [*by, "_parent"]).select(*by, BLOCK, *[
         (F.col(f"_u_{s.name}") if s.op == "total"
          else _combine(s, F.col(f"_u_{s.name}"), F.col(f"_l_{s.name}"))).alias(f"_h_{s.name}")
         for s in scans
     ])
 
 
+def solid_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Stand-ins without nulls for nullable group columns, so that plain equality keeps null groups.
+
+    Window, totals and join then agree on one partitioning of the rows.
+    """
+    keys, added = [], {}
+    for i, field in enumerate(df.schema[c] for c in by):
+        if not field.nullable:
+            keys.append(field.name)
+            continue
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.NumericType):
+            added[f"_g{i}"] = F.coalesce(value, F.lit(0).cast(field.dataType))
+        else:
+            added[f"_g{i}"] = F.coalesce(value.cast("string"), F.lit(""))
+        added[f"_n{i}"] = value.isNull()
+        keys += [f"_g{i}", f"_n{i}"]
+    return (df.withColumns(added) if added else df), keys
+
+
 def block_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
                  widths: Sequence[int] = ()) -> DataFrame:
-    """Per block: its own value (``_v_*``) and what it inherits (``_h_*``)."""
+    """Per block: its own value (``_v_*``) and what it inherits (``_h_*``); ``by`` has no nulls."""
     values = df.groupBy(*by, BLOCK).agg(*[_block_value(s, order).alias(f"_v_{s.name}") for s in scans])
-    return null_safe_join(values, _inherited(values, by, scans, widths), [*by, BLOCK])
+    return values.join(_inherited(values, by, scans, widths), [*by, BLOCK])
 
 
-def block_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
-               widths: Sequence[int] = ()) -> DataFrame:
-    """Add the running columns to a frame that carries a block column."""
-    values = df.groupBy(*by, BLOCK).agg(*[_block_value(s, order).alias(f"_v_{s.name}") for s in scans])
-    carried = _inherited(values, by, scans, widths)
-    window = Window.partitionBy(*by, BLOCK).orderBy(*order)
+def _scan_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
+                 widths: Sequence[int], keep: Sequence[str]) -> DataFrame:
+    # The mark reads every column: totals and rows then need the same input, which is planned once.
+    values = df.groupBy(*keys, BLOCK).agg(
+        F.max(F.hash(*df.columns)).alias("_mark"),
+        *[_block_value(s, order).alias(f"_v_{s.name}") for s in scans])
+    carried = _inherited(values.where(F.col("_mark").isNotNull()), keys, scans, widths)
+    window = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     local = df.select("*", *[
         _running(s, s.column, window, s.before).alias(f"_l_{s.name}") for s in scans if s.op != "total"
     ])
-    joined = null_safe_join(local, carried, [*by, BLOCK])
-    return joined.select(*df.columns, *[
+    # One carried row per block: hashing that side leaves the rows where they are.
+    joined = local.join(carried.hint("shuffle_hash"), [*keys, BLOCK])
+    return joined.select(*keep, *[
         (F.col(f"_h_{s.name}") if s.op == "total"
          else _combine(s, F.col(f"_h_{s.name}"), F.col(f"_l_{s.name}"))).alias(s.name)
         for s in scans
     ])
 
 
+def block_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], scans: Sequence[Scan]) -> DataFrame:
+    """Add the running columns to a frame that carries a block column."""
+    solid, keys = solid_keys(df, by)
+    return _scan_blocks(solid, keys, order, scans, (), df.columns)
+
+
 def _input_bytes(df: DataFrame) -> int:
     """Spark's size estimate of what the plan reads; no job runs. Unknown sizes come out huge."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -134,7 +162,9 @@ def _input_bytes(df: DataFrame) -> int:
 
 def with_key_blocks(df: DataFrame, key: str) -> DataFrame:
     bits = SMALL_LEAF_BITS if _input_bytes(df) <= SMALL_BYTES else LEAF_BITS
-    return df.withColumn(BLOCK, F.shiftright(F.col(key).cast("bigint"), bits))
+    # A block known not to be null adds no null filter on one side of the later self-joins,
+    # so the sides stay equal and share their exchange.
+    return df.withColumn(BLOCK, F.coalesce(F.shiftright(F.col(key).cast("bigint"), bits), F.lit(0).cast("bigint")))
 
 
 def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] = (),
@@ -144,8 +174,9 @@ def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] =
     ``order`` names finer columns that agree with the key (for example the
     DOUBLE the key was made from).
     """
-    blocked = with_key_blocks(df, key)
-    return block_scan(blocked, by, [key, *order], scans, (PARENT_BITS,)).drop(BLOCK)
+    solid, keys = solid_keys(with_key_blocks(df, key), by)
+    placed = solid.repartition(*keys, BLOCK)
+    return _scan_blocks(placed, keys, [key, *order], scans, (PARENT_BITS,), df.columns)
 
 
 def range_blocks(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobtrail.operators.quantiles import values_at_ranks
+from jobtrail.operators.quantiles import values_at_ranks, weighted_values
 from jobtrail.operators.scan import with_ordinal
 
 TIME_ORDER = ("arrival_us", "job_id")
@@ -17,14 +17,13 @@ def cut_points(df: DataFrame, ranks: Mapping[str, Column], order: Sequence[str]
     """Where the rows at 0-based ``ranks`` lie in the order (BIGINT column, unique BIGINT tie-break).
 
     ``ranks`` are expressions over the row count ``total``. The leading column
-    is located from counts per value; then only rows holding a located value
-    are ranked by the tie-break. The result, a (lead, tie) pair per name or None
+    is located first; then only rows holding a located value are ranked by the
+    tie-break. The result, a (lead, tie) pair per name or None
     beyond the last row, is all that comes to the driver, so a split becomes a
     comparison with constants that later scans can push down.
     """
     keys = df.select(F.col(order[0]).cast("bigint").alias("value"), F.col(order[1]).cast("bigint").alias("_tie"))
-    counted = keys.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("_key", F.col("value"))
-    found = values_at_ranks(counted, ranks).select(
+    found = values_at_ranks(weighted_values(keys, "value"), ranks).select(
         *ranks, *[(rank - F.col(f"{name}_before")).alias(f"{name}_rest") for name, rank in ranks.items()]).first()
     inside = {name: found for name in ranks if found is not None and found[name] is not None}
     if not inside:

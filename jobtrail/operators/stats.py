@@ -94,40 +94,50 @@ def verify_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Co-moments of all ordered column pairs over rows where both are present.
+    """Sums, and products around each task's own means, of all ordered column pairs.
 
-    Dozens of pairs exceed what one generated aggregation handles well, so each
-    task multiplies its batches as matrices and emits one row per pair. Values
-    are shifted by the column means, which keeps the sums small.
+    Only rows where both columns are present count for a pair. Dozens of pairs
+    exceed what one generated aggregation handles well, so each task multiplies
+    its batches as matrices and emits one row per pair.
     """
     names = list(columns)
     values = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    shift = np.array([m or 0.0 for m in values.agg(*[F.avg(c).alias(c) for c in names]).first()])
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((6, len(names), len(names)))
+        n, s, q, p = np.zeros((4, len(names), len(names)))
+        shift = None
         for batch in batches:
             x = batch.to_numpy(dtype=float)
             there = ~np.isnan(x)
+            if shift is None:
+                # A rough centre keeps the sums of squares small.
+                shift = np.where(there, x, 0.0).sum(0) / np.maximum(there.sum(0), 1)
             x, there = np.where(there, x - shift, 0.0), there.astype(float)
-            sums, squares = x.T @ there, (x * x).T @ there
-            totals += np.stack([there.T @ there, sums, sums.T, squares, squares.T, x.T @ x])
-        a, b = (i.ravel() for i in np.indices((len(names), len(names))))
-        yield pd.DataFrame({"a": np.take(names, a), "b": np.take(names, b),
-                            **{c: t.ravel() for c, t in zip(("n", "sa", "sb", "qa", "qb", "p"), totals)}})
-
-    partial = values.mapInPandas(moments, "a string, b string, n double, sa double, sb double, "
-                                          "qa double, qb double, p double")
-    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+            n, s, q, p = n + there.T @ there, s + x.T @ there, q + (x * x).T @ there, p + x.T @ x
+        if shift is None:
+            return
+        rows = np.maximum(n, 1.0)
+        mean_a = s / rows + shift[:, None]
+        mean_b = s.T / rows + shift[None, :]
+        out = {"n": n, "sa": n * mean_a, "sb": n * mean_b, "aa": n * mean_a * mean_a, "bb": n * mean_b * mean_b,
+               "ab": n * mean_a * mean_b, "va": q - s * s / rows, "vb": (q - s * s / rows).T, "vab": p - s * s.T / rows}
+        a, b = (i.ravel() for i in np.indices(n.shape))
+        yield pd.DataFrame({"a": np.take(names, a), "b": np.take(names, b), **{c: m.ravel() for c, m in out.items()}})
+
+    sums = ["n", "sa", "sb", "aa", "bb", "ab", "va", "vb", "vab"]
+    partial = values.mapInPandas(moments, "a string, b string, " + ", ".join(f"{c} double" for c in sums))
+    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def _pearson(moments: DataFrame) -> DataFrame:
-    n = F.col("n")
-    spread_a = F.col("qa") - F.try_divide(F.col("sa") * F.col("sa"), n)
-    spread_b = F.col("qb") - F.try_divide(F.col("sb") * F.col("sb"), n)
+    def around_mean(inner: str, products: str, left: str, right: str) -> Column:
+        between = F.col(products) - F.try_divide(F.col(left) * F.col(right), F.col("n"))
+        return F.col(inner) + between
+
+    spread_a, spread_b = around_mean("va", "aa", "sa", "sa"), around_mean("vb", "bb", "sb", "sb")
     # What rounding leaves of a constant column counts as no spread.
-    varies = (spread_a > F.col("qa") * 1e-14) & (spread_b > F.col("qb") * 1e-14)
-    joint = F.col("p") - F.try_divide(F.col("sa") * F.col("sb"), n)
+    varies = (spread_a > F.col("aa") * 1e-14) & (spread_b > F.col("bb") * 1e-14)
+    joint = around_mean("vab", "ab", "sa", "sb")
     return moments.select("a", "b", F.when(varies, joint / (F.sqrt(spread_a) * F.sqrt(spread_b))).alias("corr"))
 
 

@@ -16,7 +16,7 @@ from jobtrail.functions.expressions import epoch_micros, log10p1, to_seconds
 from jobtrail.operators import (
     arrivals, capacity, checkpoints, features, load, metrics, ml, policy, prep, queueing, sequences, splits, stats,
 )
-from jobtrail.plans.features import engineered_jobs, prepare_features
+from jobtrail.plans.features import add_features, engineered_jobs, prepare_features
 from jobtrail.schema import NUMERIC_FEATURES, TARGET, heterogeneous_cluster, node_classes
 from jobtrail.sources.events import events_trace
 from jobtrail.streaming import arrival_counts, collect_counts, run_available
@@ -411,7 +411,7 @@ def sequences_test(spark, sf_dir):
 
 @query
 def feature_table(spark, sf_dir):
-    table = splits.chrono_split(engineered(spark, sf_dir))
+    table = add_features(split_jobs(spark, sf_dir))
     return table.select("job_id", *NUMERIC_FEATURES, "user", "gpu_type", TARGET, "split")
 
 

@@ -34,10 +34,15 @@ class FeatureSet:
         return self.assembled.where(F.col("split") == "test")
 
 
+def add_features(jobs: DataFrame) -> DataFrame:
+    """Add time of day, filled categories and offered load to a job table."""
+    return offered_load(fill_unknown(add_temporal_features(jobs)))
+
+
 def engineered_jobs(raw: DataFrame, time_unit: str = "s", gpu_mode: str = "truncate",
                     extra: Sequence[str] = ()) -> DataFrame:
-    """Job table with time of day, filled categories and offered load."""
-    return offered_load(fill_unknown(add_temporal_features(job_table(raw, time_unit, gpu_mode, extra))))
+    """Job table of a raw trace with all features."""
+    return add_features(job_table(raw, time_unit, gpu_mode, extra))
 
 
 def prepare_features(raw: DataFrame | None = None, processed: DataFrame | None = None, time_unit: str = "s",
@@ -51,9 +56,10 @@ def prepare_features(raw: DataFrame | None = None, processed: DataFrame | None =
         raise ValueError(f"Unknown feature_mode: {feature_mode!r}")
     if (raw is None) == (processed is None):
         raise ValueError("Give either a raw trace or a processed job table.")
-    jobs = engineered_jobs(raw, time_unit, extra=extra) if processed is None else fill_unknown(processed)
+    jobs = job_table(raw, time_unit, extra=extra) if processed is None else fill_unknown(processed)
+    # Splitting the plain table finds the cut without computing the load first.
     split = hash_split(jobs, test_size, seed) if shuffle else chrono_split(jobs, test_size)
-    kept = materialise(split)
+    kept = materialise(add_features(split) if processed is None else split)
     numeric, categorical = feature_columns(kept)
     inputs, categories = assemble(kept.withColumn("label", F.col(TARGET)), kept.where(F.col("split") == "train"),
                                   numeric, categorical, feature_mode)
