@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobtrail.functions.expressions import order_key
 from jobtrail.functions.frames import attach
-from jobtrail.operators.scan import BLOCK, PARENT_BITS, Scan, block_totals, solid_keys, with_key_blocks
+from jobtrail.operators.scan import BLOCK, Scan, block_totals, solid_keys, with_key_blocks
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -42,9 +42,10 @@ def values_at_ranks(counted: DataFrame, ranks: Mapping[str, Column], by: Sequenc
     ``weighted_values``. ``ranks`` maps a name to a BIGINT expression over the group size ``total``.
     The result has ``<name>`` and ``<name>_before`` per entry, plus ``total``.
     """
-    keyed, keys = solid_keys(with_key_blocks(counted, "_key"), by)
+    blocked, widths = with_key_blocks(counted, "_key")
+    keyed, keys = solid_keys(blocked, by)
     counts = [Scan("before", "sum", "n", before=True), Scan("total", "total", "n")]
-    blocks = block_totals(keyed, keys, ["_key"], counts, (PARENT_BITS,)).select(
+    blocks = block_totals(keyed, keys, ["_key"], counts, widths).select(
         *keys, BLOCK, F.coalesce("_h_before", F.lit(0)).alias("_lo"),
         F.col("_v_before").alias("_size"), F.col("_h_total").alias("total"))
     wanted = F.lit(False)

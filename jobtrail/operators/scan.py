@@ -10,7 +10,8 @@ Two ways to cut:
   parent at most 2**PARENT_BITS blocks and the top at most
   2**(64 - LEAF_BITS - PARENT_BITS) parents, whatever the data. Callers
   aggregate rows of one key first, so a hot instant is one row here. Plans that
-  read less than SMALL_BYTES use wider blocks: the whole input then fits one.
+  read less than SMALL_BYTES use wider blocks without parents: the whole input
+  then fits one task.
 * ``range_blocks`` + ``block_scan`` for any order with unique tie-breaks: the
   rows are range-partitioned by (group, order), so blocks are even even if one
   group or instant holds most rows. The cut is written out once because later
@@ -160,11 +161,13 @@ def _input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def with_key_blocks(df: DataFrame, key: str) -> DataFrame:
-    bits = SMALL_LEAF_BITS if _input_bytes(df) <= SMALL_BYTES else LEAF_BITS
+def with_key_blocks(df: DataFrame, key: str) -> tuple[DataFrame, tuple[int, ...]]:
+    """Add the block of each key; also returns the widths of the levels above the blocks."""
+    bits, widths = (SMALL_LEAF_BITS, ()) if _input_bytes(df) <= SMALL_BYTES else (LEAF_BITS, (PARENT_BITS,))
     # A block known not to be null adds no null filter on one side of the later self-joins,
     # so the sides stay equal and share their exchange.
-    return df.withColumn(BLOCK, F.coalesce(F.shiftright(F.col(key).cast("bigint"), bits), F.lit(0).cast("bigint")))
+    block = F.coalesce(F.shiftright(F.col(key).cast("bigint"), bits), F.lit(0).cast("bigint"))
+    return df.withColumn(BLOCK, block), widths
 
 
 def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] = (),
@@ -174,9 +177,10 @@ def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] =
     ``order`` names finer columns that agree with the key (for example the
     DOUBLE the key was made from).
     """
-    solid, keys = solid_keys(with_key_blocks(df, key), by)
+    blocked, widths = with_key_blocks(df, key)
+    solid, keys = solid_keys(blocked, by)
     placed = solid.repartition(*keys, BLOCK)
-    return _scan_blocks(placed, keys, [key, *order], scans, (PARENT_BITS,), df.columns)
+    return _scan_blocks(placed, keys, [key, *order], scans, widths, df.columns)
 
 
 def range_blocks(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
