@@ -12,6 +12,10 @@ from jobtrail.operators.scan import with_ordinal
 from jobtrail.operators.splits import chrono_split
 from jobtrail.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 
+# Up to this many categories their names are put into the column's metadata.
+NAMED_CATEGORIES = 10_000
+UNSEEN = "__unseen__"
+
 FEATURE_MODES = ("numeric_only", "with_categorical_native", "with_categorical_onehot", "with_categorical")
 
 
@@ -74,16 +78,21 @@ def onehot_long(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> Data
 def with_category_indexes(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
     """Add ``<column>_index`` marked as categorical; unseen categories share one last index.
 
-    Only the number of categories comes to the driver, for the column's metadata.
+    The number of categories comes to the driver for the column's metadata, and
+    their names too if there are few; with more, features go by index.
     """
     sizes = {}
     for column in columns:
         known = category_index(train, column)
         size = known.count()
+        nominal = {"type": "nominal", "num_vals": size + 1}
+        if size <= NAMED_CATEGORIES:
+            names = [r["category"] for r in known.orderBy("index").collect()]
+            nominal = {"type": "nominal", "vals": [*names, UNSEEN]}
         table = known.select(F.col("category").alias(column), F.col("index").alias("_index"))
         joined = salted_join(df, table, [column], ["job_id"], how="left")
         marked = F.coalesce(F.col("_index"), F.lit(size)).cast("double").alias(
-            f"{column}_index", metadata={"ml_attr": {"type": "nominal", "num_vals": size + 1}})
+            f"{column}_index", metadata={"ml_attr": nominal})
         df = joined.select(*df.columns, marked)
         sizes[column] = size
     return df, sizes

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import re
 import time
 from collections.abc import Mapping, Sequence
 
@@ -116,10 +117,10 @@ def random_search(kind: str, train: DataFrame, space: Mapping[str, Sequence] | N
 
 
 def feature_names(assembled: DataFrame) -> list[str]:
-    """Names of the ``features`` entries, from the vector's metadata."""
+    """Names of the ``features`` entries; a one-hot entry is ``<column>_<category>``."""
     attrs = assembled.schema["features"].metadata["ml_attr"]["attrs"]
     entries = [a for group in attrs.values() for a in group]
-    return [a["name"] for a in sorted(entries, key=lambda a: a["idx"])]
+    return [re.sub(r"^(\w+?)_vector_", r"\1_", a["name"]) for a in sorted(entries, key=lambda a: a["idx"])]
 
 
 def feature_importance(model, assembled: DataFrame, top: int | None = 10) -> DataFrame:

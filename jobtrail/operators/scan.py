@@ -131,9 +131,10 @@ def block_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], scans:
 
 def _scan_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
                  widths: Sequence[int], keep: Sequence[str]) -> DataFrame:
-    # The mark reads every column: totals and rows then need the same input, which is planned once.
+    # The mark reads every column (maps have no hash): totals and rows then need the same input, which is planned once.
+    hashable = [c for c, dtype in df.dtypes if "map<" not in dtype]
     values = df.groupBy(*keys, BLOCK).agg(
-        F.max(F.hash(*df.columns)).alias("_mark"),
+        F.max(F.hash(*hashable)).alias("_mark"),
         *[_block_value(s, order).alias(f"_v_{s.name}") for s in scans])
     carried = _inherited(values.where(F.col("_mark").isNotNull()), keys, scans, widths)
     window = Window.partitionBy(*keys, BLOCK).orderBy(*order)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobtrail import sources
-from jobtrail.operators import ml, prep
+from jobtrail.operators import features, ml, prep
 from jobtrail.plans.features import engineered_jobs, prepare_features
 from jobtrail.sources.experiments import champion_parameters, comparison_table
 from jobtrail.sources.traces import TracePaths
@@ -120,7 +120,19 @@ def test_prepare_from_processed_and_shuffled(spark, small):
 def test_native_categories_reach_the_learner(spark, small):
     inputs = prepare_features(sources.events_trace(spark, small), time_unit="us", feature_mode="with_categorical_native")
     attrs = inputs.assembled.schema["features"].metadata["ml_attr"]["attrs"]
-    assert [a["num_vals"] for a in attrs["nominal"]] and len(attrs["nominal"]) == 2
+    assert [a["name"] for a in attrs["nominal"]] == ["user_index", "gpu_type_index"]
+    assert [len(a["vals"]) for a in attrs["nominal"]][1] == inputs.train.select("gpu_type").distinct().count() + 1
+
+
+@pytest.mark.parametrize("named", [10_000, 0])
+def test_onehot_importances_are_named(spark, small, monkeypatch, named):
+    monkeypatch.setattr(features, "NAMED_CATEGORIES", named)
+    inputs = prepare_features(sources.events_trace(spark, small), time_unit="us", feature_mode="with_categorical_onehot")
+    model = ml.fit("rf", inputs.train, {"numTrees": 2, "maxDepth": 3})
+    table = ml.feature_importance(model, inputs.assembled, top=None).collect()
+    found = {r["feature"] for r in table}
+    assert sum(r["importance"] for r in table) == pytest.approx(1.0)
+    assert ("gpu_type_click" if named else "gpu_type_0") in found and "gpu_demand" in found
 
 
 def test_early_stopping_needs_fewer_trees(spark, small):
