@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtrail.llm import bpe, token_files
+from jobtrail.llm import bpe, language, mixing, sharding, token_files
 from jobtrail.llm.shared import fresh_folder
 
 # The public vocabulary the queries encode with: entries, and the id put after each document.
@@ -29,13 +29,49 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.map_token_parts(spark, folder)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the corpus, sources weighted by the square root of their bytes."""
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"), power=0.5, epochs=1.0, seed=7)
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.contiguous_shards(table(spark, sf_dir, "documents"), 40)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"), language.id_remainder(5) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op3_mixing, op7_shards, op9_bpe, op10_language)}
+
+
+MIXING_SQL = """
+WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0))::BIGINT AS bytes FROM documents GROUP BY source),
+whole AS (SELECT sum(bytes)::DOUBLE AS all_bytes, sum(pow(bytes::DOUBLE, 0.5)) AS all_weight FROM sizes),
+rates AS (
+  SELECT source, CASE WHEN bytes > 0 THEN pow(bytes::DOUBLE, 0.5) / all_weight * all_bytes / bytes ELSE 1.0 END AS rate
+  FROM sizes, whole),
+pieces AS (SELECT source, rate, greatest(1, ceil(rate / 8.0))::INT AS n, rate / greatest(1, ceil(rate / 8.0)) AS mean
+           FROM rates),
+draws AS (
+  SELECT d.*, p.source AS _s, p.mean,
+         ('0x' || substr(md5('7|' || d.doc_id || '|' || k.k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  FROM documents d JOIN pieces p ON d.source IS NOT DISTINCT FROM p.source, generate_series(1, p.n) AS k(k)),
+counts AS (
+  SELECT doc_id, sum(list_count(list_filter(list_transform(range(0, 70), lambda j:
+           list_sum(list_transform(range(0, j + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1))))),
+           lambda c: c <= u)))::BIGINT AS n
+  FROM draws GROUP BY doc_id)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy::INT AS mix_copy,
+       ('0x' || substr(md5('order7|' || d.doc_id || '|' || c.copy), 1, 15))::BIGINT AS mix_order
+FROM documents d JOIN counts USING (doc_id), generate_series(0, n - 1) AS c(copy)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": MIXING_SQL}
