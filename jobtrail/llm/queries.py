@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtrail.llm import bpe, language, mixing, sharding, token_files
+from jobtrail.llm import bpe, language, mixing, near_duplicates, nearest, sharding, token_files
 from jobtrail.llm.shared import fresh_folder
 
 # The public vocabulary the queries encode with: entries, and the id put after each document.
@@ -34,6 +34,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), power=0.5, epochs=1.0, seed=7)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contiguous_shards(table(spark, sf_dir, "documents"), 40)
 
@@ -47,7 +55,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_mixing, op7_shards, op9_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_token_files, op3_mixing, op4_near_duplicates, op5_nearest, op7_shards, op9_bpe, op10_language)}
 
 
 MIXING_SQL = """
