@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from jobtrail.llm.shared import shuffle_parts
 
 BLOCK = "_block"
+SUMMARY = -1
 Words = list[bytes]
 
 
@@ -72,14 +73,16 @@ def by_bucket(words: set[bytes] | Sequence[bytes], buckets: int) -> dict[int, Wo
 
 
 def answer_words(packed: DataFrame, count_words: Callable[[pa.Table], tuple[Sequence[bytes], np.ndarray]],
-                 answer: Callable[[Words, np.ndarray], list[bytes] | tuple], columns: str = "") -> DataFrame:
+                 answer: Callable[[Words, np.ndarray], tuple[np.ndarray, np.ndarray]],
+                 summary: Callable[[Words, np.ndarray], bytes] | None = None) -> DataFrame:
     """Send distinct words to their buckets and the answers back.
 
     ``count_words`` gives a block's distinct words and a number for each.
     ``answer`` gets the distinct words of a bucket with the sums of their
     numbers and gives ``(lengths, data)``: the length of each word's answer and
     all answers in one array. Result: ``_block, bucket, answers`` (see
-    ``read_answers``).
+    ``read_answers``). With ``summary`` each bucket adds a row whose block is
+    ``SUMMARY`` and whose answer is the summary of its words.
     """
     buckets = shuffle_parts(packed.sparkSession)
 
@@ -111,7 +114,11 @@ def answer_words(packed: DataFrame, count_words: Callable[[pa.Table], tuple[Sequ
             first = np.cumsum(size) - size
             take = np.repeat(ends[at] - size - first, size) + np.arange(int(size.sum()))
             out.append(squeeze(size.astype("<u4").tobytes() + data[take].tobytes()))
-        return pa.table({BLOCK: table.column(BLOCK), "bucket": table.column("bucket"),
+        blocks, bucket = table.column(BLOCK).to_pylist(), table.column("bucket")[0].as_py()
+        if summary is not None:
+            blocks.append(SUMMARY)
+            out.append(summary(list(place), sums[:len(place)]))
+        return pa.table({BLOCK: pa.array(blocks, pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()),
                          "answers": pa.array(out, pa.binary())})
 
     sent = packed.groupBy(BLOCK).applyInArrow(send, f"{BLOCK} int, bucket int, words binary, numbers binary")
@@ -129,6 +136,15 @@ def read_answers(words: Sequence[bytes], table: pa.Table, buckets: int, dtype: s
     return out
 
 
+def read_numbers(words: Sequence[bytes], table: pa.Table, buckets: int) -> dict[bytes, int]:
+    """Word -> its answer, where every answer is one number."""
+    sent, out = by_bucket(words, buckets), {}
+    for bucket, packed in zip(table.column("bucket").to_pylist(), table.column("answers").to_pylist()):
+        names = sent[bucket]
+        out.update(zip(names, np.frombuffer(unsqueeze(packed), "<i8", offset=4 * len(names)).tolist()))
+    return out
+
+
 def join_answers(packed: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table],
                  schema: str) -> DataFrame:
     """Give each block's rows and its answers to ``finish``."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtrail.llm import bpe, language, mixing, near_duplicates, nearest, sharding, token_files
+from jobtrail.llm import bpe, language, language_model, mixing, near_duplicates, nearest, sharding, token_files
 from jobtrail.llm.shared import fresh_folder
 
 # The public vocabulary the queries encode with: entries, and the id put after each document.
@@ -46,6 +46,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contiguous_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"), language.id_remainder(7) == 2)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -55,7 +59,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_mixing, op4_near_duplicates, op5_nearest, op7_shards, op9_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_token_files, op3_mixing, op4_near_duplicates, op5_nearest, op7_shards, op8_language_model, op9_bpe, op10_language)}
 
 
 MIXING_SQL = """
