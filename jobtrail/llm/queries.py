@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtrail.llm import bpe, language, language_model, mixing, near_duplicates, nearest, sharding, token_files
+from jobtrail.llm import bpe, fingerprints, language, language_model, mixing, near_duplicates, nearest, sharding, token_files
 from jobtrail.llm.shared import fresh_folder
 
 # The public vocabulary the queries encode with: entries, and the id put after each document.
@@ -29,6 +29,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.map_token_parts(spark, folder)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over the corpus, sources weighted by the square root of their bytes."""
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), power=0.5, epochs=1.0, seed=7)
@@ -59,7 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_mixing, op4_near_duplicates, op5_nearest, op7_shards, op8_language_model, op9_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_mixing, op4_near_duplicates, op5_nearest, op7_shards, op8_language_model, op9_bpe, op10_language)}
 
 
 MIXING_SQL = """
