@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtrail.llm import bpe, fingerprints, language, language_model, mixing, near_duplicates, nearest, sharding, token_files
+from jobtrail.llm import bpe, fingerprints, language, language_model, licenses, mixing, near_duplicates, nearest, sharding, token_files
 from jobtrail.llm.shared import fresh_folder
 
 # The public vocabulary the queries encode with: entries, and the id put after each document.
@@ -46,6 +46,14 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source, a hundred to a directory in the order of their ids."""
+    number = F.col("doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(number / 10_000).cast("string"),
+                       (F.floor(number / 100) % 100).cast("string"), number.cast("string"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contiguous_shards(table(spark, sf_dir, "documents"), 40)
 
@@ -63,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_mixing, op4_near_duplicates, op5_nearest, op7_shards, op8_language_model, op9_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_mixing, op4_near_duplicates, op5_nearest, op6_licenses, op7_shards, op8_language_model, op9_bpe, op10_language)}
 
 
 MIXING_SQL = """
