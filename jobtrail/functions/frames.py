@@ -14,7 +14,7 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     """Check names at plan time; no job runs."""
     for name in names:
         if name not in df.columns:
-            raise ValueError(f"Required column '{name}' not found in input DataFrame.")
+            raise ValueError(f"Required column {name!r} is absent; there are {df.columns}.")
 
 
 def single_row(df: DataFrame) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster.")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
     sc.setCheckpointDir(folder)

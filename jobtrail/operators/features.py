@@ -30,7 +30,7 @@ def feature_matrix(jobs: DataFrame, numeric: Sequence[str], categorical: Sequenc
     """Inputs and ``label`` of each job with its chronological ``split``."""
     for name in [*numeric, *categorical, target]:
         if name not in jobs.columns:
-            raise ValueError(f"Column '{name}' not found in job table.")
+            raise ValueError(f"The job table has no {name!r}.")
     split = chrono_split(jobs, test_size)
     return split.select("job_id", *numeric, *categorical, F.col(target).alias("label"), "split")
 

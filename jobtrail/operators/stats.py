@@ -94,51 +94,48 @@ def verify_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sums, and products around each task's own means, of all ordered column pairs.
+    """Sums, products and ranges around the columns' means, of all ordered column pairs.
 
     Only rows where both columns are present count for a pair. Dozens of pairs
     exceed what one generated aggregation handles well, so each task multiplies
-    its batches as matrices and emits one row per pair.
+    its batches as matrices and emits one row per pair. The centre is one for
+    all tasks, so their sums simply add up, without cancelling large terms.
     """
     names = list(columns)
     values = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    centres = values.agg(*[F.avg(c).alias(c) for c in names])
+    around = attach(values, centres, "_centre").select(*[(F.col(c) - F.col(f"_centre.{c}")).alias(c) for c in names])
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, q, p = np.zeros((4, len(names), len(names)))
-        shift = None
+        low, high = np.full((len(names), len(names)), np.inf), np.full((len(names), len(names)), -np.inf)
         for batch in batches:
             x = batch.to_numpy(dtype=float)
             there = ~np.isnan(x)
-            if shift is None:
-                # A rough centre keeps the sums of squares small.
-                shift = np.where(there, x, 0.0).sum(0) / np.maximum(there.sum(0), 1)
-            x, there = np.where(there, x - shift, 0.0), there.astype(float)
+            for j in range(len(names)):
+                both = there & there[:, j:j + 1]
+                low[:, j] = np.minimum(low[:, j], np.where(both, x, np.inf).min(axis=0, initial=np.inf))
+                high[:, j] = np.maximum(high[:, j], np.where(both, x, -np.inf).max(axis=0, initial=-np.inf))
+            x, there = np.where(there, x, 0.0), there.astype(float)
             n, s, q, p = n + there.T @ there, s + x.T @ there, q + (x * x).T @ there, p + x.T @ x
-        if shift is None:
-            return
-        rows = np.maximum(n, 1.0)
-        mean_a = s / rows + shift[:, None]
-        mean_b = s.T / rows + shift[None, :]
-        out = {"n": n, "sa": n * mean_a, "sb": n * mean_b, "aa": n * mean_a * mean_a, "bb": n * mean_b * mean_b,
-               "ab": n * mean_a * mean_b, "va": q - s * s / rows, "vb": (q - s * s / rows).T, "vab": p - s * s.T / rows}
+        out = {"n": n, "sa": s, "sb": s.T, "qa": q, "qb": q.T, "p": p,
+               "la": low, "ha": high, "lb": low.T, "hb": high.T}
         a, b = (i.ravel() for i in np.indices(n.shape))
         yield pd.DataFrame({"a": np.take(names, a), "b": np.take(names, b), **{c: m.ravel() for c, m in out.items()}})
 
-    sums = ["n", "sa", "sb", "aa", "bb", "ab", "va", "vb", "vab"]
-    partial = values.mapInPandas(moments, "a string, b string, " + ", ".join(f"{c} double" for c in sums))
-    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+    parts = ["n", "sa", "sb", "qa", "qb", "p", "la", "ha", "lb", "hb"]
+    partial = around.mapInPandas(moments, "a string, b string, " + ", ".join(f"{c} double" for c in parts))
+    ways = {"l": F.min, "h": F.max}
+    return partial.groupBy("a", "b").agg(*[ways.get(c[0], F.sum)(c).alias(c) for c in parts])
 
 
 def _pearson(moments: DataFrame) -> DataFrame:
-    def around_mean(inner: str, products: str, left: str, right: str) -> Column:
-        between = F.col(products) - F.try_divide(F.col(left) * F.col(right), F.col("n"))
-        return F.col(inner) + between
-
-    spread_a, spread_b = around_mean("va", "aa", "sa", "sa"), around_mean("vb", "bb", "sb", "sb")
-    # What rounding leaves of a constant column counts as no spread.
-    varies = (spread_a > F.col("aa") * 1e-14) & (spread_b > F.col("bb") * 1e-14)
-    joint = around_mean("vab", "ab", "sa", "sb")
-    return moments.select("a", "b", F.when(varies, joint / (F.sqrt(spread_a) * F.sqrt(spread_b))).alias("corr"))
+    def inner(products: str, left: str, right: str) -> Column:
+        return F.col(products) - F.try_divide(F.col(left) * F.col(right), F.col("n"))
+
+    varies = (F.col("la") < F.col("ha")) & (F.col("lb") < F.col("hb"))
+    spread = F.sqrt(inner("qa", "sa", "sa")) * F.sqrt(inner("qb", "sb", "sb"))
+    return moments.select("a", "b", F.when(varies, F.try_divide(inner("p", "sa", "sb"), spread)).alias("corr"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from jobtrail.operators import (
 from jobtrail.plans.features import add_features, engineered_jobs, prepare_features
 from jobtrail.schema import NUMERIC_FEATURES, TARGET, heterogeneous_cluster, node_classes
 from jobtrail.sources.events import events_trace
-from jobtrail.streaming import arrival_counts, collect_counts, run_available
+from jobtrail.streaming import collect_counts, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -324,7 +324,7 @@ def arrival_rate_stream(spark, sf_dir):
         .parquet(f"{sf_dir}/events*.parquet")
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     folder = scratch(spark)
-    run_available(arrival_counts(timed), f"{folder}/counts", f"{folder}/state")
+    run_available(timed, f"{folder}/counts", f"{folder}/state")
     return collect_counts(spark, f"{folder}/counts")
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# Names in raw traces.
 REQUIRED_RAW = ["job_id", "submit_time", "duration", "num_gpu", "user", "gpu_type"]
 OPTIONAL_RAW = ["num_inst", "num_cpu"]
 

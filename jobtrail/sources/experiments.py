@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from jobtrail.schema import EXPERIMENT
@@ -20,17 +22,24 @@ def write_experiments(df: DataFrame, path: str) -> None:
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     """All experiments under ``path``: folders written here, or plain ``<name>.json`` files."""
-    if not _path_exists(spark, path):
-        named = T.StructType([T.StructField("experiment", T.StringType()), *EXPERIMENT.fields])
-        return spark.createDataFrame([], named)
-    loaded = (spark.read.schema(EXPERIMENT).option("multiLine", True)
-              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path))
     file = F.url_decode(F.col("_metadata.file_path"))
-    folder = F.regexp_extract(file, r"experiment=([^/]+)/", 1)
-    stem = F.regexp_extract(file, r"([^/]+)\.json$", 1)
-    named = loaded.select(F.when(folder != "", folder).otherwise(stem).alias("experiment"),
-                          "metrics", "best_params")
-    return named.orderBy("experiment")
+    names = {"experiment=*/*.json": F.regexp_extract(file, r"experiment=([^/]+)/", 1),
+             "*.json": F.regexp_extract(file, r"([^/]+)\.json$", 1)}
+    found = []
+    for pattern, name in names.items():
+        where = f"{path.rstrip('/')}/{pattern}"
+        if _path_exists(spark, where):
+            # Folders hold a record per line, any number of them; a plain file is one document.
+            records = spark.read.schema(EXPERIMENT).option("multiLine", pattern == "*.json").json(where)
+            found.append(records.select(name.alias("experiment"), "metrics", "best_params"))
+    if not found:
+        return spark.createDataFrame([], T.StructType([T.StructField("experiment", T.StringType()), *EXPERIMENT.fields]))
+    return union_experiments(*found).orderBy("experiment")
+
+
+def union_experiments(*records: DataFrame) -> DataFrame:
+    """All records of several sets, by column name."""
+    return reduce(lambda a, b: a.unionByName(b), records)
 
 
 def read_experiment(spark: SparkSession, path: str, name: str) -> DataFrame | None:

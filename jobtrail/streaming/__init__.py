@@ -1,3 +1,3 @@
-from jobtrail.streaming.arrivals import arrival_counts, collect_counts, run_available
+from jobtrail.streaming.arrivals import collect_counts, run_available
 
-__all__ = ["arrival_counts", "collect_counts", "run_available"]
+__all__ = ["collect_counts", "run_available"]

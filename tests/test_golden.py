@@ -30,9 +30,14 @@ def by_id(df, *columns):
 # --- job table ---------------------------------------------------------------
 
 def test_job_table(spark):
-    table = prep.job_table(raw(spark, (1, 1000, 10.0, 1.0, "alice", "T4"), (2, 2000, 20.0, 2.0, "bob", "V100")))
-    assert by_id(table, "job_runtime", "gpu_demand", "arrival_sec") == [(10.0, 1, 0.0), (20.0, 2, 1000.0)]
-    assert str(table.first()["arrival_time"]).startswith("1970-01-01 00:16:40")
+    table = prep.job_table(raw(spark, (5, 7200, 12.5, 3.0, "ida", "L4"), (8, 7950, 90.0, 1.0, "sam", "A10")))
+    assert by_id(table, "job_runtime", "gpu_demand", "arrival_sec") == [(12.5, 3, 0.0), (90.0, 1, 750.0)]
+    assert str(table.orderBy("job_id").first()["arrival_time"]).startswith("1970-01-01 02:00:00")
+
+
+def test_nanoseconds_are_divided_exactly(spark):
+    table = prep.job_table(raw(spark, (1, 1_600_000_000_000_000_999, 1.0, 1.0, "a", "x")), "ns")
+    assert table.first()["arrival_us"] == 1_600_000_000_000_000
 
 
 def test_missing_column(spark):
@@ -146,6 +151,13 @@ def test_correlation(spark):
     assert found["a", "c"] is None and found["c", "c"] is None
 
 
+def test_correlation_far_from_zero(spark):
+    table = spark.range(100).select((F.col("id") + 1.7e9).alias("a"), ((F.col("id") * 37) % 100 + F.col("id") * 1e-3).alias("b"))
+    found = {(r["a"], r["b"]): r["corr"] for r in stats.correlation_matrix(table, ["a", "b"]).collect()}
+    assert found["a", "a"] == pytest.approx(1.0, abs=1e-9)
+    assert found["a", "b"] == pytest.approx(table.corr("a", "b"), abs=1e-6)
+
+
 def test_ecdf_ends_at_one(spark):
     rows = stats.ecdf(numbers(spark, [2, 1, 2, 7, None]), "x").orderBy("value").collect()
     assert [(r["value"], r["ecdf"]) for r in rows] == [(1.0, 0.25), (2.0, 0.75), (7.0, 1.0)]
@@ -254,7 +266,7 @@ def test_unknown_feature_mode(spark):
 
 
 def test_feature_matrix_checks_columns(spark):
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="has no"):
         features.feature_matrix(jobs(spark, (1, 0, 1)), ["nope"], [])
 
 
@@ -266,14 +278,14 @@ def scores(spark, pairs):
 
 
 def test_regression_metrics(spark):
-    row = scores(spark, [(10, 11), (20, 19), (30, 30)])
-    assert row["mae"] == pytest.approx(2 / 3) and row["mdae"] == 1.0
-    assert row["rmse"] == pytest.approx(math.sqrt(2 / 3)) and row["r2"] == pytest.approx(0.99)
+    row = scores(spark, [(4, 7), (12, 8), (16, 16), (8, 6)])
+    assert row["mae"] == pytest.approx(9 / 4) and row["mdae"] == 2.5
+    assert row["rmse"] == pytest.approx(math.sqrt(29 / 4)) and row["r2"] == pytest.approx(1 - 29 / 80)
     assert set(row.asDict()) == {"mae", "rmse", "r2", "mape", "mdae"}
 
 
 def test_mape_ignores_zero_targets(spark):
-    assert scores(spark, [(0, 5), (10, 11)])["mape"] == pytest.approx(0.1)
+    assert scores(spark, [(0, 5), (8, 10)])["mape"] == pytest.approx(0.25)
     assert math.isnan(scores(spark, [(0, 1), (0, 1)])["mape"])
 
 

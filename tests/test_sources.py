@@ -16,7 +16,7 @@ from jobtrail.sources.traces import TracePaths
 def csv_trace(tmp_path):
     path = tmp_path / "trace.csv"
     path.write_text("job_id,submit_time,duration,num_gpu,user,gpu_type,note\n"
-                    "1,1000,10.0,1,alice,T4,x\n2,2000,20.0,0.5,,V100,y\n3,2500,,1,bob,T4,z\n")
+                    "11,4000,35.5,1,ida,L4,x\n12,4600,17.25,0.5,,A10,y\n13,4700,,1,sam,L4,z\n")
     return str(path)
 
 
@@ -32,6 +32,39 @@ def test_missing_file(spark, tmp_path):
         sources.raw_trace(spark, str(tmp_path / "none.csv"))
 
 
+def test_csv_text_times(spark, tmp_path):
+    path = tmp_path / "text.csv"
+    path.write_text("job_id,submit_time,duration,num_gpu,num_cpu,user,gpu_type\n"
+                    "1,2021-03-04 05:06:07,60,1,8.0,u,x\n2,2021-03-04 05:07:07,60,1,,u,x\n")
+    table = prep.job_table(sources.raw_trace(spark, str(path), time_format="yyyy-MM-dd HH:mm:ss")).orderBy("job_id")
+    rows = table.collect()
+    assert [r["arrival_us"] for r in rows] == [1_614_834_367_000_000, 1_614_834_427_000_000]
+    assert [r["num_cpu"] for r in rows] == [8, None]
+    assert prep.job_table(sources.raw_trace(spark, str(path), time_format="iso")).count() == 2
+    with pytest.raises(Exception, match="submit_time holds a value that is no bigint: 2021-03-04 05:06:07"):
+        sources.raw_trace(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("column,value", [("num_cpu", "8.5"), ("duration", "long"), ("job_id", "a1")])
+def test_csv_values_that_do_not_parse_end_the_job(spark, tmp_path, column, value):
+    row = {"job_id": "1", "submit_time": "5", "duration": "2.5", "num_gpu": "1", "num_cpu": "4", "user": "u",
+           "gpu_type": "x", column: value}
+    path = tmp_path / "bad.csv"
+    path.write_text(",".join(row) + "\n" + ",".join(row.values()) + "\n")
+    with pytest.raises(Exception, match=f"Column {column} holds"):
+        sources.raw_trace(spark, str(path)).collect()
+
+
+def test_csv_files_may_order_columns_differently(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("job_id,submit_time,duration,num_gpu,user,gpu_type\n1,100,7,1,u,x\n")
+    (folder / "b.csv").write_text("\ufeffduration,gpu_type,submit_time,job_id,num_gpu,user,num_cpu\n9,y,200,2,2,v,3.0\n")
+    rows = {r["job_id"]: r.asDict() for r in sources.raw_trace(spark, str(folder)).collect()}
+    assert (rows[1]["submit_time"], rows[1]["duration"], rows[1]["num_cpu"]) == (100, 7.0, None)
+    assert (rows[2]["submit_time"], rows[2]["duration"], rows[2]["num_cpu"], rows[2]["gpu_type"]) == (200, 9.0, 3, "y")
+
+
 def test_dispatch(spark, csv_trace, tmp_path):
     paths = TracePaths(main=csv_trace)
     assert sources.load_sample(spark, "main", paths).count() == 3
@@ -58,7 +91,16 @@ def test_csv_sink_has_header(spark, csv_trace, tmp_path):
     path = str(tmp_path / "jobs_csv")
     sources.write_job_table(engineered_jobs(sources.raw_trace(spark, csv_trace)), path, "csv")
     back = spark.read.option("header", True).csv(path)
-    assert {r["user"] for r in back.collect()} == {"alice", "unknown"}
+    assert {r["user"] for r in back.collect()} == {"ida", "unknown"}
+
+
+def test_two_records_of_one_experiment_are_both_read(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    frame = sources.read_experiments(spark, path)
+    metrics = {"mae": 1.0, "rmse": 2.0, "r2": 0.1, "mape": 0.2, "mdae": 0.3, "train_time": 4.0}
+    two = spark.createDataFrame([("e", metrics, {"a": "1"}), ("e", {**metrics, "mae": 9.0}, {"a": "2"})], frame.schema)
+    sources.write_experiments(two.coalesce(1), path)
+    assert sorted(r["metrics"]["mae"] for r in sources.read_experiments(spark, path).collect()) == [1.0, 9.0]
 
 
 def test_experiment_files(spark, tmp_path):
