@@ -9,6 +9,17 @@ from jobtrail.functions.frames import attach, require_columns
 from jobtrail.operators.scan import Scan, key_scan
 
 HOUR_US = 3_600_000_000
+# Grid cells made by one row.
+RUN = 4_096
+
+
+def _grid(ends: DataFrame, name: str) -> DataFrame:
+    """Every integer from ``lo`` to ``hi`` of the one row of ``ends``, in runs that many tasks can share."""
+    runs = ends.where(F.col("hi").isNotNull()).select(
+        "lo", "hi", F.explode(F.expr(f"sequence(0L, (hi - lo) div {RUN})")).alias("_run"))
+    start = F.col("lo") + F.col("_run") * F.lit(RUN)
+    return runs.repartition("_run").select(
+        "lo", F.explode(F.sequence(start, F.least(start + F.lit(RUN - 1), F.col("hi")))).alias(name))
 
 
 def arrival_rate(jobs: DataFrame, width_us: int = HOUR_US) -> DataFrame:
@@ -17,8 +28,7 @@ def arrival_rate(jobs: DataFrame, width_us: int = HOUR_US) -> DataFrame:
     first = jobs.agg(F.min("arrival_us").alias("t0"))
     bin_of = F.floor((F.col("arrival_us") - F.col("_row.t0")) / F.lit(width_us)).cast("bigint")
     counts = attach(jobs, first).groupBy(bin_of.alias("bin")).agg(F.count("job_id").alias("n"))
-    grid = counts.agg(F.max("bin").alias("last")).where(F.col("last").isNotNull()).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("bin"))
+    grid = _grid(counts.agg(F.lit(0).cast("bigint").alias("lo"), F.max("bin").alias("hi")), "bin")
     filled = grid.join(counts, "bin", "left")
     return filled.select("bin", (F.col("bin") * F.lit(width_us) / F.lit(3.6e9)).alias("elapsed_hours"),
                          F.coalesce("n", F.lit(0)).alias("n"))
@@ -30,9 +40,7 @@ def calendar_rate(jobs: DataFrame) -> DataFrame:
     hour = F.floor(F.col("arrival_us") / F.lit(HOUR_US)).cast("bigint")
     counts = jobs.groupBy(hour.alias("hour_index")).agg(F.count(F.lit(1)).alias("n"))
     ends = counts.agg(F.min("hour_index").alias("lo"), F.max("hour_index").alias("hi"))
-    grid = ends.where(F.col("lo").isNotNull()).select(
-        F.col("lo"), F.explode(F.sequence("lo", "hi")).alias("hour_index"))
-    return grid.join(counts, "hour_index", "left").select(
+    return _grid(ends, "hour_index").join(counts, "hour_index", "left").select(
         (F.col("hour_index") * F.lit(HOUR_US)).alias("hour_us"),
         ((F.col("hour_index") - F.col("lo")) / F.lit(24.0)).alias("elapsed_days"),
         F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,15 +7,11 @@ from collections.abc import Sequence
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from jobtrail.functions.frames import attach, require_columns, salted_join
-from jobtrail.operators.scan import with_ordinal
+from jobtrail.functions.frames import attach, require_columns
+from jobtrail.operators.scan import text_ordinal
 from jobtrail.operators.splits import chrono_split
 from jobtrail.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 
-# Up to this many categories their names are put into the column's metadata.
-NAMED_CATEGORIES = 10_000
-UNSEEN = "__unseen__"
-
 FEATURE_MODES = ("numeric_only", "with_categorical_native", "with_categorical_onehot", "with_categorical")
 
 
@@ -60,37 +56,44 @@ def minmax_restore(df: DataFrame, ranges: DataFrame, column: str, source: str) -
 def category_index(train: DataFrame, column: str) -> DataFrame:
     """Categories of the train part numbered from 0 in alphabetical order."""
     values = train.select(F.col(column).alias("category")).where(F.col("category").isNotNull()).distinct()
-    return with_ordinal(values, ["category"], name="index").withColumn("index", F.col("index") - 1)
+    return text_ordinal(values, "category", "index").withColumn("index", F.col("index") - 1)
 
 
 def onehot_long(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The non-zero one-hot entries of each job; categories unseen in train have none."""
     out = None
     for column in columns:
-        known = category_index(train, column).select(F.col("category").alias(column), "index")
-        hit = salted_join(df.select("job_id", column), known, [column], ["job_id"])
-        part = hit.select("job_id", F.concat(F.lit(f"{column}_"), F.col(column)).alias("feature"),
+        known = train.select(column).where(F.col(column).isNotNull()).distinct()
+        part = df.select("job_id", column).join(known, column, "left_semi").select("job_id", F.concat(F.lit(f"{column}_"), F.col(column)).alias("feature"),
                           F.lit(1.0).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def category_names(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature, name``: what the one-hot entries ``<column>_<index>`` stand for."""
+    out = None
+    for column in columns:
+        known = category_index(train, column).select(
+            F.concat(F.lit(f"{column}_"), F.col("index").cast("string")).alias("feature"),
+            F.concat(F.lit(f"{column}_"), F.col("category")).alias("name"))
+        out = known if out is None else out.unionByName(known)
+    return out
+
+
 def with_category_indexes(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
     """Add ``<column>_index`` marked as categorical; unseen categories share one last index.
 
-    The number of categories comes to the driver for the column's metadata, and
-    their names too if there are few; with more, features go by index.
+    Only the number of categories comes to the driver, for the column's
+    metadata; ``category_names`` has the names.
     """
     sizes = {}
     for column in columns:
         known = category_index(train, column)
         size = known.count()
         nominal = {"type": "nominal", "num_vals": size + 1}
-        if size <= NAMED_CATEGORIES:
-            names = [r["category"] for r in known.orderBy("index").collect()]
-            nominal = {"type": "nominal", "vals": [*names, UNSEEN]}
         table = known.select(F.col("category").alias(column), F.col("index").alias("_index"))
-        joined = salted_join(df, table, [column], ["job_id"], how="left")
+        joined = df.join(table, column, "left")
         marked = F.coalesce(F.col("_index"), F.lit(size)).cast("double").alias(
             f"{column}_index", metadata={"ml_attr": nominal})
         df = joined.select(*df.columns, marked)

@@ -8,12 +8,13 @@ import random
 import re
 import time
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
 from jobtrail.operators.metrics import regression_metrics
 from jobtrail.operators.splits import with_fold, with_holdout
@@ -39,8 +40,9 @@ SPACES = {
                "featureSubsetStrategy": ["0.3", "0.5", "0.7"]},
 }
 
-# Share of the train rows held out for early stopping, per learner.
-HOLDOUT = {"gbt": 0.15, "gbt_l1": 0.10}
+# Shares of the train rows held out for early stopping in cross-validation and in the final fit.
+CV_HOLDOUT, FIT_HOLDOUT = 0.15, 0.10
+BOOSTED = ("gbt", "gbt_l1")
 
 
 def estimator(kind: str, params: Mapping | None = None, seed: int = 42, categories: int = 0):
@@ -58,39 +60,51 @@ def estimator(kind: str, params: Mapping | None = None, seed: int = 42, categori
 
 
 def fit(kind: str, train: DataFrame, params: Mapping | None = None, early_stopping: bool = False, seed: int = 42,
-        categories: int = 0):
+        categories: int = 0, holdout: float = FIT_HOLDOUT):
     """Fit one model; early stopping ends boosting when a held-out part stops improving."""
     learner = estimator(kind, params, seed, categories)
-    if early_stopping and kind in HOLDOUT:
-        train = with_holdout(train, HOLDOUT[kind], seed)
+    if early_stopping and kind in BOOSTED:
+        train = with_holdout(train, holdout, seed)
         learner = learner.setValidationIndicatorCol("is_val")
     return learner.fit(train)
 
 
-def evaluate(model, test: DataFrame) -> DataFrame:
-    """Metrics of a model on a test part; negative predictions count as zero."""
-    scored = model.transform(test).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
+def _clipped(column: str, clip: bool) -> Column:
+    return F.greatest(column, F.lit(0.0)) if clip else F.col(column)
+
+
+def evaluate(model, test: DataFrame, clip: bool = False) -> DataFrame:
+    """Metrics of a model on a test part; ``clip`` counts negative predictions as zero."""
+    scored = model.transform(test).withColumn("prediction", _clipped("prediction", clip))
     return regression_metrics(scored, "label", "prediction")
 
 
 def finalise(kind: str, train: DataFrame, test: DataFrame, params: Mapping | None = None, seed: int = 42,
              categories: int = 0):
-    """Fit on all train rows; returns the model and its metrics with the fitting time in seconds."""
+    """Fit on the train rows, boosting with early stopping; the model and its metrics with the seconds of fitting."""
     begin = time.perf_counter()
-    model = fit(kind, train, params, seed=seed, categories=categories)
+    model = fit(kind, train, params, early_stopping=True, seed=seed, categories=categories)
     spent = time.perf_counter() - begin
     return model, evaluate(model, test).withColumn("train_time", F.lit(spent))
 
 
 def _cross_validate(kind: str, train: DataFrame, choices: Sequence[dict], folds: int, seed: int, parallelism: int,
                     categories: int):
-    learner = estimator(kind, seed=seed, categories=categories)
-    grid = [{learner.getParam(k): v for k, v in choice.items()} for choice in choices]
-    search = CrossValidator(
-        estimator=learner, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae"))
-    fitted = search.fit(with_fold(train, folds, seed))
-    ranked = sorted(zip(fitted.avgMetrics, choices, strict=True), key=lambda pair: pair[0])
+    """Mean absolute error of every choice over the folds; boosting stops early on a part of each fold's train rows."""
+    judge = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
+    parts = with_fold(train, folds, seed)
+
+    def error(task: tuple[int, int]) -> float:
+        choice, fold = task
+        model = fit(kind, parts.where(F.col("fold") != fold), choices[choice], early_stopping=True, seed=seed + fold,
+                    categories=categories, holdout=CV_HOLDOUT)
+        return judge.evaluate(model.transform(parts.where(F.col("fold") == fold)))
+
+    tasks = [(c, f) for c in range(len(choices)) for f in range(folds)]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        errors = pool.map(inheritable_thread_target(train.sparkSession)(error), tasks)
+    means = [sum(e for (c, _), e in zip(tasks, errors) if c == i) / folds for i in range(len(choices))]
+    ranked = sorted(zip(means, choices, strict=True), key=lambda pair: pair[0])
     table = train.sparkSession.createDataFrame(
         [(json.dumps(choice, sort_keys=True), float(mae), i + 1) for i, (mae, choice) in enumerate(ranked)],
         "params string, cv_mae double, rank int")
@@ -123,21 +137,23 @@ def feature_names(assembled: DataFrame) -> list[str]:
     return [re.sub(r"^(\w+?)_vector_", r"\1_", a["name"]) for a in sorted(entries, key=lambda a: a["idx"])]
 
 
-def feature_importance(model, assembled: DataFrame, top: int | None = 10) -> DataFrame:
-    """Importance per feature, largest first."""
+def feature_importance(model, assembled: DataFrame, top: int | None = 10, names: DataFrame | None = None) -> DataFrame:
+    """Importance per feature, largest first; ``names`` (``feature, name``) renames one-hot entries."""
     rows = [(name, float(weight)) for name, weight in
             zip(feature_names(assembled), model.featureImportances.toArray(), strict=True)]
-    table = assembled.sparkSession.createDataFrame(rows, "feature string, importance double") \
-        .orderBy(F.desc("importance"), "feature")
+    table = assembled.sparkSession.createDataFrame(rows, "feature string, importance double")
+    if names is not None:
+        table = table.join(names, "feature", "left").select(F.coalesce("name", "feature").alias("feature"), "importance")
+    table = table.orderBy(F.desc("importance"), "feature")
     return table.limit(top) if top else table
 
 
-def score(df: DataFrame, models: Mapping[str, object]) -> DataFrame:
-    """Add one clipped ``pred_<name>`` column per model; other columns stay."""
+def score(df: DataFrame, models: Mapping[str, object], clip: bool = False) -> DataFrame:
+    """Add one ``pred_<name>`` column per model; other columns stay."""
     kept = df.columns
     for name, model in models.items():
         scored = model.copy({model.getParam("predictionCol"): f"pred_{name}"}).transform(df)
-        df = scored.withColumn(f"pred_{name}", F.greatest(F.col(f"pred_{name}"), F.lit(0.0)))
+        df = scored.withColumn(f"pred_{name}", _clipped(f"pred_{name}", clip))
     return df.select(*kept, *[f"pred_{name}" for name in models])
 
 

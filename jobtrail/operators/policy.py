@@ -122,9 +122,13 @@ def _upper_tail(z: pd.Series) -> pd.Series:
 
 def paired_differences(results: DataFrame, baseline: str = BASELINE, value: str = "turnaround_us") -> DataFrame:
     """Baseline minus policy for the same job, for every other policy."""
-    base = results.where(F.col("policy") == baseline).select("job_id", F.col(value).alias("_base"))
-    other = results.where(F.col("policy") != baseline).select("policy", "job_id", F.col(value).alias("_own"))
-    return other.join(base, "job_id").select("policy", "job_id", (F.col("_base") - F.col("_own")).alias("diff"))
+    own = F.struct("policy", F.col(value).alias("_own"))
+    # A job has one row per policy, so one grouping by job brings its results together.
+    jobs = results.groupBy("job_id").agg(
+        F.max(F.when(F.col("policy") == baseline, F.col(value))).alias("_base"),
+        F.collect_list(F.when(F.col("policy") != baseline, own)).alias("_others"))
+    pairs = jobs.where(F.col("_base").isNotNull()).select("job_id", "_base", F.inline("_others"))
+    return pairs.select("policy", "job_id", (F.col("_base") - F.col("_own")).alias("diff"))
 
 
 def wilcoxon(diffs: DataFrame, by: str = "policy") -> DataFrame:

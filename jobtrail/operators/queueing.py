@@ -1,6 +1,7 @@
 """Waiting in queues: first-come-first-served recurrences and ordered backlogs as running scans.
 
-Hot queues are cut into ordered blocks (see ``scan``), so no queue has to fit one task.
+Scans run over instants and, inside an instant, over job ids (see ``scan``), so neither a queue nor an instant has to
+fit one task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtrail.functions.expressions import to_seconds
-from jobtrail.operators.scan import Scan, block_scan, key_scan, range_blocks
+from jobtrail.functions.frames import null_safe_join
+from jobtrail.operators.scan import Scan, key_scan, nested_sum
 
 QUEUE = "queue_id"
 
@@ -39,22 +41,29 @@ def _slowdown(turnaround: Column, runtime: Column) -> Column:
 
 
 def _fifo(jobs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Blocks with start and completion of each job on one server per queue.
+    """Start and completion of each job on one server per queue.
 
     With W the running sum of runtimes, a job completes at its W plus the
-    running maximum of (submit - W of the job before it).
+    running maximum of (submit - W of the job before it). Inside an instant that
+    difference is largest for the first job, so the maximum runs over instants.
     """
-    narrow = jobs.select(*by, "job_id", F.col("arrival_us").alias("submit_us"), "runtime_us")
-    order = ["submit_us", "job_id"]
-    blocked = range_blocks(narrow, order, by)
-    work = block_scan(blocked, by, order, [Scan("_work", "sum", "runtime_us")])
-    slack = work.withColumn("_slack", F.col("submit_us") - (F.col("_work") - F.col("runtime_us")))
-    peak = block_scan(slack, by, order, [Scan("_peak", "max", "_slack"),
-                                         Scan("_peak_before", "max", "_slack", before=True)])
-    done = F.col("_work") + F.col("_peak")
-    return (peak.withColumn("completion_us", done)
+    narrow = jobs.select(*by, "job_id", F.col("arrival_us").alias("submit_us"), "runtime_us") \
+        .withColumn("_one", F.lit(1).cast("bigint"))
+    instants = narrow.groupBy(*by, "submit_us").agg(F.sum("runtime_us").alias("_sum"))
+    earlier = key_scan(instants, "submit_us", [Scan("_earlier", "sum", "_sum", before=True)], by) \
+        .withColumn("_slack", F.col("submit_us") - F.col("_earlier"))
+    peaks = key_scan(earlier, "submit_us", [Scan("_peak", "max", "_slack"),
+                                            Scan("_peak_before", "max", "_slack", before=True)], by)
+    inside = key_scan(narrow, "job_id", [Scan("_inside", "sum", "runtime_us"), Scan("_nth", "sum", "_one")],
+                      [*by, "submit_us"])
+    timed = null_safe_join(inside, peaks.select(*by, "submit_us", "_earlier", "_peak", "_peak_before"), [*by, "submit_us"])
+    work = F.col("_earlier") + F.col("_inside")
+    done = work + F.col("_peak")
+    # The first job of an instant meets what the instants before left over.
+    peak = F.when(F.col("_nth") == 1, F.col("_peak_before")).otherwise(F.col("_peak"))
+    return (timed.withColumn("completion_us", done)
             .withColumn("start_us", done - F.col("runtime_us"))
-            .withColumn("_free_us", F.col("_work") - F.col("runtime_us") + F.col("_peak_before")))
+            .withColumn("_free_us", work - F.col("runtime_us") + peak))
 
 
 def queue_fifo(jobs: DataFrame, by: Sequence[str] = (QUEUE,)) -> DataFrame:
@@ -72,7 +81,7 @@ def busy_periods(jobs: DataFrame, by: Sequence[str] = (QUEUE,)) -> DataFrame:
     timed = _fifo(jobs, by)
     opens = F.col("_free_us").isNull() | (F.col("submit_us") >= F.col("_free_us"))
     flagged = timed.withColumn("_opens", opens.cast("bigint"))
-    numbered = block_scan(flagged, by, ["submit_us", "job_id"], [Scan("period", "sum", "_opens")])
+    numbered = nested_sum(flagged, ["submit_us", "job_id"], "_opens", by, "period")
     return numbered.groupBy(*by, "period").agg(
         F.min("start_us").alias("begin_us"), F.max("completion_us").alias("end_us"),
         F.count(F.lit(1)).alias("jobs"), F.sum("runtime_us").alias("work_us"))
@@ -104,8 +113,7 @@ def policy_results(jobs: DataFrame, policies: Sequence[Policy] | None = None, by
     columns = [*by, "job_id", F.col("arrival_us").alias("submit_us"), "runtime_us", *keep]
     long = _per_policy(jobs, policies or standard_policies(), columns)
     groups, order = [*by, "policy"], ["order_key", "submit_us", "job_id"]
-    blocked = range_blocks(long, order, groups)
-    done = block_scan(blocked, groups, order, [Scan("completion_us", "sum", "runtime_us")])
+    done = nested_sum(long, order, "runtime_us", groups, "completion_us")
     waiting = F.col("completion_us") - F.col("runtime_us")
     return done.select(
         *groups, "job_id", "runtime_us", *keep, waiting.alias("waiting_us"),

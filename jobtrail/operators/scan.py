@@ -3,19 +3,19 @@
 Rows are cut into ordered blocks. Every block is scanned on its own, the block
 totals are scanned to get what each block inherits, and the two are combined.
 
-Two ways to cut:
-
-* ``key_scan`` for frames with one row per (group, integer key): the block is
+* ``key_scan`` takes frames with few rows per (group, integer key): the block is
   the key without its low bits. A block holds at most 2**LEAF_BITS keys, a
   parent at most 2**PARENT_BITS blocks and the top at most
-  2**(64 - LEAF_BITS - PARENT_BITS) parents, whatever the data. Callers
-  aggregate rows of one key first, so a hot instant is one row here. Plans that
-  read less than SMALL_BYTES use wider blocks without parents: the whole input
-  then fits one task.
-* ``range_blocks`` + ``block_scan`` for any order with unique tie-breaks: the
-  rows are range-partitioned by (group, order), so blocks are even even if one
-  group or instant holds most rows. The cut is written out once because later
-  steps must see the same blocks.
+  2**(64 - LEAF_BITS - PARENT_BITS) parents, whatever the data; there is one
+  plan for every size. Callers aggregate rows of one key first, so a hot
+  instant is one row here.
+* ``nested_sum`` and ``with_ordinal`` scan rows in the order of several
+  integers: the totals of the first one's values are scanned, then the rows of
+  each value by the next one. A value that most rows share is cut into blocks of
+  the next integer.
+* ``text_ordinal`` numbers distinct texts, which have no bounded integer key:
+  they are range-partitioned, and the cut is written to the shared folder
+  because the blocks' counts and the numbering must see the same one.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from jobtrail.functions.frames import null_safe_join
 from jobtrail.operators.checkpoints import materialise
 
 LEAF_BITS = 22
-SMALL_LEAF_BITS = 36
-SMALL_BYTES = 64 << 20
 PARENT_BITS = 20
 BLOCK = "_block"
 
@@ -131,12 +130,9 @@ def block_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], scans:
 
 def _scan_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
                  widths: Sequence[int], keep: Sequence[str]) -> DataFrame:
-    # The mark reads every column (maps have no hash): totals and rows then need the same input, which is planned once.
-    hashable = [c for c, dtype in df.dtypes if "map<" not in dtype]
-    values = df.groupBy(*keys, BLOCK).agg(
-        F.max(F.hash(*hashable)).alias("_mark"),
-        *[_block_value(s, order).alias(f"_v_{s.name}") for s in scans])
-    carried = _inherited(values.where(F.col("_mark").isNotNull()), keys, scans, widths)
+    # The totals read only what they sum and are combined before their shuffle.
+    values = df.groupBy(*keys, BLOCK).agg(*[_block_value(s, order).alias(f"_v_{s.name}") for s in scans])
+    carried = _inherited(values, keys, scans, widths)
     window = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     local = df.select("*", *[
         _running(s, s.column, window, s.before).alias(f"_l_{s.name}") for s in scans if s.op != "total"
@@ -150,25 +146,10 @@ def _scan_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans
     ])
 
 
-def block_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], scans: Sequence[Scan]) -> DataFrame:
-    """Add the running columns to a frame that carries a block column."""
-    solid, keys = solid_keys(df, by)
-    return _scan_blocks(solid, keys, order, scans, (), df.columns)
-
-
-def _input_bytes(df: DataFrame) -> int:
-    """Spark's size estimate of what the plan reads; no job runs. Unknown sizes come out huge."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def with_key_blocks(df: DataFrame, key: str) -> tuple[DataFrame, tuple[int, ...]]:
     """Add the block of each key; also returns the widths of the levels above the blocks."""
-    bits, widths = (SMALL_LEAF_BITS, ()) if _input_bytes(df) <= SMALL_BYTES else (LEAF_BITS, (PARENT_BITS,))
-    # A block known not to be null adds no null filter on one side of the later self-joins,
-    # so the sides stay equal and share their exchange.
-    block = F.coalesce(F.shiftright(F.col(key).cast("bigint"), bits), F.lit(0).cast("bigint"))
-    return df.withColumn(BLOCK, block), widths
+    block = F.coalesce(F.shiftright(F.col(key).cast("bigint"), LEAF_BITS), F.lit(0).cast("bigint"))
+    return df.withColumn(BLOCK, block), (PARENT_BITS,)
 
 
 def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] = (),
@@ -180,17 +161,31 @@ def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] =
     """
     blocked, widths = with_key_blocks(df, key)
     solid, keys = solid_keys(blocked, by)
-    placed = solid.repartition(*keys, BLOCK)
-    return _scan_blocks(placed, keys, [key, *order], scans, widths, df.columns)
+    return _scan_blocks(solid, keys, [key, *order], scans, widths, df.columns)
 
 
-def range_blocks(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Cut rows into even ordered blocks by (group, order); ``order`` must be unique per group."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in [*by, *order]])
-    return materialise(ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+def nested_sum(df: DataFrame, order: Sequence[str], column: str, by: Sequence[str] = (), name: str = "sum",
+               depth: int = 0) -> DataFrame:
+    """Running sum of ``column`` per group in the order of several integer columns, unique together."""
+    if len(order) == 1:
+        return key_scan(df, order[0], [Scan(name, "sum", column)], by)
+    lead, earlier, total = order[0], f"_before{depth}", f"_total{depth}"
+    totals = df.groupBy(*by, lead).agg(F.sum(column).alias(total))
+    before = key_scan(totals, lead, [Scan(earlier, "sum", total, before=True)], by).drop(total)
+    inside = nested_sum(df, order[1:], column, [*by, lead], name, depth + 1)
+    return null_safe_join(inside, before, [*by, lead]) \
+        .select(*df.columns, (F.col(name) + F.col(earlier)).alias(name))
 
 
 def with_ordinal(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
-    """Number rows 1..n per group in the given unique order."""
-    blocked = range_blocks(df.withColumn("_one", F.lit(1).cast("bigint")), order, by)
-    return block_scan(blocked, by, order, [Scan(name, "sum", "_one")]).drop("_one", BLOCK)
+    """Number rows 1..n per group in the order of integer columns that are unique together."""
+    counted = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return nested_sum(counted, order, "_one", by, name).drop("_one")
+
+
+def text_ordinal(df: DataFrame, column: str, name: str = "ordinal") -> DataFrame:
+    """Number the rows of distinct texts 1..n."""
+    ranged = df.repartitionByRange(F.col(column))
+    cut = materialise(ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+    counted = cut.withColumn("_one", F.lit(1).cast("bigint"))
+    return _scan_blocks(counted, [], [column], [Scan(name, "sum", "_one")], (), [*df.columns])

@@ -11,6 +11,12 @@ from jobtrail.operators.scan import with_ordinal
 
 TIME_ORDER = ("arrival_us", "job_id")
 HASH_ORDER = ("_hash", "job_id")
+# Stands for a null in an order: rows without a value come last.
+LAST = 1 << 62
+
+
+def _or_last(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(LAST).cast("bigint"))
 
 
 def cut_points(df: DataFrame, ranks: Mapping[str, Column], order: Sequence[str] = TIME_ORDER) -> dict:
@@ -22,7 +28,7 @@ def cut_points(df: DataFrame, ranks: Mapping[str, Column], order: Sequence[str]
     beyond the last row, is all that comes to the driver, so a split becomes a
     comparison with constants that later scans can push down.
     """
-    keys = df.select(F.col(order[0]).cast("bigint").alias("value"), F.col(order[1]).cast("bigint").alias("_tie"))
+    keys = df.select(_or_last(order[0]).alias("value"), _or_last(order[1]).alias("_tie"))
     found = values_at_ranks(weighted_values(keys, "value"), ranks).select(
         *ranks, *[(rank - F.col(f"{name}_before")).alias(f"{name}_rest") for name, rank in ranks.items()]).first()
     inside = {name: found for name in ranks if found is not None and found[name] is not None}
@@ -41,7 +47,11 @@ def _precedes(order: Sequence[str], cut: tuple | None) -> Column:
     if cut is None:
         return F.lit(True)
     lead, tie = F.col(order[0]), F.col(order[1])
-    return (lead < cut[0]) | ((lead == cut[0]) & (tie < cut[1]))
+    if LAST in cut:
+        lead, tie = _or_last(order[0]), _or_last(order[1])
+    # A null compares as unknown, which counts as not before.
+    return F.coalesce((lead < cut[0]) | ((lead == cut[0]) & (tie < cut[1])), F.lit(False)) if LAST in cut else \
+        (lead < cut[0]) | ((lead == cut[0]) & (tie < cut[1]))
 
 
 def _test_rows(test_size: float) -> Column:
@@ -66,37 +76,48 @@ def chrono_val_split(jobs: DataFrame, test_size: float = 0.2, val_size: float =
     n_val = F.greatest(F.floor(n_windows.cast("double") * F.lit(val_size)).cast("bigint"), F.lit(1))
     cuts = cut_points(jobs, {"warm": F.lit(seq_len - 1).cast("bigint"), "val": n_train - n_val, "test": n_train},
                       order)
-    label = (F.when(~_precedes(order, cuts["test"]), "test").when(_precedes(order, cuts["warm"]), "warmup")
-             .when(_precedes(order, cuts["val"]), "train").otherwise("val"))
+    label = (F.when(_precedes(order, cuts["warm"]), "warmup").when(_precedes(order, cuts["val"]), "train")
+             .when(_precedes(order, cuts["test"]), "val").otherwise("test"))
     return jobs.withColumn("split", label)
 
 
-def _hash(seed: int) -> Column:
-    return F.xxhash64(F.col("job_id"), F.lit(seed))
+def _hashed(jobs: DataFrame, seed: int) -> DataFrame:
+    """Add ``_hash``: 40 bits of the MD5 of job id and seed, the same in any SQL engine; the job id breaks ties."""
+    digest = F.md5(F.concat(F.col("job_id").cast("string"), F.lit(f"|{seed}")))
+    return jobs.withColumn("_hash", F.conv(F.substring(digest, 1, 10), 16, 10).cast("bigint"))
 
 
 def hash_split(jobs: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Shuffled split: the ``ceil(test_size * n)`` jobs first in hash order are ``test``."""
-    # 40 hash bits spread the jobs over 2**18 key blocks; the job id breaks ties.
-    hashed = jobs.withColumn("_hash", F.shiftrightunsigned(_hash(seed), 24))
+    hashed = _hashed(jobs, seed)
     cuts = cut_points(hashed, {"train": _test_rows(test_size)}, HASH_ORDER)
     part = F.when(_precedes(HASH_ORDER, cuts["train"]), F.lit("test")).otherwise(F.lit("train"))
     return hashed.withColumn("split", part).drop("_hash")
 
 
 def with_fold(jobs: DataFrame, folds: int = 3, seed: int = 42, name: str = "fold") -> DataFrame:
-    """Assign each job to a fold by its hash; no shuffle and stable under recomputation."""
-    return jobs.withColumn(name, F.pmod(_hash(seed), F.lit(folds)).cast("int"))
+    """Cut the jobs in hash order into folds whose sizes differ by at most one."""
+    hashed = _hashed(jobs, seed)
+    ends = {f"end{i}": F.floor(F.col("total") * F.lit(i) / F.lit(folds)).cast("bigint") for i in range(1, folds)}
+    cuts = cut_points(hashed, ends, HASH_ORDER) if ends else {}
+    fold = F.lit(folds - 1)
+    for i in range(folds - 1, 0, -1):
+        fold = F.when(_precedes(HASH_ORDER, cuts[f"end{i}"]), F.lit(i - 1)).otherwise(fold)
+    return hashed.withColumn(name, fold).drop("_hash")
 
 
 def with_holdout(jobs: DataFrame, share: float, seed: int = 42, name: str = "is_val") -> DataFrame:
-    """Mark a share of the jobs as validation rows by hash."""
-    return jobs.withColumn(name, F.pmod(_hash(seed), F.lit(10_000)) < F.lit(int(round(share * 10_000))))
+    """Mark the ``ceil(share * n)`` jobs first in hash order as validation rows."""
+    hashed = _hashed(jobs, seed)
+    cuts = cut_points(hashed, {"val": _test_rows(share)}, HASH_ORDER)
+    return hashed.withColumn(name, _precedes(HASH_ORDER, cuts["val"])).drop("_hash")
 
 
 def sample_jobs(jobs: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` jobs without replacement: the first in hash order."""
-    return jobs.orderBy(_hash(seed), "job_id").limit(n)
+    """``n`` jobs without replacement: the first in hash order, wherever they lie."""
+    hashed = _hashed(jobs, seed)
+    cuts = cut_points(hashed, {"end": F.lit(n).cast("bigint")}, HASH_ORDER)
+    return hashed.where(_precedes(HASH_ORDER, cuts["end"])).drop("_hash")
 
 
 def first_jobs(jobs: DataFrame, n: int) -> DataFrame:

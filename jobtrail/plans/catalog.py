@@ -18,6 +18,7 @@ from jobtrail.operators import (
 )
 from jobtrail.plans.features import add_features, engineered_jobs, prepare_features
 from jobtrail.schema import NUMERIC_FEATURES, TARGET, heterogeneous_cluster, node_classes
+from jobtrail.sources import experiments
 from jobtrail.sources.events import events_trace
 from jobtrail.streaming import collect_counts, run_available
 
@@ -491,6 +492,29 @@ def experiment_ranking(spark, sf_dir):
     return metrics.leaderboard(table, "mae", by=["gpu_type"]).select("gpu_type", "model", "mae", "rank")
 
 
+def _records(spark, sf_dir):
+    """One experiment record per machine class and predictor, with the track it belongs to."""
+    table = metrics.regression_metrics(predicted_long(spark, sf_dir), "actual", "predicted", ["gpu_type", "model"])
+    return table.select(
+        F.concat_ws("_", "gpu_type", "model").alias("experiment"),
+        F.struct("mae", "rmse", "r2", "mape", "mdae", F.lit(0.0).alias("train_time")).alias("metrics"),
+        F.create_map(F.lit("model"), F.col("model"), F.lit("track"), F.col("gpu_type")).alias("best_params"),
+        F.col("gpu_type").alias("track"), "model")
+
+
+@query
+def model_comparison(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    both = experiments.union_experiments(records.where(F.col("model") == "linear"), records.where(F.col("model") != "linear"))
+    return experiments.comparison_table(both.select("experiment", "metrics", "best_params"),
+                                        records.select("experiment", "track", "model"))
+
+
+@query
+def champion_parameters(spark, sf_dir):
+    return experiments.champion_parameters(_records(spark, sf_dir))
+
+
 # --- queues and policies -----------------------------------------------------
 
 @query
@@ -596,7 +620,7 @@ def _inputs(spark, sf_dir, mode="numeric_only"):
 @query
 def rf_metrics(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)
-    return ml.evaluate(ml.fit("rf", inputs.train, SMALL_RF), inputs.test)
+    return ml.evaluate(ml.fit("rf", inputs.train, SMALL_RF), inputs.test, clip=True)
 
 
 @query
@@ -634,4 +658,4 @@ def grid_search(spark, sf_dir):
 def scored_jobs(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)
     models = {"rf": ml.fit("rf", inputs.train, SMALL_RF), "gbt": ml.fit("gbt", inputs.train, SMALL_GBT)}
-    return ml.score(inputs.test, models).select("job_id", "label", "pred_rf", "pred_gbt")
+    return ml.score(inputs.test, models, clip=True).select("job_id", "label", "pred_rf", "pred_gbt")

@@ -45,6 +45,9 @@ BLOCKS: dict[str, tuple[list[str], str]] = {
           ON b.arrival_us <= a.arrival_us AND b.arrival_us + b.runtime_us > a.arrival_us
         GROUP BY a.job_id"""),
     "engineered": (["numbered", "loaded"], "SELECT * FROM numbered JOIN loaded USING (job_id)"),
+    "hashed": (["jobs"], """
+        SELECT *, row_number() OVER (ORDER BY h, job_id) - 1 AS pos, count(*) OVER () AS n
+        FROM (SELECT *, ('0x' || substr(md5(job_id || '|42'), 1, 10))::BIGINT AS h FROM jobs)"""),
     "deltas": (["jobs"], """
         SELECT t, CAST(sum(c) AS BIGINT) AS d_cpu, CAST(sum(g) AS BIGINT) AS d_gpu,
                CAST(sum(k) AS BIGINT) AS change_count
@@ -311,6 +314,12 @@ def statements() -> dict[str, str]:
     q["hash_split_sizes"] = _sql("""
         SELECT 'test' AS split, CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n FROM jobs
         UNION ALL SELECT 'train', count(*) - CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) FROM jobs""", "jobs")
+    q["hash_split"] = _sql("""
+        SELECT job_id, CASE WHEN pos < ceil(0.2::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM hashed""", "hashed")
+    q["sample_jobs"] = _sql("SELECT job_id, job_runtime FROM hashed WHERE pos < 3000", "hashed")
+    q["kfold_sizes"] = _sql("""
+        SELECT CAST(CASE WHEN pos < floor(n * 1 / 3) THEN 0 WHEN pos < floor(n * 2 / 3) THEN 1 ELSE 2 END AS BIGINT) AS fold,
+               count(*) AS n FROM hashed GROUP BY 1""", "hashed")
     q["chrono_val_split"] = _sql("""
         , s AS (SELECT count(*) AS m, greatest(CAST(floor((count(*) - 9) * 0.2::DOUBLE) AS BIGINT), 1) AS v
                 FROM numbered WHERE split = 'train')
@@ -368,6 +377,24 @@ def statements() -> dict[str, str]:
         SELECT gpu_type, model, mae, rank() OVER (PARTITION BY gpu_type ORDER BY mae) AS rank
         FROM (SELECT gpu_type, model, {ERRORS} FROM predicted_long GROUP BY gpu_type, model)""", "predicted_long")
 
+    q["model_comparison"] = _sql(f"""
+        SELECT gpu_type AS track, model, mae, rmse, r2, row_number() OVER (PARTITION BY gpu_type ORDER BY mae, model) AS place
+        FROM (SELECT gpu_type, model, {ERRORS} FROM predicted_long GROUP BY gpu_type, model)""", "predicted_long")
+    q["champion_parameters"] = _sql("""
+        SELECT DISTINCT gpu_type || '_' || model AS experiment,
+               '{"model":"' || model || '","track":"' || gpu_type || '"}' AS params FROM predicted_long""", "predicted_long")
+    # The normal tail by its power series; beyond six deviations it is 0 or 1 to six places.
+    q["significance_table"] = _sql("""
+        , t AS (SELECT policy, w_plus, (w_plus - n * (n + 1) / 4.0) / sqrt((n::DOUBLE * (n + 1) * (2 * n + 1) - tie_term / 2) / 24) AS z
+                FROM signed),
+        p AS (SELECT policy, w_plus, CASE WHEN z > 6 THEN 0.0 WHEN z < -6 THEN 1.0 ELSE 0.5 - list_sum(list_transform(
+                  range(0, 120), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * z
+                      * exp(2 * k * ln(greatest(abs(z), 1e-300)) - k * ln(2.0) - lgamma(k + 1)) / (2 * k + 1)))
+                  / sqrt(2 * pi()) END AS v FROM t)
+        SELECT policy, round(mean_jct, 6) AS mean_jct,
+               round((SELECT mean_jct FROM means WHERE policy = 'FIFO') - mean_jct, 6) AS jct_vs_baseline,
+               round(w_plus, 6) AS wilcoxon_w, round(v, 6) AS p_value, v < 0.05 AS significant
+        FROM p JOIN means USING (policy)""", "signed", "means")
     q["queue_fifo"] = _sql("""
         SELECT queue_id, job_id, submit_us, runtime_us, start_us, completion_us, start_us - submit_us AS waiting_us,
                completion_us - submit_us AS turnaround_us,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from jobtrail.operators import load, prep, splits
-from jobtrail.operators.scan import SMALL_BYTES
 from jobtrail.plans import catalog
 
 LARGE = ["offered_load", "cluster_state", "asof_state", "runtime_ecdf", "inter_arrival", "chrono_split",
@@ -62,8 +61,23 @@ def test_split_becomes_a_pushed_filter(spark, small, tmp_path):
     assert "arrival_us" in re.search(r"DataFilters: \[(.*?)\]", plan(pushed)).group(1)
 
 
-def test_small_block_rule_is_off_for_unknown_sizes(spark):
-    from jobtrail.operators.scan import _input_bytes
+NO_CUT = ["queue_fifo", "queue_fifo_global", "busy_periods", "pending_timeline", "policy_results", "job_ordinal",
+          "sequences_strict", "onehot_long", "wilcoxon"]
 
-    assert _input_bytes(spark.range(10).toDF("x")) <= SMALL_BYTES
-    assert _input_bytes(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "x int")) > SMALL_BYTES
+
+@pytest.mark.parametrize("name", NO_CUT)
+def test_nothing_is_written_in_between(spark, small, name, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("written cut")
+    monkeypatch.setattr("jobtrail.operators.checkpoints.ensure_checkpoint_dir", refuse)
+    driver.queries()[name](spark, small)
+
+
+@pytest.mark.parametrize("name", ["queue_fifo", "runtime_ecdf", "wilcoxon", "cluster_state"])
+def test_no_single_partition_holds_the_rows(spark, small, name):
+    """Executed plans may bring single rows together, never the rows of a scan."""
+    df = driver.queries()[name](spark, small)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    for line in re.findall(r".*Exchange SinglePartition.*\n.*\n.*", text):
+        assert re.search(r"partial_|keys=\[\]|TakeOrdered", line), line

@@ -1,23 +1,21 @@
 """Block scans equal plain windows, whatever the cut, the skew or the partition count."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import Window, functions as F
 
 from jobtrail.operators import scan as scans
 from jobtrail.operators.quantiles import quantiles
-from jobtrail.operators.scan import BLOCK, Scan, block_scan, key_scan, range_blocks, with_ordinal
+from jobtrail.functions.expressions import double_key
+from jobtrail.operators.scan import LEAF_BITS, Scan, key_scan, nested_sum, text_ordinal, with_ordinal
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.fixture(autouse=True, params=["narrow", "wide"])
-def blocks(request, monkeypatch):
-    if request.param == "narrow":
-        monkeypatch.setattr(scans, "SMALL_BYTES", 0)
-
-
 @pytest.fixture(params=[1, 4, 17])
 def partitions(request, spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -56,22 +54,41 @@ def test_key_scan_independent_of_block_width(spark, monkeypatch):
     outcomes = []
     for leaf, parent in ((2, 3), (10, 4), (16, 8), (22, 20)):
         monkeypatch.setattr(scans, "LEAF_BITS", leaf)
-        monkeypatch.setattr(scans, "SMALL_BYTES", 0)
         monkeypatch.setattr(scans, "PARENT_BITS", parent)
         outcomes.append(rows(key_scan(df, "t", [Scan("s", "sum", "v"), Scan("m", "max", "v")])))
     assert all(o == outcomes[0] for o in outcomes)
 
 
-def test_block_scan_matches_window(spark, partitions):
+def test_nested_sum_matches_window(spark, partitions):
     df = skewed(spark)
-    w = Window.partitionBy("g").orderBy("t", "id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    want = df.select("*", F.sum("v").over(upto).alias("s"), F.max("v").over(upto).alias("m"),
-                     F.lag("v").over(w).alias("p"))
-    blocked = range_blocks(df, ["t", "id"], ["g"])
-    got = block_scan(blocked, ["g"], ["t", "id"],
-                     [Scan("s", "sum", "v"), Scan("m", "max", "v"), Scan("p", "last", "v", before=True)])
-    assert rows(got.drop(BLOCK)) == rows(want)
+    upto = Window.partitionBy("g").orderBy("t", "v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(upto).alias("s"))
+    assert rows(nested_sum(df, ["t", "v", "id"], "v", ["g"], "s")) == rows(want)
+
+
+def test_double_keys_keep_order_and_tell_values_apart(spark):
+    rng = random.Random(1)
+    values = [0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1e-310, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0),
+              2.0, math.nextafter(2.0, 1), 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), -float("inf"),
+              1e300, 4.0, 0.1, -0.1, 3.0]
+    values += [rng.uniform(-4, 4) for _ in range(300)] + [math.ldexp(rng.uniform(1, 2), rng.randint(-1060, 1020)) for _ in range(300)]
+    values += [math.ldexp(1.0, e) for e in range(-1074, 1024, 7)] + [math.nextafter(math.ldexp(1.0, e), 0) for e in range(-1060, 1024, 7)]
+    found = dict(map(tuple, spark.createDataFrame([(v,) for v in values], "x double").select("x", double_key(F.col("x"))).collect()))
+    order = sorted(set(values))
+    keys = [found[v] for v in order]
+    assert all(a < b for a, b in zip(keys, keys[1:]))
+
+
+def test_many_doubles_in_a_narrow_range_spread_over_blocks(spark):
+    df = spark.range(2_000_000).select((F.col("id") * 1.5e-6 + 1.0).alias("x"))
+    blocks = df.select(F.shiftright(double_key(F.col("x")), LEAF_BITS).alias("b")).groupBy("b").count()
+    assert blocks.agg(F.count("*"), F.max("count")).first()[1] < 100
+
+
+def test_text_ordinal(spark, partitions):
+    df = skewed(spark).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("c"))
+    want = df.select("c", F.row_number().over(Window.orderBy("c")).cast("bigint").alias("n"))
+    assert rows(text_ordinal(df, "c", "n")) == rows(want)
 
 
 def test_ordinal(spark, partitions):
