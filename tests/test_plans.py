@@ -80,4 +80,4 @@ def test_no_single_partition_holds_the_rows(spark, small, name):
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
     for line in re.findall(r".*Exchange SinglePartition.*\n.*\n.*", text):
-        assert re.search(r"partial_|keys=\[\]|TakeOrdered", line), line
+        assert re.search(r"partial_|keys=\[\]|keys=\[_parent|TakeOrdered", line), line
