@@ -636,6 +636,17 @@ def gbt_l1_metrics(spark, sf_dir):
     return ml.evaluate(model, inputs.test)
 
 
+@query
+def stump_scores(spark, sf_dir):
+    """One split on one feature, by a forest of one tree and by one round of boosting."""
+    split = split_jobs(spark, sf_dir).withColumn("label", F.col(TARGET))
+    rows, _ = features.assemble(split, split.where(F.col("split") == "train"), ["num_cpu"], [])
+    train, whole = rows.where(F.col("split") == "train"), {"maxDepth": 1, "featureSubsetStrategy": "all"}
+    models = {"tree": ml.fit("rf", train, {**whole, "numTrees": 1, "bootstrap": False}),
+              "boosted": ml.fit("gbt", train, {**whole, "maxIter": 1, "subsamplingRate": 1.0})}
+    return ml.score(rows.where(F.col("split") == "test"), models).select("job_id", "pred_tree", "pred_boosted")
+
+
 @query
 def feature_importance(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)

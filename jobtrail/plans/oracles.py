@@ -395,6 +395,16 @@ def statements() -> dict[str, str]:
                round((SELECT mean_jct FROM means WHERE policy = 'FIFO') - mean_jct, 6) AS jct_vs_baseline,
                round(w_plus, 6) AS wilcoxon_w, round(v, 6) AS p_value, v < 0.05 AS significant
         FROM p JOIN means USING (policy)""", "signed", "means")
+    q["stump_scores"] = _sql("""
+        , tr AS (SELECT num_cpu AS x, job_runtime AS y FROM numbered WHERE split = 'train'),
+        cut AS (SELECT DISTINCT x AS t FROM tr WHERE x < (SELECT max(x) FROM tr)),
+        tried AS (SELECT t, avg(y) FILTER (x <= t) AS l, avg(y) FILTER (x > t) AS r,
+                         var_pop(y) FILTER (x <= t) * count(*) FILTER (x <= t)
+                         + var_pop(y) FILTER (x > t) * count(*) FILTER (x > t) AS loss FROM tr, cut GROUP BY t),
+        best AS (SELECT * FROM tried ORDER BY loss, t LIMIT 1)
+        SELECT job_id, round(CASE WHEN num_cpu <= t THEN l ELSE r END, 6) AS pred_tree,
+               round(CASE WHEN num_cpu <= t THEN l ELSE r END, 6) AS pred_boosted
+        FROM numbered, best WHERE split = 'test'""", "numbered")
     q["queue_fifo"] = _sql("""
         SELECT queue_id, job_id, submit_us, runtime_us, start_us, completion_us, start_us - submit_us AS waiting_us,
                completion_us - submit_us AS turnaround_us,
