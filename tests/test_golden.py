@@ -379,3 +379,30 @@ def test_feasible_nodes(spark):
     out = capacity.feasible_nodes(table, cluster)
     assert by_id(out, "feasible_nodes", "first_fit") == [(9, 0), (2, 0), (6, 0), (0, None), (2, 0)]
     assert by_id(capacity.unplaceable_jobs(table, cluster), "job_id") == [(4,)]
+
+
+# --- orders with gaps --------------------------------------------------------
+
+def test_jobs_without_arrival_come_last(spark):
+    rows = [(i, 100 - i, 1) for i in range(8)] + [(8, None, 1), (9, None, 1)]
+    table = spark.createDataFrame(rows, "job_id bigint, arrival_us bigint, runtime_us bigint")
+    split = dict(by_id(splits.chrono_split(table), "job_id", "split"))
+    assert [i for i, part in split.items() if part == "test"] == [8, 9]
+    half = dict(by_id(splits.chrono_split(table, 0.1), "job_id", "split"))
+    assert [i for i, part in half.items() if part == "test"] == [9]
+
+
+def test_folds_holdouts_and_samples_are_exact(spark):
+    table = spark.range(101).select(F.col("id").alias("job_id"))
+    sizes = [r["count"] for r in splits.with_fold(table, 4).groupBy("fold").count().orderBy("fold").collect()]
+    assert sizes == [25, 25, 25, 26]
+    assert splits.with_holdout(table, 0.15).where("is_val").count() == 16
+    assert splits.sample_jobs(table, 7).count() == 7
+    assert splits.sample_jobs(table, 500).count() == 101
+
+
+def test_a_stray_timestamp_makes_a_long_grid(spark):
+    table = spark.createDataFrame([(1, 0), (2, 40_000_000_000)], "job_id bigint, arrival_us bigint")
+    grid = arrivals.arrival_rate(table, 1_000_000)
+    assert grid.count() == 40_001
+    assert grid.agg(F.sum("n"), F.max("bin"), F.countDistinct("bin")).first()[:] == (2, 40_000, 40_001)
