@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from jobtrail.llm.shared import written
 
 PROJECTIONS = 24
-# A vector is verified when it lies in this share of the windows.
+# A vector is verified when it lies in this share of the windows. One at a window's half-width lies in
+# it with probability 0.68, so vectors within the radius exceed the share and those far beyond do not.
 THRESHOLD = 0.6
 FIRST_RADIUS, GROWTH = 0.5, 1.5
-# Window half-width of one direction for radius 1: a vector at distance r falls into a window of
-# half-width r with probability 0.68.
+# Windows stop widening when so many times k verified vectors are within the radius.
 ENOUGH = 1
 PART_VECTORS, QUERY_BLOCK = 8_192, 4_096
 
