@@ -17,13 +17,14 @@ def _errors(df: DataFrame, actual: str, predicted: str, by: Sequence[str]) -> Da
     return pairs.select(*by, y.alias("_y"), p.alias("_p"), F.abs(y - p).alias("_abs"))
 
 
-def _aggregates() -> list[Column]:
+def error_aggregates() -> list[Column]:
+    """Metrics of the pairs ``_y``, ``_p`` with absolute error ``_abs``; rows where these are null do not count."""
     y, p, err = F.col("_y"), F.col("_p"), F.col("_abs")
-    n = F.count(F.lit(1)).cast("double")
+    n = F.count("_abs").cast("double")
     sse, sst = F.sum(err * err), F.var_pop(y) * n
     flat = F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return [
-        F.count(F.lit(1)).alias("n"),
+        F.count("_abs").alias("n"),
         F.avg(err).alias("mae"),
         F.sqrt(F.try_divide(sse, n)).alias("rmse"),
         F.when(sst == 0, flat).otherwise(F.lit(1.0) - F.try_divide(sse, sst)).alias("r2"),
@@ -36,6 +37,7 @@ def _aggregates() -> list[Column]:
     ]
 
 
+ERROR_NAMES = ("n", "mae", "rmse", "r2", "mape", "smape", "bias", "over_share", "under_share")
 CORE = ["mae", "rmse", "r2", "mape", "mdae"]
 
 
@@ -49,8 +51,8 @@ def error_report(df: DataFrame, actual: str, predicted: str, by: Sequence[str] =
     errors = _errors(df, actual, predicted, by)
     marks = quantiles(errors, "_abs", {"mdae": 0.5}, by)
     if not by:
-        return attach(errors.agg(*_aggregates()), marks, "_q").select("*", "_q.mdae").drop("_q")
-    return errors.groupBy(*by).agg(*_aggregates()).join(marks, list(by), "left")
+        return attach(errors.agg(*error_aggregates()), marks, "_q").select("*", "_q.mdae").drop("_q")
+    return errors.groupBy(*by).agg(*error_aggregates()).join(marks, list(by), "left")
 
 
 def error_by_runtime_bin(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtrail.functions.expressions import exact_mean, to_seconds
 from jobtrail.functions.frames import attach, salted_join
-from jobtrail.operators.metrics import error_report
+from jobtrail.operators.metrics import ERROR_NAMES, error_aggregates
 from jobtrail.operators.quantiles import quantiles, value_counts
 from jobtrail.operators.scan import Scan, key_scan
 from jobtrail.operators.stats import ecdf
@@ -37,24 +37,25 @@ def policy_summary(results: DataFrame, predicted: Mapping[str, str] | None = Non
 
     ``predicted`` maps a policy to the column of ``results`` (microseconds) it ordered by.
     """
-    base = results.groupBy("policy").agg(
+    base = [
         F.count(F.lit(1)).alias("jobs"),
         to_seconds(exact_mean(F.col("waiting_us"))).alias("mean_wait"),
         to_seconds(exact_mean(F.col("turnaround_us"))).alias("mean_jct"),
         to_seconds(F.max("turnaround_us")).alias("max_jct"),
-        F.avg("slowdown").alias("mean_slowdown"))
+        F.avg("slowdown").alias("mean_slowdown")]
     marks = wait_percentiles(results, {"median_wait": 0.5, "p95_wait": 0.95})
-    out = base.join(marks, "policy", "left")
     if not predicted:
-        return out
+        return results.groupBy("policy").agg(*base).join(marks, "policy", "left")
     used = None
     for name, column in predicted.items():
         used = (F if used is None else used).when(F.col("policy") == name, F.col(column))
-    errors = error_report(
-        results.where(F.col("policy").isin(*predicted)).select(
-            "policy", to_seconds(F.col("runtime_us")).alias("_actual"), to_seconds(used).alias("_predicted")),
-        "_actual", "_predicted", ["policy"])
-    return out.join(errors.select("policy", "mae", "rmse", "r2"), "policy", "left")
+    # Means and errors come out of one grouping; rows of policies without a prediction have no error.
+    guess = to_seconds(used).cast("double")
+    actual = F.when(guess.isNotNull(), to_seconds(F.col("runtime_us")).cast("double"))
+    rows = results.withColumns({"_y": actual, "_p": F.when(actual.isNotNull(), guess), "_abs": F.abs(actual - guess)})
+    errors = [a for a, name in zip(error_aggregates(), ERROR_NAMES) if name in ("mae", "rmse", "r2")]
+    return rows.groupBy("policy").agg(*base, *errors).join(marks, "policy", "left").select(
+        "policy", "jobs", "mean_wait", "mean_jct", "max_jct", "mean_slowdown", "median_wait", "p95_wait", "mae", "rmse", "r2")
 
 
 def wait_percentiles(results: DataFrame, marks: Mapping[str, float] = WAIT_MARKS) -> DataFrame:

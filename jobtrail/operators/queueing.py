@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobtrail.functions.expressions import to_seconds
-from jobtrail.functions.frames import null_safe_join
-from jobtrail.operators.scan import Scan, key_scan, nested_sum
+from jobtrail.operators.scan import UNIT, Scan, in_units, key_scan, nested_sum
 
 QUEUE = "queue_id"
 
@@ -44,26 +43,28 @@ def _fifo(jobs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Start and completion of each job on one server per queue.
 
     With W the running sum of runtimes, a job completes at its W plus the
-    running maximum of (submit - W of the job before it). Inside an instant that
-    difference is largest for the first job, so the maximum runs over instants.
+    running maximum of (submit - W of the job before it). Inside a unit of jobs of
+    one instant that difference is largest for the first one, so the maximum runs
+    over units.
     """
-    narrow = jobs.select(*by, "job_id", F.col("arrival_us").alias("submit_us"), "runtime_us") \
-        .withColumn("_one", F.lit(1).cast("bigint"))
-    instants = narrow.groupBy(*by, "submit_us").agg(F.sum("runtime_us").alias("_sum"))
-    earlier = key_scan(instants, "submit_us", [Scan("_earlier", "sum", "_sum", before=True)], by) \
-        .withColumn("_slack", F.col("submit_us") - F.col("_earlier"))
-    peaks = key_scan(earlier, "submit_us", [Scan("_peak", "max", "_slack"),
-                                            Scan("_peak_before", "max", "_slack", before=True)], by)
-    inside = key_scan(narrow, "job_id", [Scan("_inside", "sum", "runtime_us"), Scan("_nth", "sum", "_one")],
-                      [*by, "submit_us"])
-    timed = null_safe_join(inside, peaks.select(*by, "submit_us", "_earlier", "_peak", "_peak_before"), [*by, "submit_us"])
-    work = F.col("_earlier") + F.col("_inside")
-    done = work + F.col("_peak")
-    # The first job of an instant meets what the instants before left over.
-    peak = F.when(F.col("_nth") == 1, F.col("_peak_before")).otherwise(F.col("_peak"))
-    return (timed.withColumn("completion_us", done)
-            .withColumn("start_us", done - F.col("runtime_us"))
-            .withColumn("_free_us", work - F.col("runtime_us") + peak))
+    narrow = jobs.select(*by, "job_id", F.col("arrival_us").alias("submit_us"), "runtime_us")
+    rows, keys, (instant,) = in_units(narrow, by, ["submit_us"], "job_id")
+    unit = [*keys, instant, UNIT]
+    totals = rows.groupBy(*unit).agg(F.sum("runtime_us").alias("_sum"))
+    earlier = key_scan(totals, instant, [Scan("_earlier", "sum", "_sum", before=True)], keys, order=[UNIT]) \
+        .withColumn("_slack", F.col(instant) - F.col("_earlier"))
+    peaks = key_scan(earlier, instant, [Scan("_peak", "max", "_slack"),
+                                        Scan("_peak_before", "max", "_slack", before=True)], keys, order=[UNIT])
+    timed = rows.join(peaks.select(*unit, "_earlier", "_peak", "_peak_before"), unit)
+    within = Window.partitionBy(*unit).orderBy("job_id")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    work = F.col("_earlier") + F.sum("runtime_us").over(upto)
+    # The first job of a unit meets what the units before left over.
+    peak = F.when(F.row_number().over(within) == 1, F.col("_peak_before")).otherwise(F.col("_peak"))
+    return (timed.withColumn("_work", work).withColumn("_free_us", F.col("_work") - F.col("runtime_us") + peak)
+            .withColumn("completion_us", F.col("_work") + F.col("_peak"))
+            .withColumn("start_us", F.col("completion_us") - F.col("runtime_us"))
+            .select(*narrow.columns, "start_us", "completion_us", "_free_us"))
 
 
 def queue_fifo(jobs: DataFrame, by: Sequence[str] = (QUEUE,)) -> DataFrame:

@@ -10,9 +10,9 @@ totals are scanned to get what each block inherits, and the two are combined.
   plan for every size. Callers aggregate rows of one key first, so a hot
   instant is one row here.
 * ``nested_sum`` and ``with_ordinal`` scan rows in the order of several
-  integers: the totals of the first one's values are scanned, then the rows of
-  each value by the next one. A value that most rows share is cut into blocks of
-  the next integer.
+  integers. Rows that agree in all but the last one and are neighbours in that
+  form a unit of at most 2**LEAF_BITS rows; units are scanned by their key, and
+  rows inside their unit. A value that most rows share is many units.
 * ``text_ordinal`` numbers distinct texts, which have no bounded integer key:
   they are range-partitioned, and the cut is written to the shared folder
   because the blocks' counts and the numbering must see the same one.
@@ -25,7 +25,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from jobtrail.functions.frames import null_safe_join
 from jobtrail.operators.checkpoints import materialise
 
 LEAF_BITS = 22
@@ -164,17 +163,43 @@ def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] =
     return _scan_blocks(solid, keys, [key, *order], scans, widths, df.columns)
 
 
-def nested_sum(df: DataFrame, order: Sequence[str], column: str, by: Sequence[str] = (), name: str = "sum",
-               depth: int = 0) -> DataFrame:
+UNIT = "_unit"
+# Where rows without a value stand in an order: first.
+FIRST = -(1 << 62)
+
+
+def in_units(df: DataFrame, by: Sequence[str], leads: Sequence[str], tie: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Add the unit of each row: rows with equal ``by`` and ``leads`` and neighbouring ``tie``.
+
+    Also returns stand-ins without nulls for the group columns and for the
+    leads, so that totals, rows and windows agree on one partitioning.
+    """
+    solid, keys = solid_keys(df, by)
+    stand_ins = {f"_k{i}": F.coalesce(F.col(c).cast("bigint"), F.lit(FIRST).cast("bigint")) for i, c in enumerate(leads)}
+    unit = F.coalesce(F.shiftright(F.col(tie).cast("bigint"), LEAF_BITS), F.lit(0).cast("bigint"))
+    return solid.withColumns({**stand_ins, UNIT: unit}), keys, list(stand_ins)
+
+
+def _before_units(totals: DataFrame, leads: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Sum of ``_total`` over all earlier units of the group."""
+    if len(leads) == 1:
+        return key_scan(totals, leads[0], [Scan("_before", "sum", "_total", before=True)], by, order=[UNIT])
+    heads = totals.groupBy(*by, leads[0]).agg(F.sum("_total").alias("_total"))
+    outer = key_scan(heads, leads[0], [Scan("_outer", "sum", "_total", before=True)], by).drop("_total")
+    inner = _before_units(totals, leads[1:], [*by, leads[0]])
+    return inner.join(outer, [*by, leads[0]]).withColumn("_before", F.col("_before") + F.col("_outer")).drop("_outer")
+
+
+def nested_sum(df: DataFrame, order: Sequence[str], column: str, by: Sequence[str] = (), name: str = "sum") -> DataFrame:
     """Running sum of ``column`` per group in the order of several integer columns, unique together."""
     if len(order) == 1:
         return key_scan(df, order[0], [Scan(name, "sum", column)], by)
-    lead, earlier, total = order[0], f"_before{depth}", f"_total{depth}"
-    totals = df.groupBy(*by, lead).agg(F.sum(column).alias(total))
-    before = key_scan(totals, lead, [Scan(earlier, "sum", total, before=True)], by).drop(total)
-    inside = nested_sum(df, order[1:], column, [*by, lead], name, depth + 1)
-    return null_safe_join(inside, before, [*by, lead]) \
-        .select(*df.columns, (F.col(name) + F.col(earlier)).alias(name))
+    rows, keys, leads = in_units(df, by, order[:-1], order[-1])
+    totals = rows.groupBy(*keys, *leads, UNIT).agg(F.sum(column).alias("_total"))
+    before = _before_units(totals, leads, keys).select(*keys, *leads, UNIT, "_before")
+    within = Window.partitionBy(*keys, *leads, UNIT).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(before, [*keys, *leads, UNIT]).select(
+        *df.columns, (F.col("_before") + F.sum(column).over(within)).alias(name))
 
 
 def with_ordinal(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
