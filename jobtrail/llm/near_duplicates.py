@@ -5,16 +5,19 @@
    bits of each minimum are packed into the signature.
 2. Texts with the same set are one class, represented by its smallest id. Only
    representatives go on, so a group of copies of any size is one entry.
-3. Representatives that share a band key meet in a bucket. First each is paired
-   with the bucket's smallest id. Pairs whose collision-corrected similarity,
-   counted from the signatures' bits, is far below the threshold are left out;
-   the others are confirmed on the full sets. Components are found.
-4. Then buckets that still hold several components compare all members of
-   different components by their signatures (large buckets in pairs of chunks,
-   so many tasks share one), and the promising pairs are confirmed. Members of
-   one component need no comparison: the result would be the same. So no link
-   between components is lost, and a bucket of thousands of near copies makes
-   one pair per member, not per pair.
+3. Representatives that share a band key meet in a bucket. Each is paired with
+   the bucket's smallest id; pairs whose collision-corrected similarity, counted
+   from the signatures' bits, is far below the threshold are left out. What
+   hangs together by these pairs is a cluster.
+4. Members of a bucket that lie in different clusters are compared by their
+   signatures (large buckets in pairs of chunks, so many tasks share one).
+5. Both kinds of pairs are confirmed on the full sets, and components are found.
+6. In a cluster that holds several components, every member outside the largest
+   one is compared with all other members on the full sets, in blocks. Members of
+   one component need no comparison: the result would be the same.
+
+So no link between components is lost, and a group of thousands of near copies
+makes some pairs per member, not per pair.
 
 A pair of similarity 0.8 shares no band with probability 3e-6 and is estimated
 below the margin with probability below 1e-6.
@@ -155,18 +158,23 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(make, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``doc_id, set`` of the documents in ``wanted``: the shingles' sorted hashes, 8 bytes each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(text or b"", width).tobytes() for text in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "set"])
 
-    full = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary")
-    both = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a") \
-        .join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b") \
+    # The same plan at every size: the texts are shuffled once, the ids are not sent to all.
+    chosen = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    return chosen.select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a") \
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b") \
         .select("a", "b", "set_a", "set_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +186,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 merged.sort(kind="stable")
                 common = int(np.count_nonzero(merged[1:] == merged[:-1]))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
 
@@ -190,9 +198,9 @@ def _star_pairs(buckets: DataFrame, signatures: DataFrame, least: float) -> Data
         .where(estimate(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
 
 
-def _cross_pairs(buckets: DataFrame, signatures: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Promising pairs of different components that share a bucket."""
-    placed = buckets.select("key", "member").join(roots.withColumnRenamed("node", "member"), "member", "left") \
+def _cross_pairs(buckets: DataFrame, signatures: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
+    """Promising pairs of different clusters that share a bucket."""
+    placed = buckets.select("key", "member").join(clusters.select(F.col("node").alias("member"), "root"), "member", "left") \
         .select("key", "member", F.coalesce("root", "member").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"),
                                       F.count(F.lit(1)).alias("n")).where("_low <> _high")
@@ -210,6 +218,53 @@ def _cross_pairs(buckets: DataFrame, signatures: DataFrame, roots: DataFrame, le
     return found.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
 
 
+def _linked(x: np.ndarray, ends: np.ndarray, vocabulary: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets laid end to end (``places`` in ``vocabulary``) are linked with the set ``x``."""
+    at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
+    mark = np.zeros(len(vocabulary), dtype=np.int64)
+    mark[at[vocabulary[at] == x]] = 1
+    starts = ends - np.diff(ends, prepend=0)
+    common = np.add.reduceat(mark[places], starts)
+    return 100 * common >= percent * (len(x) + (ends - starts) - common)
+
+
+def _inside_clusters(clusters: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each cluster; one per member and other component."""
+    placed = clusters.select("node", F.col("root").alias("cluster")).join(roots, "node", "left") \
+        .select("node", "cluster", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    facts = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")) \
+        .where("top.n < n").select("cluster", F.col("top.root").alias("main"),
+                                   F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("parts"),
+                                   F.ceil((F.col("n") - F.col("top.n")) / F.lit(CHUNK)).cast("int").alias("few"))
+    members = placed.join(facts, "cluster").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    hashed = F.xxhash64("node")
+    asked = members.where("root <> main").select(
+        F.col("cluster").alias("x_cluster"), F.pmod(hashed, F.col("few")).cast("int").alias("x_i"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x_j"),
+        F.col("node").alias("x_node"), F.col("root").alias("x_root"), F.col("set").alias("x_set"))
+    others = members.select(
+        "cluster", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"),
+        F.pmod(hashed, F.col("parts")).cast("int").alias("j"), "node", "root", "set")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(left) and len(right):
+            found = [np.frombuffer(s, np.uint64) for s in right.column("set").to_pylist()]
+            ends = np.cumsum([len(s) for s in found])
+            vocabulary, places = np.unique(np.concatenate(found), return_inverse=True)
+            nodes, roots = right.column("node").to_numpy(), right.column("root").to_numpy()
+            for node, root, data in zip(*[left.column(c).to_pylist() for c in ("x_node", "x_root", "x_set")]):
+                hits = np.flatnonzero(_linked(np.frombuffer(data, np.uint64), ends, vocabulary, places, percent) & (roots != root))
+                for at in np.unique(roots[hits], return_index=True)[1]:
+                    a.append(node)
+                    b.append(int(nodes[hits[at]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return asked.groupBy("x_cluster", "x_i", "x_j").cogroup(others.groupBy("cluster", "i", "j")) \
+        .applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id, kept``."""
@@ -225,13 +280,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     shared = entries.groupBy("key").agg(F.min("member").alias("first"), F.max("member").alias("_last")) \
         .where("first <> _last").drop("_last")
     buckets = written(entries.join(shared, "key").select("key", "first", "member"), "buckets")
-    stars = written(confirm(written(_star_pairs(buckets, signatures, least), "star-pairs"), narrow, width, percent),
-                    "star-links")
-    roots = components(stars)
-    more = written(_cross_pairs(buckets, signatures, roots, least), "cross-pairs")
-    links = confirm(more, narrow, width, percent)
-    joined = written(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-                     .unionByName(links), "links")
+    stars = written(_star_pairs(buckets, signatures, least), "star-pairs")
+    clusters = components(stars)
+    pairs = written(stars.unionByName(_cross_pairs(buckets, signatures, clusters, least)), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(full_sets(narrow, wanted, width), "sets")
+    links = written(confirm(pairs, sets, percent), "links")
+    roots = components(links)
+    more = _inside_clusters(clusters, roots, sets, percent)
+    joined = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
     roots = components(joined)
     class_roots = classes.select("set_key", F.col("doc_id").alias("node")).join(roots, "node", "left") \
         .select("set_key", F.coalesce("root", "node").alias("root"))
