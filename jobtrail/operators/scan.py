@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -129,9 +130,11 @@ def block_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], scans:
 
 def _scan_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
                  widths: Sequence[int], keep: Sequence[str]) -> DataFrame:
-    # The totals read only what they sum and are combined before their shuffle.
-    values = df.groupBy(*keys, BLOCK).agg(*[_block_value(s, order).alias(f"_v_{s.name}") for s in scans])
-    carried = _inherited(values, keys, scans, widths)
+    # Counting the order's columns lets totals and rows of a narrow frame read one and the same exchange.
+    seen = reduce(lambda a, b: a + b, [F.count(c) for c in order])
+    values = df.groupBy(*keys, BLOCK).agg(
+        seen.alias("_seen"), *[_block_value(s, order).alias(f"_v_{s.name}") for s in scans])
+    carried = _inherited(values.where(F.col("_seen") >= 0), keys, scans, widths)
     window = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     local = df.select("*", *[
         _running(s, s.column, window, s.before).alias(f"_l_{s.name}") for s in scans if s.op != "total"
@@ -160,7 +163,7 @@ def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] =
     """
     blocked, widths = with_key_blocks(df, key)
     solid, keys = solid_keys(blocked, by)
-    return _scan_blocks(solid, keys, [key, *order], scans, widths, df.columns)
+    return _scan_blocks(solid.repartition(*keys, BLOCK), keys, [key, *order], scans, widths, df.columns)
 
 
 UNIT = "_unit"
