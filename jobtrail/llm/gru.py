@@ -140,11 +140,14 @@ def output_scores(model: Gru, states: np.ndarray, targets: np.ndarray) -> np.nda
     return scores
 
 
-def score_texts(model: Gru, texts: Sequence[np.ndarray], together: int = 1 << 19, window: int = 64) -> np.ndarray:
+def score_texts(model: Gru, texts: Sequence[np.ndarray], together: int = 1 << 22, rows: int = 2_048,
+                flush: int = 1 << 16) -> np.ndarray:
     """Natural log-probability of whole texts (word numbers, the end last).
 
-    Texts of similar length step together; the state goes on from window to
-    window until a text's end.
+    Texts of similar length step together, at most ``rows`` of them and
+    ``together`` words; the state goes on until a text's end. Outputs are
+    scored whenever ``flush`` states have gathered, so memory is bounded for
+    texts of any length.
     """
     lengths = np.array([len(t) for t in texts])
     out = np.zeros(len(texts))
@@ -152,25 +155,29 @@ def score_texts(model: Gru, texts: Sequence[np.ndarray], together: int = 1 << 19
     order = order[lengths[order] > 0]
     hidden = model.recurrent.shape[0]
     while len(order):
-        n = max(1, min(len(order), int(together // lengths[order[0]]), 8192))
+        n = max(1, min(len(order), int(together // lengths[order[0]]), rows))
         group, order = order[:n], order[n:]
         size = lengths[group]
-        padded = np.zeros((n, int(size[0])), dtype=np.int32)
-        for row, i in zip(padded, group):
-            row[:len(texts[i])] = texts[i]
+        steps = int(size[0])
+        # Step by step, so that one step's words lie side by side.
+        padded = np.zeros((steps, n), dtype=np.int32)
+        for column, i in enumerate(group):
+            padded[:len(texts[i]), column] = texts[i]
+        running = np.searchsorted(-size, -np.arange(steps), side="left")
         state = np.zeros((n, hidden), dtype=np.float32)
-        for low in range(0, int(size[0]), window):
-            high = min(low + window, int(size[0]))
-            running = np.searchsorted(-size, -np.arange(low, high), side="left")
-            states, targets, owners = [], [], []
-            for t, r in zip(range(low, high), running):
-                before = padded[:r, t - 1] if t else np.full(r, model.words + 1)
-                state = _step(model, before, state[:r])[0]
-                states.append(state)
-                targets.append(padded[:r, t])
-                owners.append(group[:r])
-            scores = output_scores(model, np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate(owners), scores, len(out))
+        states, waiting, first = [], 0, 0
+        for t in range(steps):
+            r = running[t]
+            before = padded[t - 1, :r] if t else np.full(r, model.words + 1)
+            state = _step(model, before, state[:r])[0]
+            states.append(state)
+            waiting += r
+            if waiting >= flush or t + 1 == steps:
+                targets = [padded[u, :running[u]] for u in range(first, t + 1)]
+                scores = output_scores(model, np.concatenate(states), np.concatenate(targets))
+                at = np.concatenate([np.arange(k) for k in running[first:t + 1]])
+                out[group] += np.bincount(at, scores, n)
+                states, waiting, first = [], 0, t + 1
     return out
 
 

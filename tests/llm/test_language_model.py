@@ -40,10 +40,10 @@ def test_untrained_is_the_unigram_model():
                        [0.25, 0.15, 0.075, 0.025, 0.5], atol=1e-6)
 
 
-def test_state_is_carried_across_windows_and_groups():
+def test_state_is_carried_however_texts_are_grouped():
     model, rng = tiny(), np.random.default_rng(1)
     texts = [rng.integers(0, 10, n) for n in (1, 300, 7, 64, 65, 2, 300, 150)] + [np.empty(0, dtype=int)]
-    one = gru.score_texts(model, texts, together=100, window=3)
+    one = gru.score_texts(model, texts, together=700, rows=3, flush=5)
     assert np.allclose(one, gru.score_texts(model, texts), rtol=1e-4)
     assert np.allclose(one[:2], [gru.score_texts(model, [t])[0] for t in texts[:2]], rtol=1e-4)
 
