@@ -50,6 +50,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
     def encode_words(words: list[bytes], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         encoder = word_pieces(tokenizer, "<u4")
         ids = [encoder.encode_word(w.decode()) for w in words]
+        encoder.forget()
         return np.array([len(i) // 4 for i in ids], dtype=np.int64), np.frombuffer(b"".join(ids), "<u4")
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:

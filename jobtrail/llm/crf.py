@@ -207,10 +207,10 @@ def train(samples: Sequence[tuple[str, list[str]]], passes: int = 6, batch: int
 class Labeller:
     """Language shares of whole texts; remembers the scores of a bounded number of words."""
 
-    CACHED_WORDS = 400_000
+    CACHED_WORDS = 150_000
     CACHED_LENGTH = 64
-    STEP_WORDS = 1 << 20
-    TOGETHER_LETTERS = 64 << 20
+    STEP_WORDS = 1 << 19
+    TOGETHER_LETTERS = 16 << 20
 
     def __init__(self, model: Crf):
         self.model = model

@@ -50,7 +50,7 @@ SIGNATURE = MINIMA * BITS // 64
 # Deviations of the estimate that the margin allows for.
 DEVIATIONS = 5.0
 CHUNK = 512
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+CACHED_WORDS, CACHED_LENGTH = 200_000, 64
 
 _rng = np.random.default_rng(20_240_501)
 _XOR = _rng.integers(0, 1 << 64, (MINIMA, 1), dtype=np.uint64)
@@ -154,6 +154,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_key", "bands", "sig"])
+        _hashes.clear()
 
     return docs.mapInArrow(make, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig array<long>")
 

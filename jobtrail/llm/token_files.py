@@ -93,6 +93,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             docs, tokens, nulls = docs + batch.num_rows, tokens + int(lengths.sum()), nulls + batch.column(0).null_count
         for file in files.values():
             file.done()
+        encoder.forget()
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "n_docs": [docs], "n_tokens": [tokens], "n_null_ids": [nulls],
             "width": pa.array([width], pa.int32())})

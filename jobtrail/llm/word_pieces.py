@@ -14,7 +14,7 @@ import numpy as np
 MARKS = ".,!?;:&*$%#"
 # Letters below this code point need no composition and lower-case to themselves or one letter.
 SIMPLE_LETTERS = 0x250
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 CACHED_LENGTH = 48
 
 
@@ -94,6 +94,11 @@ class WordPieces(dict):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, split_words(text)))
 
+    def forget(self) -> None:
+        """Give back the words' memory; the vocabulary stays for the worker's next task."""
+        self.clear()
+        self.cores.clear()
+
 
 _loaded: dict[tuple[str, str], WordPieces] = {}
 
