@@ -34,6 +34,8 @@ RATES = (0.08, 0.08, 0.06, 0.04)
 # Words learned from in one go, and parts averaged in the second level.
 GO_WORDS = 1 << 20
 GROUPS = 32
+# Groups in which the buckets' most frequent words are brought together.
+MERGED = 16
 PART_SCHEMA = "part int, weight long, model binary"
 
 
@@ -63,18 +65,25 @@ def _numbered(words: list[bytes], number: _Numbers) -> np.ndarray:
 def _head_words(answers: DataFrame, words: int) -> tuple[int, int, list[tuple[bytes, int]]]:
     """Training tokens, distinct ones, and the most frequent words of the corpus."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Totals and the most frequent words of a group of buckets; one bucket's at a time is in memory."""
+        total = distinct = 0
+        top: list[tuple[int, bytes]] = []
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for data in batch.column("answers").to_pylist():
                 data = unsqueeze(data)
-                total, distinct, n = np.frombuffer(data, "<i8", 3).tolist()
+                tokens_, types, n = np.frombuffer(data, "<i8", 3).tolist()
                 counts = np.frombuffer(data, "<i8", n, offset=24).tolist()
-                names = data[24 + 8 * n:].split(b"\n") if n else []
-                yield pa.RecordBatch.from_pydict({
-                    "word": pa.array([None, *names], pa.binary()), "n": pa.array([total, *counts], pa.int64()),
-                    "distinct": pa.array([distinct, *[0] * n], pa.int64())})
+                total, distinct = total + tokens_, distinct + types
+                top = sorted([*top, *zip([-c for c in counts], data[24 + 8 * n:].split(b"\n"))])[:words]
+        yield pa.RecordBatch.from_pydict({
+            "word": pa.array([None, *[w for _, w in top]], pa.binary()),
+            "n": pa.array([total, *[-c for c, _ in top]], pa.int64()),
+            "distinct": pa.array([distinct, *[0] * len(top)], pa.int64())})
 
-    rows = answers.where(F.col(BLOCK) == SUMMARY).select("answers").mapInArrow(unpack, "word binary, n long, distinct long")
+    rows = answers.where(F.col(BLOCK) == SUMMARY).select(
+        F.pmod("bucket", F.lit(MERGED)).alias("group"), "answers").groupBy("group") \
+        .applyInArrow(merge, "word binary, n long, distinct long")
     total, distinct = rows.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)),
                                                      F.coalesce(F.sum("distinct"), F.lit(0))).first()
     heads = rows.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(words).collect()
