@@ -85,3 +85,47 @@ def test_odd_rows(spark):
     df = odd_frame(spark).selectExpr("*", "concat('d/', source, '/', doc_id) AS path")
     same(licenses.scan_licenses(df).collect(), [(r.doc_id, r.path, r.text) for r in df.collect()])
     assert licenses.scan_licenses(empty_frame(spark).selectExpr("*", "rank AS path")).count() == 0
+
+
+def test_notices_that_are_no_templates(spark):
+    """Whole texts, headers over several lines, tags and other wordings, among files without any."""
+    from jobtrail.llm import notices
+
+    rows = [(100 + i, f"p/{i}", f"some words of prose number {i} that say nothing of note") for i in range(300)]
+    texts = notices.whole_texts()
+    want = {}
+
+    def add(name, kind, text, path):
+        want[len(rows)] = (name, kind)
+        rows.append((len(rows), path, text))
+
+    for name, text in texts.items():
+        add(name, "file", f"Copyright 2020 Foo Bar\n{text}", f"whole-{name}/LICENSE")
+        want[len(rows)] = (name, "inherited")
+        rows.append((len(rows), f"whole-{name}/src/a", "nothing of note in here"))
+    add("AGPL-3.0", "file", texts["GPL-3.0"].replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC"), "agpl/COPYING")
+    add("CC-BY-4.0", "file", texts["CC-BY-SA-4.0"].replace("Attribution-ShareAlike", "Attribution"), "cc/COPYING")
+    code = "\n".join(f"value{i} = compute{i}(argument{i})" for i in range(200))
+    cut = lambda text: "\n".join(f"// {' '.join(text.split()[i:i + 7])}" for i in range(0, len(text.split()), 7))
+    add("Apache-2.0", "header", f"{cut(notices.APACHE)}\n{code}", "h/a")
+    add("MPL-2.0", "header", f"{cut(notices.MPL)}\n{code}", "h/b")
+    for key, (name, version) in notices.GNU_NAMES.items():
+        add(key, "header", f"{cut(notices.GNU.format(thing='program', name=name, version=version))}\n{code}", f"h/{key}")
+    add("MIT", "header", f"{cut(texts['MIT'])}\n{code}", "h/mit")
+    for tag, name in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("(mit OR Zlib)", "MIT"),
+                      ("Zlib", "Zlib")):
+        add(name, "header", f"{code}\n# SPDX-License-Identifier: {tag}\n{code}", f"t/{tag.strip('()')}")
+    add("MIT", "header", f"{code}\nCopyright 2020 Foo Bar. Released under the MIT License. All else is his.\n{code}", "w/a")
+    add("MIT", "header", f"{code}\nThis file is distributed\nunder the MIT license, see there\n{code}", "w/b")
+    add("LGPL-2.1", "header", f"{code}\nIt is under the terms of the GNU Lesser General\nPublic License, version 2.1.\n{code}", "w/c")
+    df = spark.createDataFrame([(i, path, text) for i, (_, path, text) in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r.doc_id: (r.license, r.kind) for r in licenses.scan_licenses(df).collect()}
+    assert {i: found[i] for i in want} == want
+    assert all(found[i] == (None, "none") for i in range(300))
+
+
+def test_a_near_wording_is_no_notice(spark):
+    rows = [(i, None, f"words of prose {i} that are of no account here") for i in range(300)]
+    rows += [(300, None, "It was released under the old bridge, licensed under the county, version 2 or 3.")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert {r.kind for r in licenses.scan_licenses(df).collect() if r.doc_id == 300} == {"none"}
