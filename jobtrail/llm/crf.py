@@ -2,13 +2,20 @@
 
 Every word has a label; its score is the sum of the weights of its affixes,
 character n-grams and itself (the lexicon), hashed into a fixed number of
-buckets, and neighbouring labels add a learned transition. Forward-backward
+buckets, and neighbouring labels add a learned transition. Text in scripts
+without spaces, and words above ``LONGEST_WORD`` letters, are cut at
+punctuation and changes of script and then into pieces of a word's usual
+length, each with a label of its own; no letter is left out. Forward-backward
 gives each word's label probabilities. Numpy only; sequences are handled many
 at a time, a step of all of them at once.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -17,8 +24,15 @@ import numpy as np
 
 BUCKETS = 1 << 16
 LONGEST_AFFIX = 4
-# A word's middle is represented by the n-grams of its first and last letters; longer words add nothing new.
-NGRAM_LETTERS = 24
+LONGEST_WORD = 48
+# Scripts written without spaces and the letters of a piece in each: Han, kana, and Thai, Lao, Tibetan, Burmese, Khmer
+# and the like. Longer words of other scripts go by the last number.
+SCRIPTS = ["\u3005-\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff", "\u3041-\u30ff\u31f0-\u31ff\uff66-\uff9f",
+           "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aad\ua9e0-\ua9ff\uaa60-\uaadf"]
+PIECES = (2, 3, 5, 8)
+UNSPACED = re.compile(f"[{''.join(SCRIPTS)}]")
+# Pieces reach so far into the next one that every n-gram is inside of one.
+OVERLAP = 2
 
 
 def letters_of(word: str) -> str:
@@ -31,10 +45,38 @@ def letters_of(word: str) -> str:
     return word.lower()
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _script(letter: str) -> int:
+    """Place in ``PIECES``; -1 for what is neither letter nor mark."""
+    if unicodedata.category(letter)[0] not in "LM":
+        return -1
+    return next((i for i, ranges in enumerate(SCRIPTS) if re.match(f"[{ranges}]", letter)), len(SCRIPTS))
+
+
+def is_one(word: str) -> bool:
+    """Whether a word between spaces has a single label."""
+    return len(word) <= LONGEST_WORD and not UNSPACED.search(word)
+
+
+def tokens_of(word: str) -> list[str]:
+    """What of a word between spaces has labels: its letters, or the pieces of an unspaced text; none without letters."""
+    if is_one(word):
+        core = letters_of(word)
+        return [core] if core else []
+    out = []
+    for script, run in itertools.groupby(word, _script):
+        if script >= 0:
+            run = "".join(run).lower()
+            if script == len(SCRIPTS) and len(run) <= LONGEST_WORD:
+                out.append(run)
+            else:
+                step = PIECES[script]
+                out += [run[i:i + step + OVERLAP] for i in range(0, len(run), step)]
+    return [piece for piece in out if any(map(str.isalpha, piece))]
+
+
 def features_of(core: str) -> list[int]:
     """Buckets of the affixes, the 2- and 3-grams and the word itself."""
-    if len(core) > 2 * NGRAM_LETTERS:
-        core = core[:NGRAM_LETTERS] + core[-NGRAM_LETTERS:]
     marked = f"^{core}$"
     names = [f"w{core}"]
     names += [f"p{core[:n]}" for n in range(1, LONGEST_AFFIX + 1)]
@@ -208,7 +250,6 @@ class Labeller:
     """Language shares of whole texts; remembers the scores of a bounded number of words."""
 
     CACHED_WORDS = 150_000
-    CACHED_LENGTH = 64
     STEP_WORDS = 1 << 19
     TOGETHER_LETTERS = 16 << 20
 
@@ -222,27 +263,35 @@ class Labeller:
         self.scores = np.zeros((1024, len(self.model.labels)), dtype=np.float32)
         self.used = 0
 
-    def _place(self, word: str) -> int:
-        """Row of the word's scores; -1 for a word without letters."""
-        core = letters_of(word)
-        if not core:
-            row = -1
-        elif core in self.cores:
-            row = self.cores[core]
-        else:
+    def _scored(self, core: str) -> int:
+        """Row of the scores."""
+        row = self.cores.get(core)
+        if row is None:
             row = self.used
             if row == len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.scores[row] = self.model.emission(features_of(core))
             self.used += 1
             self.cores[core] = row
+        return row
+
+    def _place(self, word: str) -> int:
+        """Row of the word's scores; -1 for a word without letters, -2 for one of several pieces."""
+        if not is_one(word):
+            return -2
+        core = letters_of(word)
+        row = self._scored(core) if core else -1
         self.place[word] = row
         return row
 
     def _rows(self, text: str) -> np.ndarray:
         get, add = self.place.get, self._place
-        found = [row if (row := get(word)) is not None else add(word) for word in text.split()]
+        words = text.split()
+        found = [row if (row := get(word)) is not None else add(word) for word in words]
         rows = np.array(found, dtype=np.int32)
+        if len(rows) and rows.min() == -2:
+            rows = np.array([r for word, row in zip(words, found) for r in (
+                (row,) if row != -2 else map(self._scored, tokens_of(word)))], dtype=np.int32)
         return rows[rows >= 0]
 
     def shares(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,14 +300,15 @@ class Labeller:
         out, counts = np.zeros((len(texts), k)), np.zeros(len(texts), dtype=np.int64)
         at = 0
         while at < len(texts):
-            if len(self.place) > self.CACHED_WORDS:
+            if max(len(self.place), len(self.cores)) > self.CACHED_WORDS:
                 self._forget()
-            # Texts of up to so many characters share the row numbers of one memory.
-            high, size = at, 0
-            while high < len(texts) and (high == at or size + len(texts[high]) < self.TOGETHER_LETTERS):
+            # Texts of up to so many characters, and of not too many new pieces, share the row numbers of one memory.
+            high, size, rows = at, 0, []
+            while high < len(texts) and (high == at or size + len(texts[high]) < self.TOGETHER_LETTERS
+                                         and len(self.cores) <= 2 * self.CACHED_WORDS):
                 size += len(texts[high])
+                rows.append(self._rows(texts[high]))
                 high += 1
-            rows = [self._rows(t) for t in texts[at:high]]
             lengths = np.array([len(r) for r in rows])
             counts[at:high] = lengths
             order = np.argsort(-lengths, kind="stable")

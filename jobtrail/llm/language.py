@@ -3,7 +3,8 @@
 The field is fitted on the driver from a bounded sample: about ``sample``
 labelled texts, spread evenly over the languages by a hash of the document id,
 and of each a run of ``window`` words starting at a hashed place. Runs of
-different texts are put together to code-switched sequences. Every text is then
+different texts are put together to code-switched sequences. In scripts
+without spaces the pieces of ``crf.tokens_of`` are the words. Every text is then
 labelled whole; its language is the one with the most expected words, and the
 score is that language's share of the words.
 
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from jobtrail.llm import crf
-from jobtrail.llm.shared import GAPS, hex_unit
+from jobtrail.llm.shared import hex_unit
 
 UNKNOWN = "und"
 # Documented bounds of the labelled sample: texts over all languages, and words of each.
@@ -52,14 +54,20 @@ def learning_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, window: int = SA
     identity = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("t"), F.md5("text")))
     place = hex_unit(F.concat(F.lit(f"place{seed}|"), identity))
     chosen = labelled.where(hex_unit(F.concat(F.lit(f"sample{seed}|"), identity)) < share)
-    words = chosen.select("lang", identity.alias("identity"), place.alias("place"), F.split("text", GAPS).alias("words"))
-    first = F.floor(F.col("place") * F.greatest(F.size("words") - F.lit(window) + 1, F.lit(1))).cast("int") + 1
-    rows = words.select("lang", "identity", F.slice("words", first, F.lit(window)).alias("run")).collect()
-    out = []
-    for row in sorted(rows, key=lambda r: (r["lang"], r["identity"], r["run"])):
-        cores = [core for word in row["run"] if (core := crf.letters_of(word))]
-        if cores:
-            out.append((row["lang"], cores))
+    texts_ = chosen.select("lang", identity.alias("identity"), place.alias("place"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = []
+            for at, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words = [token for word in text.split() for token in crf.tokens_of(word)]
+                first = int(at * max(len(words) - window + 1, 1))
+                runs.append(words[first:first + window])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.string()))],
+                                             names=["lang", "identity", "run"])
+
+    rows = texts_.mapInArrow(cut, texts_.select("lang", "identity").schema.add("run", ArrayType(StringType()))).collect()
+    out = [(row["lang"], row["run"]) for row in sorted(rows, key=lambda r: (r["lang"], r["identity"], r["run"])) if row["run"]]
     return out
 
 

@@ -75,3 +75,34 @@ def test_labels_are_no_input_of_a_prediction(spark):
     two = language.with_language(docs.selectExpr("doc_id", "text", "'xx' lang", "'s' source"), model) \
         .select("doc_id", "lang_pred", "score").collect()
     assert sorted(one) == sorted(two)
+
+
+JAPANESE = "私たちは毎日新しい言葉を学びながら生活しています。東京の天気は晴れで、電車はとても便利です。"
+THAI = "ภาษาไทยเป็นภาษาที่ไม่มีช่องว่างระหว่างคำและมีวรรณยุกต์"
+
+
+def test_tokens_leave_no_letter_out():
+    for text in (JAPANESE * 40, THAI * 40, "unspaced" * 100, "z" * 49 + ",und" + "ß" * 60):
+        tokens = crf.tokens_of(text)
+        assert len(tokens) >= len(text) / 16
+        for run in text.replace("、", "。").replace(",", "。").split("。"):
+            for n in (2, 3):
+                for i in range(len(run) - n + 1):
+                    gram = run[i:i + n]
+                    if len({crf._script(c) for c in gram}) == 1:
+                        assert any(gram in t for t in tokens)
+    assert crf.tokens_of("Donaudampfschifffahrt,") == ["donaudampfschifffahrt"] and crf.tokens_of("--12--") == []
+
+
+def test_unspaced_texts_count_whole(spark):
+    english = "the and of that with this from have which would there their about other".split()
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(english, 60)), "en") for i in range(60)]
+    rows += [(100 + i, (JAPANESE if i % 2 else JAPANESE[20:] + JAPANESE[:20]) * 8, "ja") for i in range(60)]
+    rows += [(200 + i, THAI[i % 9:] * 8, "th") for i in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    footer = " read more about this from the other"
+    texts = [(0, JAPANESE * 60 + footer), (1, THAI * 60 + footer), (2, footer * 60 + JAPANESE)]
+    found = language.with_language(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in sorted(found)] == ["ja", "th", "en"]
+    assert all(r.score > 0.8 for r in found)
