@@ -5,17 +5,14 @@ vector of its terms' weights, and the score their inner product in 64-bit
 integers. Statistics (number of documents, terms and document frequencies) are
 sums over all documents. Then each task reads its documents as a stream,
 ``TREE_DOCS`` at a time: it splits them into a ball tree (two far documents draw
-the others to them, halves are equal), and searches it for every item, best
+the others to them), and searches it for every item, best
 subtree first. A ball's bound is the item's product with its centroid plus the
-item's length times the radius; all of it is rounded up by more than the error
-of the floating sums, so a subtree is left out only if none of its documents
+item's length, over the terms some document of the ball has, times the radius;
+all of it is rounded up by more than the error of the floating sums, so a subtree is left out only if none of its documents
 can enter the item's best ones. Leaves are scored exactly. What an item has
 found so far lifts its threshold for the trees after, and each task returns
 ``k`` rows an item at most, which a window ranks.
 
-Vectors are held in two scalings, of which the tighter bound counts: document
-values as they are against weights, and values times weights against ones.
-
 Items are taken in blocks of about ``BLOCK_TERMS`` terms and ``BLOCK_ITEMS`` items
 (an item is never cut), each a pass over the documents, so what travels to the
 tasks is bounded. Tasks' results are merged in groups of ``MERGED_TASKS`` first.
@@ -69,7 +66,7 @@ def item_terms(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def item_blocks(pairs: DataFrame, block_terms: int) -> DataFrame:
     """Add ``block``: items are dealt by hash so that a block has about ``block_terms`` pairs and ``BLOCK_ITEMS`` items."""
     items = pairs.select("item_id").distinct().count()
-    blocks = max(1, -(-pairs.count() // block_terms), -(-items // BLOCK_ITEMS))
+    blocks = max(1, min(items, -(-pairs.count() // block_terms)), -(-items // BLOCK_ITEMS))
     return pairs.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("null"))), F.lit(blocks)))
 
 
@@ -113,20 +110,15 @@ def with_values(vectors: DataFrame, documents: int, length: int) -> DataFrame:
 
 
 class Tree:
-    """A ball tree over sparse vectors in two scalings; nodes are ranges of ``order``."""
+    """A ball tree over sparse vectors; nodes are ranges of ``order``, a node's left child is the next node."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, values: np.ndarray, weight: np.ndarray, leaf: int):
-        self.starts, self.terms, self.values = starts, terms, values
-        n = len(starts) - 1
-        self.order, self.low, self.high, self.left, self.centroids, self.radii = np.arange(n), [], [], [], [], []
-        self.weight = weight
-        self.scalings = [(values.astype(np.float64), np.ones(len(weight))),
-                         (values * weight[terms].astype(np.float64), weight.astype(np.float64))]
-        # Lengths for the split come from the weighted values, in which rare terms count.
-        self.points = self.scalings[1][0]
-        self.squares = np.array([np.add.reduceat(np.append(v * v, 0.0), starts[:-1]) for v, _ in self.scalings])
+        self.starts, self.terms, self.values, self.weight = starts, terms, values, weight
+        self.order, self.low, self.high, self.right, self.centroids, self.radii = np.arange(len(starts) - 1), [], [], [], [], []
+        self.points = values.astype(np.float64)
+        self.squares = np.add.reduceat(self.points * self.points, starts[:-1])
         self.dense = np.zeros(len(weight))
-        self._split(0, n, leaf)
+        self._split(0, len(self.order), leaf)
 
     def _take(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the entries of ``docs`` and where each document's begin."""
@@ -134,55 +126,51 @@ class Tree:
         ends = np.cumsum(sizes)
         return np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(self.starts[docs], sizes), ends - sizes
 
-    def _products(self, at: np.ndarray, firsts: np.ndarray, values: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values[at] * dense[self.terms[at]], firsts)
+    def _products(self, at: np.ndarray, firsts: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.points[at] * dense[self.terms[at]], firsts)
 
-    def _distances(self, docs, at, firsts, doc: int) -> np.ndarray:
+    def _distances(self, docs: np.ndarray, at: np.ndarray, firsts: np.ndarray, doc: int) -> np.ndarray:
         own = slice(self.starts[doc], self.starts[doc + 1])
         self.dense[self.terms[own]] = self.points[own]
-        product = self._products(at, firsts, self.points, self.dense)
+        product = self._products(at, firsts, self.dense)
         self.dense[self.terms[own]] = 0.0
-        return self.squares[1][docs] - 2 * product + self.squares[1][doc]
+        return self.squares[docs] - 2 * product + self.squares[doc]
 
-    def _split(self, low: int, high: int, leaf: int) -> int:
+    def _split(self, low: int, high: int, leaf: int) -> None:
         node = len(self.low)
         docs = self.order[low:high]
         at, firsts = self._take(docs)
-        self.low.append(low), self.high.append(high), self.left.append(None)
-        centroids, radii = [], []
-        for (values, _), squares in zip(self.scalings, self.squares):
-            centre = np.bincount(self.terms[at], values[at], len(self.weight)) / len(docs)
-            far = (squares[docs] - 2 * self._products(at, firsts, values, centre) + centre @ centre).max()
-            # Cancellation is bounded by the size of the squares.
-            far += 1e-9 * (squares[docs].max() + centre @ centre)
-            support = np.flatnonzero(centre)
-            centroids.append((support, centre[support]))
-            radii.append(np.sqrt(max(far, 0.0)) * (1 + 1e-9))
-        self.centroids.append(centroids)
-        self.radii.append(radii)
-        if high - low > leaf:
-            first = docs[np.argmax(self._distances(docs, at, firsts, docs[0]))]
-            to_first = self._distances(docs, at, firsts, first)
-            second = docs[np.argmax(to_first)]
-            side = np.argsort(to_first - self._distances(docs, at, firsts, second), kind="stable")
-            self.order[low:high] = docs[side]
-            middle = (low + high) // 2
-            self._split(low, middle, leaf)
-            self.left[node] = len(self.low)
-            self._split(middle, high, leaf)
-        return node
+        self.low.append(low)
+        self.high.append(high)
+        self.right.append(None)
+        centre = np.bincount(self.terms[at], self.points[at], len(self.weight)) / len(docs)
+        far = (self.squares[docs] - 2 * self._products(at, firsts, centre) + centre @ centre).max()
+        # Cancellation is bounded by the size of the squares.
+        far += 1e-9 * (self.squares[docs].max() + centre @ centre)
+        support = np.flatnonzero(centre)
+        self.centroids.append((support, centre[support]))
+        self.radii.append(np.sqrt(max(far, 0.0)) * (1 + 1e-9))
+        if high - low <= leaf:
+            return
+        first = docs[np.argmax(self._distances(docs, at, firsts, docs[0]))]
+        to_first = self._distances(docs, at, firsts, first)
+        second = docs[np.argmax(to_first)]
+        nearer = to_first - self._distances(docs, at, firsts, second)
+        self.order[low:high] = docs[np.argsort(nearer, kind="stable")]
+        # Where the nearer side ends, but neither side below an eighth, so that the tree stays shallow.
+        eighth = (high - low) // 8
+        middle = low + int(np.clip((nearer < 0).sum(), eighth + 1, high - low - eighth - 1))
+        self._split(low, middle, leaf)
+        self.right[node] = len(self.low)
+        self._split(middle, high, leaf)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the products, nodes by items; ``queries`` has the weights of each item's terms, terms by items."""
-        out = None
-        for s, (_, scale) in enumerate(self.scalings):
-            rest = np.divide(queries, scale[:, None], out=np.zeros(queries.shape), where=scale[:, None] > 0)
-            norms = np.sqrt((rest * rest).sum(axis=0))
-            rows = np.empty((len(self.low), queries.shape[1]))
-            for node, centroids in enumerate(self.centroids):
-                support, centre = centroids[s]
-                rows[node] = centre @ rest[support] + norms * self.radii[node][s]
-            out = rows if out is None else np.minimum(out, rows)
+        """Upper bounds of the products, nodes by items; ``queries`` has the items' weights, terms by items."""
+        squares = queries * queries
+        out = np.empty((len(self.low), queries.shape[1]))
+        for node, ((support, centre), radius) in enumerate(zip(self.centroids, self.radii)):
+            # Terms that no document below has add nothing: the ball lies in the space of the others.
+            out[node] = centre @ queries[support] + np.sqrt(squares[support].sum(axis=0)) * radius
         return out * (1 + 1e-9) + 1.0
 
     def scores(self, node: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +207,8 @@ def search_item(tree: Tree, ids: list, weight: np.ndarray, bound: list[float], h
         # At an equal score a smaller id still wins, so only lower bounds end the search.
         if -upper < least:
             break
-        if tree.left[node] is not None:
-            for child in (node + 1, tree.left[node]):
+        if tree.right[node] is not None:
+            for child in (node + 1, tree.right[node]):
                 heapq.heappush(todo, (-bound[child], child))
             continue
         docs, scores = tree.scores(node, weight)
