@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from jobtrail.functions.frames import attach, require_columns
+from jobtrail.functions.frames import attach, require_columns, salted_join, single_row
 from jobtrail.operators.scan import text_ordinal
 from jobtrail.operators.splits import chrono_split
 from jobtrail.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 
-FEATURE_MODES = ("numeric_only", "with_categorical_native", "with_categorical_onehot", "with_categorical")
+FEATURE_MODES = ("numeric_only", "with_categorical_native", "with_categorical_onehot", "with_categorical",
+                 "with_categorical_ordered")
+# Weight of the overall mean in a category's code, in rows.
+SMOOTHING = 20.0
 
 
 def feature_columns(jobs: DataFrame) -> tuple[list[str], list[str]]:
@@ -101,18 +105,50 @@ def with_category_indexes(df: DataFrame, train: DataFrame, columns: Sequence[str
     return df, sizes
 
 
+def target_codes(df: DataFrame, columns: Sequence[str], target: str = "label", train: Column | None = None,
+                 smoothing: float = SMOOTHING, spread: str = "job_id") -> DataFrame:
+    """Add ``<column>_code``: one number per category, ordered by the target, learnt from the train rows.
+
+    The code is the mean target of the category's train rows, drawn towards the
+    overall mean as if ``smoothing`` rows more had it. A train row does not count
+    itself (leave-one-out), so a rare category does not give its target away.
+    Categories without train rows have the overall mean; null is a category. Learners see a plain number: the bins of
+    their histograms need not grow with the categories. Targets are summed as
+    decimals of six places, in any order. Sums are combined before the shuffle and
+    a category of many rows is split when it meets them.
+    """
+    train = F.col("split") == "train" if train is None else train
+    own = F.when(F.coalesce(train, F.lit(False)), F.col(target).cast("decimal(28,6)"))
+    mean = single_row(df.agg((F.sum(own).cast("double") / F.count(own)).alias("mean")))["mean"]
+    out = df
+    for column in columns:
+        name = next(n for n in (f"_known{i}" for i in itertools.count()) if n not in out.columns)
+        sums = df.groupBy(F.col(column).alias(column)).agg(F.struct(F.sum(own).alias("sum"), F.count(own).alias("rows")).alias(name))
+        joined = salted_join(out, sums, [column], [spread], how="left")
+        others = F.coalesce(F.col(name)["sum"], F.lit(0)) - F.coalesce(own, F.lit(0).cast("decimal(28,6)"))
+        rows = F.coalesce(F.col(name)["rows"], F.lit(0)) - own.isNotNull().cast("int")
+        code = (others.cast("double") + F.lit(smoothing) * mean) / (rows + F.lit(smoothing))
+        out = joined.select(*out.columns, code.alias(f"{column}_code"))
+    return out
+
+
 def assemble(df: DataFrame, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
              mode: str = "numeric_only") -> tuple[DataFrame, int]:
     """Add the ``features`` vector of one mode; also returns the largest category count.
 
     The native modes keep category indexes, which tree learners split on as
-    sets; one-hot vectors stay sparse and are all zero for unseen categories.
+    sets; one-hot vectors stay sparse and are all zero for unseen categories; the
+    ordered mode has one number per category (``target_codes``; needs ``label`` and ``split``).
     """
     if mode not in FEATURE_MODES:
         raise ValueError(f"Unknown feature_mode: {mode!r}")
     require_columns(df, numeric)
     if mode == "numeric_only" or not categorical:
         return VectorAssembler(inputCols=list(numeric), outputCol="features").transform(df), 0
+    if mode == "with_categorical_ordered":
+        coded = target_codes(df, categorical)
+        inputs = [*numeric, *[f"{c}_code" for c in categorical]]
+        return VectorAssembler(inputCols=inputs, outputCol="features").transform(coded), 0
     indexed, sizes = with_category_indexes(df, train, categorical)
     inputs = [f"{c}_index" for c in categorical]
     if mode == "with_categorical_onehot":

@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.util import inheritable_thread_target
 
+from jobtrail.operators import boosting
 from jobtrail.operators.metrics import regression_metrics
 from jobtrail.operators.splits import with_fold, with_holdout
 
@@ -42,31 +43,46 @@ SPACES = {
 
 # Shares of the train rows held out for early stopping in cross-validation and in the final fit.
 CV_HOLDOUT, FIT_HOLDOUT = 0.15, 0.10
-BOOSTED = ("gbt", "gbt_l1")
+# Rounds without improvement after which boosting ends, in the final fit and in cross-validation.
+PATIENCE, CV_PATIENCE = {"gbt": 50, "gbt_l1": 100}, 50
+BOOSTED = {"gbt": "squared", "gbt_l1": "absolute"}
 
 
 def estimator(kind: str, params: Mapping | None = None, seed: int = 42, categories: int = 0):
-    """Random forest, or boosted trees with squared (``gbt``) or absolute (``gbt_l1``) error."""
+    """Spark's random forest, or boosted trees with squared (``gbt``) or absolute (``gbt_l1``) error.
+
+    Spark's trees for absolute error keep mean leaves; ``fit`` uses median ones.
+    """
     if kind not in DEFAULTS:
         raise ValueError(f"Unknown model: {kind!r}")
     settings = {**DEFAULTS[kind], **(params or {})}
-    # Trees need at least one bin per category.
-    bins = max(32, categories)
-    common = {"featuresCol": "features", "labelCol": "label", "seed": seed, "maxBins": bins}
+    common = {"featuresCol": "features", "labelCol": "label", "seed": seed, "maxBins": _bins(categories)}
     if kind == "rf":
         return RandomForestRegressor(**common, **settings)
-    loss = "squared" if kind == "gbt" else "absolute"
-    return GBTRegressor(lossType=loss, **common, **settings)
+    return GBTRegressor(lossType=BOOSTED[kind], **common, **settings)
+
+
+def _bins(categories: int) -> int:
+    """Trees need at least one bin per category."""
+    return max(32, categories)
+
+
+def fit_boosted(kind: str, train: DataFrame, params: Mapping | None = None, seed: int = 42, categories: int = 0,
+                holdout: float | None = FIT_HOLDOUT, patience: int | None = None) -> boosting.Boosted:
+    """Boost with median leaves under absolute error; with ``holdout`` the best round on held-out rows ends the model."""
+    settings = {**DEFAULTS[kind], **(params or {})}
+    if holdout is None:
+        return boosting.boost(train, BOOSTED[kind], settings, seed=seed, max_bins=_bins(categories))
+    return boosting.boost(with_holdout(train, holdout, seed), BOOSTED[kind], settings, "is_val",
+                          patience or PATIENCE[kind], seed, _bins(categories))
 
 
 def fit(kind: str, train: DataFrame, params: Mapping | None = None, early_stopping: bool = False, seed: int = 42,
-        categories: int = 0, holdout: float = FIT_HOLDOUT):
-    """Fit one model; early stopping ends boosting when a held-out part stops improving."""
-    learner = estimator(kind, params, seed, categories)
-    if early_stopping and kind in BOOSTED:
-        train = with_holdout(train, holdout, seed)
-        learner = learner.setValidationIndicatorCol("is_val")
-    return learner.fit(train)
+        categories: int = 0, holdout: float = FIT_HOLDOUT, patience: int | None = None):
+    """Fit one model; early stopping ends boosting when a held-out part has not improved for ``patience`` rounds."""
+    if kind in BOOSTED and (early_stopping or BOOSTED[kind] == "absolute"):
+        return fit_boosted(kind, train, params, seed, categories, holdout if early_stopping else None, patience).model
+    return estimator(kind, params, seed, categories).fit(train)
 
 
 def _clipped(column: str, clip: bool) -> Column:
@@ -97,7 +113,7 @@ def _cross_validate(kind: str, train: DataFrame, choices: Sequence[dict], folds:
     def error(task: tuple[int, int]) -> float:
         choice, fold = task
         model = fit(kind, parts.where(F.col("fold") != fold), choices[choice], early_stopping=True, seed=seed + fold,
-                    categories=categories, holdout=CV_HOLDOUT)
+                    categories=categories, holdout=CV_HOLDOUT, patience=CV_PATIENCE)
         return judge.evaluate(model.transform(parts.where(F.col("fold") == fold)))
 
     tasks = [(c, f) for c in range(len(choices)) for f in range(folds)]

@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtrail.functions.expressions import exact_mean, to_seconds
-from jobtrail.functions.frames import attach, salted_join
+from jobtrail.functions.frames import attach, null_safe_join, salted_join
 from jobtrail.operators.metrics import ERROR_NAMES, error_aggregates
 from jobtrail.operators.quantiles import quantiles, value_counts
 from jobtrail.operators.scan import Scan, key_scan
 from jobtrail.operators.stats import ecdf
 
 BASELINE = "FIFO"
+# Up to this many pairs the signed-rank test counts the exact distribution.
+EXACT_PAIRS = 50
 WAIT_MARKS = {"p50": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99, "max": 1.0}
 
 
@@ -163,6 +165,61 @@ def wilcoxon(diffs: DataFrame, by: str = "policy") -> DataFrame:
     return full.withColumn("z", F.try_divide(F.col("w_plus") - mean, spread))
 
 
+def _exact_tail(ranks: Column, doubled: Column) -> Column:
+    """Chance that the doubled rank sum reaches ``doubled`` when every rank is positive with probability 1/2.
+
+    ``ways[s]`` counts the sets of ranks with the doubled sum ``s``; each rank adds the ways without it, moved by it.
+    """
+    whole = F.aggregate(ranks, F.lit(0).cast("bigint"), lambda a, r: a + r)
+    none = F.array_repeat(F.lit(0).cast("bigint"), whole.cast("int"))
+    start = F.concat(F.array(F.lit(1).cast("bigint")), none)
+
+    def add(ways: Column, rank: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0).cast("bigint"), rank.cast("int")), ways)
+        return F.transform(ways, lambda n, s: n + F.get(moved, s))
+
+    ways = F.aggregate(ranks, start, add)
+    reached = F.aggregate(F.slice(ways, doubled.cast("int") + 1, F.greatest(F.size(ways) - doubled.cast("int"), F.lit(0))),
+                          F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return reached.cast("double") / F.pow(F.lit(2.0), F.size(ranks))
+
+
+def signed_rank_test(diffs: DataFrame, by: Sequence[str] = ("policy",), exact_pairs: int = EXACT_PAIRS) -> DataFrame:
+    """Signed-rank test per group with its one-sided p-value: ``n, w_plus, z, p_value, exact``.
+
+    Up to ``exact_pairs`` non-zero differences the p-value is exact, ties
+    included: the distribution of the rank sum is counted over doubled mean
+    ranks, which are integers. Larger groups use the normal approximation with tie
+    correction. Zeros and nulls are dropped; a group with nothing left has n = 0
+    and p = 1. Differences are counted per magnitude first and at most
+    ``exact_pairs`` magnitudes of a group are listed, so no group is gathered.
+    """
+    if exact_pairs > 60:
+        raise ValueError("Counts of more than 60 pairs do not fit 64 bits.")
+    by, d = list(by), F.col("diff")
+    ties = diffs.where(d.isNotNull() & (d != 0)).groupBy(*by, F.abs(d).cast("bigint").alias("size")).agg(
+        F.count_if(d > 0).alias("n_pos"), F.count(F.lit(1)).alias("n"))
+    ranked = key_scan(ties, "size", [Scan("_upto", "sum", "n")], by=by)
+    double_rank = F.lit(2) * F.col("_upto") - F.col("n") + F.lit(1)
+    count, positive = (F.col(c).cast("decimal(18,0)") for c in ("n", "n_pos"))
+    listed = F.when(F.col("_upto") <= exact_pairs, F.array_repeat(double_rank, F.col("n").cast("int")))
+    sums = ranked.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(double_rank.cast("decimal(19,0)") * positive).alias("_doubled"),
+        F.sum((count * count * count - count).cast("decimal(38,0)")).cast("double").alias("_ties"),
+        F.flatten(F.collect_list(listed)).alias("_ranks"))
+    full = null_safe_join(diffs.select(*by).distinct(), sums, by, "left").fillna(0, ["n"])
+    size, tie_term = F.col("n").cast("double"), F.coalesce("_ties", F.lit(0.0))
+    w_plus = F.coalesce(F.col("_doubled").cast("double") / 2.0, F.lit(0.0))
+    spread = F.sqrt((size * (size + 1.0) * (2.0 * size + 1.0) - tie_term / 2.0) / 24.0)
+    z = F.try_divide(w_plus - size * (size + 1.0) / 4.0, spread)
+    exact = F.col("n") <= exact_pairs
+    tested = full.select(*by, "n", w_plus.alias("w_plus"), z.alias("z"), exact.alias("exact"), F.when(exact & (F.col("n") > 0),
+                         _exact_tail(F.col("_ranks"), F.col("_doubled").cast("bigint"))).alias("_p"))
+    upper_tail = F.pandas_udf(_upper_tail, "double")
+    p_value = F.when(F.col("exact"), F.coalesce("_p", F.lit(1.0))).otherwise(upper_tail(F.col("z")))
+    return tested.select(*by, "n", "w_plus", "z", p_value.alias("p_value"), "exact")
+
+
 def significance_table(results: DataFrame, baseline: str = BASELINE, level: float = 0.05) -> DataFrame:
     """Signed-rank test of each policy against the baseline with mean completion times."""
     upper_tail = F.pandas_udf(_upper_tail, "double")

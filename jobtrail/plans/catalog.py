@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobtrail.functions.expressions import epoch_micros, log10p1, to_seconds
 from jobtrail.operators import (
-    arrivals, capacity, checkpoints, features, load, metrics, ml, policy, prep, queueing, sequences, splits, stats,
+    arrivals, boosting, capacity, checkpoints, features, load, metrics, ml, policy, prep, queueing, sequences, splits, stats,
 )
 from jobtrail.plans.features import add_features, engineered_jobs, prepare_features
 from jobtrail.schema import NUMERIC_FEATURES, TARGET, heterogeneous_cluster, node_classes
@@ -30,6 +30,9 @@ REDUCED_CLUSTER = node_classes([(10, 4.0, 1.0), (5, 8.0, 2.0)])
 # Small models: the registered queries show the operators, not tuned quality.
 SMALL_RF = {"numTrees": 10, "maxDepth": 6}
 SMALL_GBT = {"maxIter": 8, "maxDepth": 4}
+# Boosting of stumps shown round by round.
+STUMP_ROUND = {"maxIter": 1, "maxDepth": 1, "stepSize": 1.0}
+STUMP_ROUNDS, PATIENCE_SHOWN = {"maxIter": 8, "maxDepth": 1, "stepSize": 0.5}, 3
 SEQ_FEATURES = ["gpu_demand", "num_cpu", "job_runtime"]
 SEQ_LEN = 4
 
@@ -606,6 +609,13 @@ def wilcoxon(spark, sf_dir):
     return policy.wilcoxon(policy.paired_differences(results(spark, sf_dir)))
 
 
+@query
+def signed_rank_groups(spark, sf_dir):
+    """Signed-rank tests within each user's jobs of a GPU type: few pairs, so exact."""
+    diffs = policy.attach_predictions(policy.paired_differences(results(spark, sf_dir)), jobs(spark, sf_dir), ["user", "gpu_type"])
+    return policy.signed_rank_test(diffs, ["policy", "user", "gpu_type"])
+
+
 @query
 def significance_table(spark, sf_dir):
     return policy.significance_table(results(spark, sf_dir))
@@ -647,6 +657,51 @@ def stump_scores(spark, sf_dir):
     return ml.score(rows.where(F.col("split") == "test"), models).select("job_id", "pred_tree", "pred_boosted")
 
 
+def _stump_inputs(spark, sf_dir):
+    """One feature, so that a tree of depth 1 is a single cut."""
+    split = split_jobs(spark, sf_dir).withColumn("label", F.col(TARGET))
+    return features.assemble(split, split.where(F.col("split") == "train"), ["num_cpu"], [])[0]
+
+
+@query
+def l1_stump_scores(spark, sf_dir):
+    """One round of boosting under absolute error: a cut by the residuals' signs, a median in each leaf."""
+    rows = _stump_inputs(spark, sf_dir)
+    found = boosting.boost(rows.where(F.col("split") == "train"), "absolute", STUMP_ROUND)
+    return ml.score(rows.where(F.col("split") == "test"), {"l1": found.model}).select("job_id", "pred_l1")
+
+
+def _rounds(spark, sf_dir, loss):
+    train = splits.with_holdout(_stump_inputs(spark, sf_dir).where(F.col("split") == "train"), ml.CV_HOLDOUT)
+    found = boosting.boost(train, loss, STUMP_ROUNDS, "is_val", PATIENCE_SHOWN)
+    return boosting.rounds_table(spark, found)
+
+
+@query
+def boosting_rounds_l1(spark, sf_dir):
+    """Held-out error of each round of stumps under absolute error, up to where patience ends, and the best round."""
+    return _rounds(spark, sf_dir, "absolute")
+
+
+@query
+def boosting_rounds_l2(spark, sf_dir):
+    return _rounds(spark, sf_dir, "squared")
+
+
+@query
+def target_codes(spark, sf_dir):
+    """Users and GPU types as numbers learnt from the runtimes of the train part."""
+    coded = features.target_codes(split_jobs(spark, sf_dir), ["user", "gpu_type"], TARGET)
+    return coded.select("job_id", "user_code", "gpu_type_code")
+
+
+@query
+def final_rf(spark, sf_dir):
+    """The forest at its full size, fitted and judged."""
+    inputs = _inputs(spark, sf_dir, "with_categorical_ordered")
+    return ml.finalise("rf", inputs.train, inputs.test)[1].drop("train_time")
+
+
 @query
 def feature_importance(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)

@@ -63,7 +63,7 @@ def prepare_features(raw: DataFrame | None = None, processed: DataFrame | None =
     numeric, categorical = feature_columns(kept)
     inputs, categories = assemble(kept.withColumn("label", F.col(TARGET)), kept.where(F.col("split") == "train"),
                                   numeric, categorical, feature_mode)
-    if categories:
+    if categories or feature_mode == "with_categorical_ordered":
         # Learners pass over the inputs many times; the encoding joins run once.
         inputs = materialise(inputs)
     return FeatureSet(kept, inputs, numeric, categorical, categories)

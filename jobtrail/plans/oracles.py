@@ -170,6 +170,37 @@ def _windows(padded: bool, only_test: bool, length: int = 4) -> str:
     JOIN numbered b ON b.rn = greatest(a.rn - {back} + s.pos, 1) {limits}"""
 
 
+def _stump_rounds(loss: str, rounds: int, step: float, train: str, cuts: str) -> str:
+    """Margins ``m1`` .. of rounds of stumps over ``train`` (x, y, val), each the best of all cuts."""
+    sign, leaf, base = ("sign(y - m)", "quantile_cont(y - m, 0.5)", "quantile_cont(y, 0.5)") if loss == "absolute" \
+        else ("y - m", "avg(y - m)", "avg(y)")
+    sql = f"""
+        , h AS ({train}), cut AS ({cuts}),
+        m0 AS (SELECT *, (SELECT {base} FROM h WHERE NOT val) AS m FROM h)"""
+    for k in range(1, rounds + 1):
+        sql += f""",
+        g{k} AS (SELECT *, {sign} AS g FROM m{k - 1}),
+        b{k} AS (SELECT t FROM g{k}, cut WHERE NOT val GROUP BY t
+                 ORDER BY var_pop(g) FILTER (x <= t) * count(*) FILTER (x <= t)
+                          + var_pop(g) FILTER (x > t) * count(*) FILTER (x > t), t LIMIT 1),
+        l{k} AS (SELECT t, {leaf} FILTER (x <= t AND NOT val) AS l, {leaf} FILTER (x > t AND NOT val) AS r FROM m{k - 1}, b{k} GROUP BY t),
+        m{k} AS (SELECT job_id, x, y, val, m + {step}::DOUBLE * CASE WHEN x <= t THEN l ELSE r END AS m FROM m{k - 1}, l{k})"""
+    return sql
+
+
+def _boosting_rounds(loss: str, rounds: int = 8, step: float = 0.5, patience: int = 3) -> str:
+    train = """SELECT job_id, num_cpu AS x, job_runtime AS y, row_number() OVER (ORDER BY ('0x' || substr(md5(job_id || '|42'), 1, 10))::BIGINT,
+                      job_id) <= ceil(0.15::DOUBLE * count(*) OVER ()) AS val FROM numbered WHERE split = 'train'"""
+    sql = _stump_rounds(loss, rounds, step, train, "SELECT DISTINCT x AS t FROM h WHERE NOT val AND x < (SELECT max(x) FROM h WHERE NOT val)")
+    errors = " UNION ALL ".join(f"SELECT {k} AS k, avg(abs(y - m)) AS e FROM m{k} WHERE val" for k in range(1, rounds + 1))
+    return _sql(sql + f""",
+        errors AS ({errors}),
+        so_far AS (SELECT a.k, a.e, arg_min(b.k, (b.e, b.k)) AS best FROM errors a JOIN errors b ON b.k <= a.k GROUP BY a.k, a.e),
+        ended AS (SELECT coalesce(min(k) FILTER (k - best >= {patience}), max(k)) AS last FROM so_far)
+        SELECT k::BIGINT AS round, round(e, 6) AS val_mae, k = (SELECT arg_min(best, -k) FROM so_far, ended WHERE k <= last) AS best
+        FROM so_far, ended WHERE k <= last""", "numbered")
+
+
 def statements() -> dict[str, str]:
     q = {}
     q["raw_trace"] = _sql("""
@@ -405,6 +436,49 @@ def statements() -> dict[str, str]:
         SELECT job_id, round(CASE WHEN num_cpu <= t THEN l ELSE r END, 6) AS pred_tree,
                round(CASE WHEN num_cpu <= t THEN l ELSE r END, 6) AS pred_boosted
         FROM numbered, best WHERE split = 'test'""", "numbered")
+    q["l1_stump_scores"] = _sql(_stump_rounds(
+        "absolute", 1, 1.0, "SELECT job_id, num_cpu AS x, job_runtime AS y, false AS val FROM numbered WHERE split = 'train'",
+        "SELECT DISTINCT x AS t FROM h WHERE x < (SELECT max(x) FROM h)") + """
+        SELECT job_id, round((SELECT any_value(m) FROM m0) + CASE WHEN num_cpu <= t THEN l ELSE r END, 6) AS pred_l1
+        FROM numbered, l1 WHERE split = 'test'""", "numbered")
+    q["boosting_rounds_l1"] = _boosting_rounds("absolute")
+    q["boosting_rounds_l2"] = _boosting_rounds("squared")
+    q["target_codes"] = _sql("""
+        , tr AS (SELECT *, CASE WHEN split = 'train' THEN job_runtime::DECIMAL(28, 6) END AS own FROM numbered),
+        mean AS (SELECT sum(own)::DOUBLE / count(own) AS m FROM tr),
+        u AS (SELECT "user", sum(own) AS s, count(own) AS n FROM tr GROUP BY "user"),
+        g AS (SELECT gpu_type, sum(own) AS s, count(own) AS n FROM tr GROUP BY gpu_type)
+        SELECT job_id,
+          round(((coalesce(u.s, 0) - coalesce(own, 0))::DOUBLE + 20 * m) / (u.n - (own IS NOT NULL)::INT + 20), 6) AS user_code,
+          round(((coalesce(g.s, 0) - coalesce(own, 0))::DOUBLE + 20 * m) / (g.n - (own IS NOT NULL)::INT + 20), 6) AS gpu_type_code
+        FROM tr JOIN u USING ("user") JOIN g USING (gpu_type), mean""", "numbered")
+    # The exact distribution of the doubled rank sum, one rank after the other.
+    q["signed_rank_groups"] = _sql("""
+        , gd AS (SELECT policy, "user", gpu_type, job_id, d FROM diffs JOIN jobs USING (job_id)),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY policy, "user", gpu_type ORDER BY abs(d), job_id) AS i,
+                 count(*) OVER (PARTITION BY policy, "user", gpu_type, abs(d)) AS ties,
+                 2 * count(*) OVER (PARTITION BY policy, "user", gpu_type ORDER BY abs(d))
+                   - count(*) OVER (PARTITION BY policy, "user", gpu_type, abs(d)) + 1 AS r FROM gd WHERE d <> 0),
+        st AS (SELECT policy, "user", gpu_type, count(r) AS n, coalesce(sum(r) FILTER (rk.d > 0), 0)::BIGINT AS w2,
+                 coalesce(sum(ties::DOUBLE * ties - 1), 0) AS tie_term
+               FROM (SELECT DISTINCT policy, "user", gpu_type FROM gd) LEFT JOIN rk USING (policy, "user", gpu_type)
+               GROUP BY policy, "user", gpu_type),
+        ways AS (SELECT policy, "user", gpu_type, 0::BIGINT AS i, 0::BIGINT AS s, 1::DOUBLE AS w FROM st WHERE n <= 50
+                 UNION ALL
+                 SELECT policy, "user", gpu_type, i, s, sum(w) FROM (
+                   SELECT w.policy, w."user", w.gpu_type, r.i, unnest([w.s, w.s + r.r]) AS s, w.w
+                   FROM ways w JOIN rk r ON r.policy = w.policy AND r."user" = w."user" AND r.gpu_type = w.gpu_type AND r.i = w.i + 1)
+                 GROUP BY policy, "user", gpu_type, i, s),
+        tail AS (SELECT st.policy, st."user", st.gpu_type, sum(w) FILTER (s >= w2) / pow(2.0, any_value(n)) AS p
+                 FROM ways w JOIN st ON st.policy = w.policy AND st."user" = w."user" AND st.gpu_type = w.gpu_type AND w.i = n
+                 GROUP BY ALL),
+        zs AS (SELECT *, CASE WHEN n > 0 THEN (w2 / 2.0 - n * (n + 1) / 4.0)
+                 / sqrt((n::DOUBLE * (n + 1) * (2 * n + 1) - tie_term / 2) / 24) END AS z FROM st)
+        SELECT policy, "user", gpu_type, n, round(w2 / 2.0, 6) AS w_plus, round(z, 6) AS z, n <= 50 AS exact,
+          round(CASE WHEN n <= 50 THEN p WHEN z > 6 THEN 0.0 WHEN z < -6 THEN 1.0 ELSE 0.5 - list_sum(list_transform(
+            range(0, 120), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * z
+                * exp(2 * k * ln(greatest(abs(z), 1e-300)) - k * ln(2.0) - lgamma(k + 1)) / (2 * k + 1))) / sqrt(2 * pi()) END, 6) AS p_value
+        FROM zs LEFT JOIN tail USING (policy, "user", gpu_type)""", "diffs")
     q["queue_fifo"] = _sql("""
         SELECT queue_id, job_id, submit_us, runtime_us, start_us, completion_us, start_us - submit_us AS waiting_us,
                completion_us - submit_us AS turnaround_us,
