@@ -9,10 +9,11 @@ totals are scanned to get what each block inherits, and the two are combined.
   2**(64 - LEAF_BITS - PARENT_BITS) parents, whatever the data; there is one
   plan for every size. Callers aggregate rows of one key first, so a hot
   instant is one row here.
-* ``nested_sum`` and ``with_ordinal`` scan rows in the order of several
-  integers. Rows that agree in all but the last one and are neighbours in that
-  form a unit of at most 2**LEAF_BITS rows; units are scanned by their key, and
-  rows inside their unit. A value that most rows share is many units.
+* ``in_blocks`` and what builds on it scan rows in the order of several
+  integers. A group that fits one task is one block. Borders of larger groups
+  are found once along the whole composite order, so a value that most rows share
+  is many blocks, and are constants from then on: totals and rows see one
+  deterministic cut, rows are shuffled once, and nothing is written in between.
 * ``text_ordinal`` numbers distinct texts, which have no bounded integer key:
   they are range-partitioned, and the cut is written to the shared folder
   because the blocks' counts and the numbering must see the same one.
@@ -26,6 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from jobtrail.functions.frames import attach
 from jobtrail.operators.checkpoints import materialise
 
 LEAF_BITS = 22
@@ -166,43 +168,127 @@ def key_scan(df: DataFrame, key: str, scans: Sequence[Scan], by: Sequence[str] =
     return _scan_blocks(solid.repartition(*keys, BLOCK), keys, [key, *order], scans, widths, df.columns)
 
 
-UNIT = "_unit"
 # Where rows without a value stand in an order: first.
 FIRST = -(1 << 62)
+# Rows of a block: with groups, and without (where blocks are all the parallelism there is).
+GROUP_ROWS, WHOLE_ROWS, MOST_ROWS = 1 << 16, 1 << 12, 1 << 20
+# Borders are held by every task; beyond this many of them blocks grow instead.
+MOST_BORDERS = 200_000
 
 
-def in_units(df: DataFrame, by: Sequence[str], leads: Sequence[str], tie: str) -> tuple[DataFrame, list[str], list[str]]:
-    """Add the unit of each row: rows with equal ``by`` and ``leads`` and neighbouring ``tie``.
+@dataclass(frozen=True)
+class Blocked:
+    """Rows with their block: ``keys`` and ``order`` name stand-ins without nulls, ``cut`` says if any group has several blocks."""
+
+    rows: DataFrame
+    keys: list[str]
+    order: list[str]
+    cut: bool
+
+    def window(self):
+        return Window.partitionBy(*self.keys, BLOCK).orderBy(*self.order)
 
-    Also returns stand-ins without nulls for the group columns and for the
-    leads, so that totals, rows and windows agree on one partitioning.
-    """
-    solid, keys = solid_keys(df, by)
-    stand_ins = {f"_k{i}": F.coalesce(F.col(c).cast("bigint"), F.lit(FIRST).cast("bigint")) for i, c in enumerate(leads)}
-    unit = F.coalesce(F.shiftright(F.col(tie).cast("bigint"), LEAF_BITS), F.lit(0).cast("bigint"))
-    return solid.withColumns({**stand_ins, UNIT: unit}), keys, list(stand_ins)
 
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all; one small job."""
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return found[0] or 0, found[1] or 0
 
-def _before_units(totals: DataFrame, leads: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Sum of ``_total`` over all earlier units of the group."""
-    if len(leads) == 1:
-        return key_scan(totals, leads[0], [Scan("_before", "sum", "_total", before=True)], by, order=[UNIT])
-    heads = totals.groupBy(*by, leads[0]).agg(F.sum("_total").alias("_total"))
-    outer = key_scan(heads, leads[0], [Scan("_outer", "sum", "_total", before=True)], by).drop("_total")
-    inner = _before_units(totals, leads[1:], [*by, leads[0]])
-    return inner.join(outer, [*by, leads[0]]).withColumn("_before", F.col("_before") + F.col("_outer")).drop("_outer")
 
+def _block_rows(by: Sequence[str], whole: int) -> int:
+    least, parts = (GROUP_ROWS, 64) if by else (WHOLE_ROWS, 16)
+    return max(min(max(whole // parts, least), MOST_ROWS), whole // MOST_BORDERS)
 
-def nested_sum(df: DataFrame, order: Sequence[str], column: str, by: Sequence[str] = (), name: str = "sum") -> DataFrame:
+
+def order_borders(rows: DataFrame, keys: Sequence[str], order: Sequence[str], block_rows: int) -> list[tuple]:
+    """``(group, borders)`` for groups of more than ``block_rows`` rows; a border is the first place of a block.
+
+    Approximate percentiles of the first order column cut a group; a value that
+    fills a block by itself is cut by the next column. The borders decide how
+    even the blocks are, never a result.
+    """
+    spark = rows.sparkSession
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).collect()
+    open_items = [(tuple(r[:-1]), (), r["n"]) for r in sizes]
+    borders: dict[tuple, set] = {item[0]: set() for item in open_items}
+    fields = [rows.schema[k] for k in keys]
+    for level, column in enumerate(order):
+        hot = []
+        # Items that want about as many parts share one pass.
+        classes: dict[int, list] = {}
+        for item in open_items:
+            classes.setdefault((-(-item[2] // block_rows) - 1).bit_length(), []).append(item)
+        for size, items in classes.items():
+            parts = 1 << size
+            if parts < 2:
+                continue
+            schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in order[:level]], T.StructField("_item", T.LongType())])
+            table = spark.createDataFrame([(*group, *prefix, i) for i, (group, prefix, _) in enumerate(items)], schema)
+            match = [*keys, *order[:level]]
+            here = rows.join(F.broadcast(table), match) if match else rows.withColumn("_item", F.lit(0))
+            grid = [i / parts for i in range(1, parts)]
+            found = here.groupBy("_item").agg(F.percentile_approx(column, grid, max(1_000, 10 * parts)).alias("at")).collect()
+            for r in found:
+                group, prefix, n = items[r["_item"]]
+                rest = (FIRST,) * (len(order) - level - 1)
+                for value in set(r["at"]):
+                    borders[group].add((*prefix, value, *rest))
+                    times = r["at"].count(value)
+                    if times > 1:
+                        borders[group].add((*prefix, value + 1, *rest))
+                        hot.append((group, (*prefix, value), times * n // parts))
+        open_items = hot
+    return [(group, sorted(at)) for group, at in borders.items()]
+
+
+def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], sizes: tuple[int, int] | None = None) -> Blocked:
+    """Cut each group into blocks along the order of several integer columns.
+
+    The borders of large groups are found once by small jobs and are constants
+    from then on, so a row's block is an expression of the row, the same for
+    totals and rows, and nothing is written. ``sizes`` are those of ``group_sizes`` if they are known;
+    they may be too large.
+    """
+    largest, whole = sizes or group_sizes(df, by)
+    solid, keys = solid_keys(df, by)
+    rows = solid.withColumns({f"_k{i}": F.coalesce(F.col(c).cast("bigint"), F.lit(FIRST).cast("bigint")) for i, c in enumerate(order)})
+    places = [f"_k{i}" for i in range(len(order))]
+    block_rows = _block_rows(by, whole)
+    listed = order_borders(rows, keys, places, block_rows) if largest > block_rows else []
+    if not listed:
+        return Blocked(rows.withColumn(BLOCK, F.lit(0).cast("bigint")), keys, places, False)
+    place = T.StructType([T.StructField(c, T.LongType()) for c in places])
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_borders", T.ArrayType(place))])
+    table = df.sparkSession.createDataFrame([(*group, at) for group, at in listed], schema)
+    joined = rows.join(F.broadcast(table), keys, "left") if keys else attach(rows, table, "_b").withColumn("_borders", F.col("_b._borders")).drop("_b")
+    here, longest = F.struct(*places), max(len(at) for _, at in listed)
+    # Binary search for the number of borders up to the row.
+    steps = F.lit([1 << i for i in range(longest.bit_length() - 1, -1, -1)])
+
+    def further(found: Column, step: Column) -> Column:
+        holds = (found + step <= F.size("_borders")) & (F.get("_borders", found + step - 1) <= here)
+        return F.when(holds, found + step).otherwise(found)
+
+    block = F.aggregate(steps, F.lit(0), further).cast("bigint")
+    return Blocked(joined.withColumn(BLOCK, block).drop("_borders"), keys, places, True)
+
+
+def scan_blocked(blocked: Blocked, scans: Sequence[Scan], keep: Sequence[str]) -> DataFrame:
+    """Running columns along the order; a frame without cuts needs one window, one with cuts a scan of block totals too."""
+    if blocked.cut:
+        dealt = blocked.rows.repartition(*blocked.keys, BLOCK)
+        return _scan_blocks(dealt, blocked.keys, blocked.order, scans, (), keep)
+    window = blocked.window()
+    running = [_running(s, s.column, window, s.before) for s in scans]
+    # A running sum over no rows yet is 0, as it is where blocks inherit.
+    whole = [F.coalesce(c, F.lit(0)) if s.op == "sum" else c for s, c in zip(scans, running)]
+    return blocked.rows.select(*keep, *[c.alias(s.name) for s, c in zip(scans, whole)])
+
+
+def nested_sum(df: DataFrame, order: Sequence[str], column: str, by: Sequence[str] = (), name: str = "sum",
+               sizes: tuple[int, int] | None = None) -> DataFrame:
     """Running sum of ``column`` per group in the order of several integer columns, unique together."""
-    if len(order) == 1:
-        return key_scan(df, order[0], [Scan(name, "sum", column)], by)
-    rows, keys, leads = in_units(df, by, order[:-1], order[-1])
-    totals = rows.groupBy(*keys, *leads, UNIT).agg(F.sum(column).alias("_total"))
-    before = _before_units(totals, leads, keys).select(*keys, *leads, UNIT, "_before")
-    within = Window.partitionBy(*keys, *leads, UNIT).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(before, [*keys, *leads, UNIT]).select(
-        *df.columns, (F.col("_before") + F.sum(column).over(within)).alias(name))
+    return scan_blocked(in_blocks(df, by, order, sizes), [Scan(name, "sum", column)], df.columns)
 
 
 def with_ordinal(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:

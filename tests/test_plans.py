@@ -73,6 +73,14 @@ def test_nothing_is_written_in_between(spark, small, name, monkeypatch):
     driver.queries()[name](spark, small)
 
 
+@pytest.mark.parametrize("name,most", [("queue_fifo", 1), ("busy_periods", 2), ("policy_results", 1), ("pending_timeline", 3)])
+def test_ordered_scans_shuffle_rows_once(spark, small, name, most):
+    df = driver.queries()[name](spark, small)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"Exchange hashpartitioning", text)) <= most
+
+
 @pytest.mark.parametrize("name", ["queue_fifo", "runtime_ecdf", "wilcoxon", "cluster_state"])
 def test_no_single_partition_holds_the_rows(spark, small, name):
     """Executed plans may bring single rows together, never the rows of a scan."""

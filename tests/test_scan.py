@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from jobtrail.operators import scan as scans
+from jobtrail.operators import queueing, scan as scans
 from jobtrail.operators.quantiles import quantiles
 from jobtrail.functions.expressions import double_key
 from jobtrail.operators.scan import LEAF_BITS, Scan, key_scan, nested_sum, text_ordinal, with_ordinal
@@ -66,6 +66,54 @@ def test_nested_sum_matches_window(spark, partitions):
     assert rows(nested_sum(df, ["t", "v", "id"], "v", ["g"], "s")) == rows(want)
 
 
+@pytest.mark.parametrize("block_rows", [3, 40, 1 << 20])
+def test_nested_sum_in_any_blocks(spark, block_rows, monkeypatch):
+    small_blocks(monkeypatch, block_rows)
+    df = skewed(spark).withColumn("t", F.when(F.col("id") % 50 != 7, F.col("t")))
+    order = [F.asc_nulls_first("t"), "v", "id"]
+    upto = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(upto).alias("s"))
+    assert rows(nested_sum(df, ["t", "v", "id"], "v", ["g"], "s")) == rows(want)
+    whole = df.select("*", F.sum("v").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    assert rows(nested_sum(df, ["t", "v", "id"], "v", [], "s")) == rows(whole)
+    assert nested_sum(df.limit(0), ["t", "v", "id"], "v", ["g"], "s").count() == 0
+
+
+def small_blocks(monkeypatch, block_rows):
+    for name in ("GROUP_ROWS", "WHOLE_ROWS", "MOST_ROWS"):
+        monkeypatch.setattr(scans, name, block_rows)
+
+
+def test_hot_values_are_cut_by_the_next_column(spark, monkeypatch):
+    """A third of all rows share group and instant, half of those the second value too; no block gets much of them."""
+    small_blocks(monkeypatch, 50)
+    df = spark.range(3000).select("id", F.lit("q").alias("g"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("t"),
+                                  F.when(F.col("id") % 6 == 0, 9).otherwise(F.col("id") % 11).alias("v"))
+    blocked = scans.in_blocks(df, ["g"], ["t", "v", "id"])
+    sizes = [r["n"] for r in blocked.rows.groupBy(scans.BLOCK).agg(F.count("*").alias("n")).collect()]
+    assert blocked.cut and sum(sizes) == 3000 and max(sizes) <= 200 and len(sizes) >= 30
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 1 << 20])
+def test_queues_in_any_blocks(spark, block_rows, monkeypatch):
+    small_blocks(monkeypatch, block_rows)
+    rng = random.Random(block_rows)
+    jobs = [(i, rng.choice(["a", "a", "b", None]), rng.choice([5, rng.randint(0, 400)]), rng.randint(0, 9)) for i in range(120)]
+    frame = spark.createDataFrame(jobs, "job_id long, queue_id string, arrival_us long, runtime_us long")
+    free, want, periods, last = {}, {}, {}, {}
+    for job, queue, at, run in sorted(jobs, key=lambda j: (j[2], j[0])):
+        opens = queue not in free or at >= free[queue]
+        last[queue] = last.get(queue, 0) + opens
+        start = max(at, free.get(queue, at))
+        free[queue] = start + run
+        want[job] = (queue, start, start + run)
+        periods.setdefault((queue, last[queue]), []).append(run)
+    got = {r.job_id: (r.queue_id, r.start_us, r.completion_us) for r in queueing.queue_fifo(frame).collect()}
+    assert got == want
+    found = {(r.queue_id, r.period): (r.jobs, r.work_us) for r in queueing.busy_periods(frame).collect()}
+    assert found == {k: (len(v), sum(v)) for k, v in periods.items()}
+
+
 def test_double_keys_keep_order_and_tell_values_apart(spark):
     rng = random.Random(1)
     values = [0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1e-310, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0),
