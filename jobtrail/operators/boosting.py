@@ -199,6 +199,39 @@ def boost(train: DataFrame, loss: str = "absolute", params: Mapping | None = Non
     return Boosted(model, errors, kept)
 
 
+def best_round(errors: Sequence[float], patience: int | None) -> tuple[int, int]:
+    """The round (from 1) of the smallest error before patience runs out, and the last round looked at."""
+    best = 1
+    for k, error in enumerate(errors, 1):
+        if error < errors[best - 1]:
+            best = k
+        if patience is not None and k - best >= patience:
+            return best, k
+    return best, len(errors)
+
+
+def cut_back(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first ``rounds`` trees, by leaving the others out of the written model."""
+    spark = SparkSession.active()
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/boosted-{uuid.uuid4().hex}"
+    model.save(f"{folder}/whole")
+    spark.read.parquet(f"{folder}/whole/data").where(F.col("treeID") < rounds).write.parquet(f"{folder}/cut/data")
+    spark.read.parquet(f"{folder}/whole/treesMetadata").where(F.col("_1") < rounds).write.parquet(f"{folder}/cut/treesMetadata")
+    described = json.loads(spark.read.text(f"{folder}/whole/metadata").first()[0]) | {"numTrees": rounds}
+    spark.createDataFrame([(json.dumps(described),)], "value string").coalesce(1).write.text(f"{folder}/cut/metadata")
+    return GBTRegressionModel.load(f"{folder}/cut")
+
+
+def stopped(model: GBTRegressionModel, held: DataFrame, patience: int | None) -> Boosted:
+    """A fitted model cut back to its best round on held-out rows, all of whose staged errors are taken in one pass."""
+    if held.isEmpty():
+        return Boosted(model, [], model.getNumTrees)
+    errors = model.evaluateEachIteration(held, "absolute")
+    best, last = best_round(errors, patience)
+    return Boosted(model if best == len(errors) else cut_back(model, best), errors[:last], best)
+
+
 def rounds_table(spark: SparkSession, boosted: Boosted) -> DataFrame:
     """``round, val_mae, best``: the held-out error after each round and the round the model was cut back to."""
     rows = [(i + 1, e, i + 1 == boosted.best_round) for i, e in enumerate(boosted.errors)]

@@ -69,12 +69,20 @@ def _bins(categories: int) -> int:
 
 def fit_boosted(kind: str, train: DataFrame, params: Mapping | None = None, seed: int = 42, categories: int = 0,
                 holdout: float | None = FIT_HOLDOUT, patience: int | None = None) -> boosting.Boosted:
-    """Boost with median leaves under absolute error; with ``holdout`` the best round on held-out rows ends the model."""
-    settings = {**DEFAULTS[kind], **(params or {})}
-    if holdout is None:
-        return boosting.boost(train, BOOSTED[kind], settings, seed=seed, max_bins=_bins(categories))
-    return boosting.boost(with_holdout(train, holdout, seed), BOOSTED[kind], settings, "is_val",
-                          patience or PATIENCE[kind], seed, _bins(categories))
+    """Boost; with ``holdout`` the best round on held-out rows, before patience runs out, ends the model.
+
+    Squared error is Spark's own boosting, whose rounds are judged afterwards;
+    absolute error has median leaves and ends with its patience.
+    """
+    settings, patience = {**DEFAULTS[kind], **(params or {})}, patience or PATIENCE[kind]
+    split = None if holdout is None else with_holdout(train, holdout, seed)
+    if BOOSTED[kind] == "absolute":
+        return boosting.boost(train if split is None else split, "absolute", settings, None if split is None else "is_val",
+                              None if split is None else patience, seed, _bins(categories))
+    model = estimator(kind, params, seed, categories).fit(train if split is None else split.where(~F.col("is_val")))
+    if split is None:
+        return boosting.Boosted(model, [], model.getNumTrees)
+    return boosting.stopped(model, split.where("is_val"), patience)
 
 
 def fit(kind: str, train: DataFrame, params: Mapping | None = None, early_stopping: bool = False, seed: int = 42,

@@ -87,6 +87,24 @@ def test_fit_uses_median_leaves_and_patience(spark):
     assert isinstance(model, GBTRegressionModel) and model.getLossType() == "absolute" and model.getNumTrees <= 5
 
 
+def test_spark_boosting_is_cut_back(spark):
+    rows = rows_of(spark)
+    held = rows.where("is_val")
+    whole = ml.estimator("gbt", {"maxIter": 12, "maxDepth": 4, "stepSize": 0.9, "subsamplingRate": 0.5}).fit(rows.where("NOT is_val"))
+    errors = whole.evaluateEachIteration(held, "absolute")
+    found = boosting.stopped(whole, held, 3)
+    best, last = boosting.best_round(errors, 3)
+    assert best == int(np.argmin(errors[:last])) + 1 and last in (12, best + 3)
+    assert found.model.getNumTrees == found.best_round == best and found.errors == pytest.approx(errors[:last])
+    assert found.model.evaluateEachIteration(held, "absolute") == pytest.approx(errors[:best])
+    cut = boosting.cut_back(whole, 5)
+    assert cut.getNumTrees == 5 and cut.treeWeights == whole.treeWeights[:5]
+    assert boosting.best_round([3.0, 1.0, 1.0, 2.0, 0.5], 2) == (2, 4)
+    assert boosting.best_round([3.0, 1.0, 1.0, 2.0, 0.5], None) == (5, 5)
+    fitted = ml.fit_boosted("gbt", rows.drop("is_val"), {"maxIter": 4, "maxDepth": 2}, patience=2)
+    assert fitted.model.getNumTrees == fitted.best_round <= 4
+
+
 CODED = [(0, "a", 10.0, "train"), (1, "a", 30.0, "train"), (2, "b", 7.0, "train"), (3, "a", 99.0, "test"), (4, "new", 1.0, "test"),
          (5, None, 5.0, "train"), (6, None, 6.0, "test"), (7, "b", None, "train"), (8, "b", 2.0, None)]
 
