@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,19 +32,23 @@ def attach(df: DataFrame, row: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, single_row(row))
 
 
+def unused(stem: str, *frames: DataFrame) -> str:
+    """``stem`` with a number, so that no column of the frames begins like it."""
+    names = [c for df in frames for c in df.columns]
+    return next(s for s in (f"{stem}{i}" for i in itertools.count()) if not any(n.startswith(s) for n in names))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; key columns come from the left."""
     nullable = {f.name for f in left.schema.fields if f.nullable}
     if not nullable.intersection(on):
         return left.join(right, list(on), how).select(*left.columns, *[c for c in right.columns if c not in on])
-    renamed = right.select(
-        *[F.col(c).alias(f"_r_{c}") for c in on],
-        *[c for c in right.columns if c not in on],
-    )
+    keys = [f"{unused('_r', left, right)}_{c}" for c in on]
+    renamed = right.select(*[F.col(c).alias(key) for c, key in zip(on, keys)], *[c for c in right.columns if c not in on])
     condition = F.lit(True)
-    for c in on:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
+    for c, key in zip(on, keys):
+        condition = condition & F.col(c).eqNullSafe(F.col(key))
+    return left.join(renamed, condition, how).drop(*keys)
 
 
 def salted_join(rows: DataFrame, stats: DataFrame, by: Sequence[str], spread: Sequence[str],
@@ -56,6 +61,7 @@ def salted_join(rows: DataFrame, stats: DataFrame, by: Sequence[str], spread: Se
     """
     if not by:
         return attach(rows, stats, "_stats").select(*rows.columns, "_stats.*")
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return null_safe_join(left, right, [*by, "_salt"], how).drop("_salt")
+    salt = unused("_salt", rows, stats)
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = stats.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return null_safe_join(left, right, [*by, salt], how).drop(salt)
