@@ -18,10 +18,12 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtrail.llm.shared import hex_unit, written
-from jobtrail.functions.frames import null_safe_join
+from jobtrail.functions.frames import SALTS, null_safe_join
 
 PIECE = 8.0
 # Up to this many sources their rates travel to every task; more are joined by shuffling.
@@ -62,11 +64,19 @@ def with_distribution(rates: DataFrame) -> DataFrame:
         .withColumn("_cumulative", series).drop("_mean")
 
 
-def _copies(identity: Column, seed: int) -> Column:
+def _split_join(rows: DataFrame, rates: DataFrame, source: str, identity: Column, name: str) -> DataFrame:
+    """Join the rates by shuffling; a source of many rows is split by the hash of their identities."""
+    salt = next(n for n in (f"{name}s{i}" for i in itertools.count()) if n not in rows.columns)
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(identity), F.lit(SALTS)).cast("int"))
+    right = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return null_safe_join(left, right, [source, salt]).drop(salt)
+
+
+def _copies(rate: Column, identity: Column, seed: int) -> Column:
     def piece(sum_so_far: Column, k: Column) -> Column:
         draw = hex_unit(F.concat_ws("|", F.lit(str(seed)), identity, k.cast("string")))
-        return sum_so_far + F.size(F.filter("_cumulative", lambda c: c <= draw))
-    return F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), piece)
+        return sum_so_far + F.size(F.filter(rate["_cumulative"], lambda c: c <= draw))
+    return F.aggregate(F.sequence(F.lit(1), rate["_pieces"]), F.lit(0), piece)
 
 
 def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, epochs: float = 1.0,
@@ -89,13 +99,16 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, power: float
     rates = written(with_distribution(repetition_rates(weighted, epochs)), "rates")
     few = rates.count() <= SENT_SOURCES
     kept = docs.drop(*ADDED)
-    rates = rates.select(F.col("source").alias("_source"), "_pieces", "_cumulative")
-    rates = F.broadcast(rates) if few else rates
+    # What is added meanwhile is one struct under a name that no column has.
+    name = next(n for n in (f"_mix{i}" for i in itertools.count()) if n not in kept.columns)
+    rates = rates.select(F.col("source").alias(source_column), F.struct("_pieces", "_cumulative").alias(name))
     identity = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(text_column, F.lit("")))))
-    joined = kept.join(rates, F.col(source_column).eqNullSafe(F.col("_source")))
-    copies = joined.withColumn("_copies", _copies(identity, seed)).where("_copies > 0")
-    exploded = copies.select(*kept.columns, identity.alias("_identity"),
-                             F.posexplode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("mix_copy", "_zero"))
-    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "_identity", F.col("mix_copy").cast("string")))
+    if few:
+        joined = null_safe_join(kept, F.broadcast(rates), [source_column])
+    else:
+        joined = _split_join(kept, rates, source_column, identity, name)
+    drawn = joined.withColumn(name, _copies(F.col(name), identity, seed)).where(F.col(name) > 0)
+    exploded = drawn.select(*kept.columns, F.explode(F.sequence(F.lit(0), F.col(name) - 1)).alias("mix_copy"))
+    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), identity, F.col("mix_copy").cast("string")))
     placed = exploded.withColumn("mix_order", F.conv(F.substring(order, 1, 15), 16, 10).cast("bigint"))
-    return placed.drop("_identity", "_zero").repartition("mix_order").sortWithinPartitions("mix_order")
+    return placed.repartition("mix_order").sortWithinPartitions("mix_order")

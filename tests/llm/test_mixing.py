@@ -78,3 +78,17 @@ def test_many_sources_are_joined_by_shuffling(spark, monkeypatch, limit):
 def test_main_path_is_native(spark):
     plan = queries.op3_mixing(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_columns_with_internal_names_and_a_hot_source(spark, few, monkeypatch):
+    """Columns named like everything the operator adds on its way come out as they went in; so does a source of most rows."""
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 10_000 if few else 0)
+    names = ["_source", "_pieces", "_cumulative", "_copies", "_identity", "_mix0", "_mix0s0", "_r_source", "_zero", "rate", "bytes"]
+    plain = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"),
+                                    F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 9)).alias("source"))
+    named = plain.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    want = sorted(map(tuple, mixing.poisson_mix(plain).collect()), key=str)
+    got = mixing.poisson_mix(named)
+    assert sorted(map(tuple, got.select("doc_id", "text", "source", "mix_copy", "mix_order").collect()), key=str) == want
+    assert got.where(" OR ".join(f"{n} <> concat('{n}', doc_id)" for n in names)).count() == 0
