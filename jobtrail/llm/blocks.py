@@ -5,9 +5,9 @@ neither a row per word nor a broadcast table is affordable. Here documents are
 dealt into blocks by hash (one shuffle of compressed texts). A block sends each
 of its distinct words once to the bucket of that word; the bucket sees all of
 the corpus' occurrences of its words, answers every distinct word once, and
-returns the answers in the order in which the block sent the words. Blocks and
-buckets number as many as shuffle partitions, so both shrink as those grow, and
-a frequent word is one entry per block.
+returns the answers in the order in which the block sent the words. There are
+as many buckets as shuffle partitions, and at least as many blocks, more if a
+block's texts would exceed ``BLOCK_BYTES``; a frequent word is one entry per block.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from jobtrail.llm.shared import shuffle_parts
 
 BLOCK = "_block"
 SUMMARY = -1
+# Bytes of the texts of a block.
+BLOCK_BYTES = 64 << 20
 Words = list[bytes]
 
 
@@ -45,9 +47,14 @@ def from_bytes(packed: Sequence[bytes]) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(p).read_all() for p in packed)
 
 
-def pack(rows: DataFrame, key: Column, blocks: int | None = None) -> DataFrame:
-    """Deal rows into blocks by the hash of ``key``; a row holds some of a block's rows, compressed together."""
-    n = blocks or shuffle_parts(rows.sparkSession)
+def block_count(rows: DataFrame, text: str = "text", block_bytes: int | None = None) -> int:
+    """As many blocks as shuffle partitions, more if a block would have more than ``block_bytes`` of texts."""
+    size = rows.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    return max(shuffle_parts(rows.sparkSession), -(-size // (block_bytes or BLOCK_BYTES)))
+
+
+def pack(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """Deal rows into ``n`` blocks by the hash of ``key``; a row holds some of a block's rows, compressed together."""
     dealt = rows.withColumn(BLOCK, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
     def pack_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

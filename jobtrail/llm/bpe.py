@@ -2,8 +2,10 @@
 
 Texts are split into words, every distinct word of the corpus is encoded once
 with the tokenizers library, and the ids are joined back to the documents by
-position. Decoding joins ids to the pieces of the vocabulary, whose size is
-fixed, so that side travels with the code.
+position. To decode, the distinct ids of each block of documents are joined to
+the table of the vocabulary's pieces, a row per id; what it gives a block are the
+pieces its texts are put together from. The vocabulary's size is fixed, so its
+table is broadcast.
 
 Defined results: null texts are empty and have no ids (digests of the empty
 string); every input row gives one output row, also repeated ones and those
@@ -13,15 +15,21 @@ with a null id; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtrail.llm.blocks import answer_words, join_answers, pack, read_answers
+from jobtrail.llm.blocks import BLOCK, answer_words, block_count, join_answers, pack, read_answers, unsqueeze
 from jobtrail.llm.shared import shuffle_parts, text_of
 from jobtrail.llm.word_pieces import split_words, word_pieces
 
+# The bucket number of the rows that hold a block's pieces.
+PIECES = -2
+
 
 def _distinct(texts: list[str]) -> list[bytes]:
     words: set[str] = set()
@@ -31,6 +39,24 @@ def _distinct(texts: list[str]) -> list[bytes]:
     return [w.encode() for w in words]
 
 
+def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """``id, piece`` of the whole vocabulary."""
+    pieces = word_pieces(tokenizer, "<u4").tokenizer.get_vocab(with_added_tokens=True)
+    return spark.createDataFrame(sorted((i, piece) for piece, i in pieces.items()), "id long, piece string")
+
+
+def _used_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct ids of each answer, behind its words' lengths."""
+    for batch in batches:
+        for block, data in zip(batch.column(BLOCK).to_pylist(), batch.column("answers").to_pylist()):
+            numbers = np.frombuffer(unsqueeze(data), "<u4")
+            # The lengths come first and add up to the number of ids behind them.
+            ends = np.cumsum(numbers, dtype=np.int64) + np.arange(1, len(numbers) + 1)
+            words = int(np.searchsorted(ends, len(numbers))) + 1
+            ids = np.unique(numbers[words:]).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({BLOCK: pa.array([block] * len(ids), pa.int32()), "id": pa.array(ids)})
+
+
 def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
                       text_column: str = "text") -> DataFrame:
     """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
@@ -40,7 +66,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
     """
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text"))
-    packed = pack(rows, F.struct("doc_id", "text"))
+    blocks = block_count(rows)
+    packed = pack(rows, F.struct("doc_id", "text"), blocks)
     buckets = shuffle_parts(docs.sparkSession)
 
     def words_of_block(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
@@ -55,10 +82,12 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = table.column("text").to_pylist()
-        ids_of = read_answers(_distinct(texts), answers, buckets, "<u4")
-        piece_of = word_pieces(tokenizer, "<u4").tokenizer.id_to_token
-        used = np.unique(np.concatenate([np.zeros(0, "<u4"), *ids_of.values()])).tolist()
-        decimal, piece = {i: str(i) for i in used}, {i: piece_of(i) for i in used}
+        is_piece = pc.equal(answers.column("bucket"), PIECES)
+        ids_of = read_answers(_distinct(texts), answers.filter(pc.invert(is_piece)), buckets, "<u4")
+        piece: dict[int, str] = {}
+        for packed_pieces in answers.filter(is_piece).column("answers").to_pylist():
+            piece |= {int(i): p for i, p in json.loads(packed_pieces).items()}
+        decimal = {i: str(i) for i in piece}
         known = {}
         for word, ids in ids_of.items():
             ids = ids.tolist()
@@ -73,6 +102,11 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
         return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()),
                          "ids_sha256": pa.array(id_sums, pa.string()), "decoded_sha256": pa.array(text_sums, pa.string())})
 
-    answers = answer_words(packed, words_of_block, encode_words)
-    return join_answers(packed, answers, finish,
+    # One exchange by block serves the ids' join and the texts.
+    answers = answer_words(packed, words_of_block, encode_words).repartition(blocks, BLOCK)
+    used = answers.mapInArrow(_used_ids, f"{BLOCK} int, id long").distinct()
+    found = used.join(F.broadcast(piece_table(docs.sparkSession, tokenizer)), "id").groupBy(BLOCK).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "piece"))).alias("pieces"))
+    pieces = found.select(BLOCK, F.lit(PIECES).alias("bucket"), F.to_json("pieces").cast("binary").alias("answers"))
+    return join_answers(packed, answers.unionByName(pieces), finish,
                         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

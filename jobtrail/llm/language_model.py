@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtrail.llm import gru
-from jobtrail.llm.blocks import BLOCK, SUMMARY, answer_words, join_answers, pack, read_numbers, squeeze, unsqueeze
+from jobtrail.llm.blocks import BLOCK, SUMMARY, answer_words, block_count, join_answers, pack, read_numbers, squeeze, unsqueeze
 from jobtrail.llm.shared import hex_unit, shuffle_parts, text_of, written
 
 # Hash slices of the training documents; parameters are averaged after each.
@@ -158,7 +158,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     """
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
-    packed = pack(rows, F.struct("doc_id", "text"))
+    packed = pack(rows, F.struct("doc_id", "text"), block_count(rows))
     buckets = shuffle_parts(docs.sparkSession)
 
     def words_of_block(table: pa.Table) -> tuple[list[bytes], np.ndarray]:

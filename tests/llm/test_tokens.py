@@ -59,7 +59,10 @@ def test_bpe_ships_each_text_once(spark):
     found = queries.op9_bpe(spark, SMALL)
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+    final = plan.split("== Initial Plan ==")[0]
+    # Texts are packed once and words are encoded once, though both are read twice.
+    assert final.count("ReusedExchange") >= 2
+    assert final.count("Scan parquet") == 1 and final.count("FlatMapGroupsInArrow") == 2
 
 
 def expected_files(tokenizer, rows):
@@ -108,3 +111,16 @@ def test_token_file_query(spark, tokenizer):
     docs = sorted((d.doc_id, d.text) for d in queries.table(spark, SMALL, "documents").collect())
     got = sorted(map(tuple, queries.op1_token_files(spark, SMALL).collect()))
     assert got == expected_files(tokenizer, docs)
+
+
+def test_blocks_shrink_with_their_bytes_and_pieces_are_joined(spark, monkeypatch):
+    """Blocks of a few bytes give the same rows; the plan joins ids to the table of pieces."""
+    from jobtrail.llm import blocks, bpe
+
+    want = sorted(map(str, bpe.encode_and_decode(odd_frame(spark), queries.tokenizer_path()).collect()))
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2_000)
+    got = bpe.encode_and_decode(odd_frame(spark), queries.tokenizer_path())
+    assert sorted(map(str, got.collect())) == want
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin [id" in plan and "piece" in plan
+    assert blocks.block_count(odd_frame(spark)) > 40 and blocks.block_count(empty_frame(spark)) == 4
