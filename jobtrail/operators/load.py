@@ -51,7 +51,12 @@ def offered_load(jobs: DataFrame) -> DataFrame:
     state side has one row per instant (a hot instant is split by adaptive
     skew handling, which needs nothing replicated but that row).
     """
-    state = cluster_state(jobs).withColumnRenamed("t", "_t")
+    return load_at_arrival(jobs, cluster_state(jobs))
+
+
+def load_at_arrival(jobs: DataFrame, state: DataFrame) -> DataFrame:
+    """Look the load at each arrival up in a state with a row per instant, and take the job's own demand off."""
+    state = state.withColumnRenamed("t", "_t")
     joined = jobs.join(state, F.col("arrival_us") == F.col("_t"), "left")
     none = F.lit(0).cast("bigint")
     return joined.select(

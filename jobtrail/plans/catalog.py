@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobtrail.functions.expressions import epoch_micros, log10p1, to_seconds
 from jobtrail.operators import (
-    arrivals, boosting, capacity, checkpoints, features, load, metrics, ml, policy, prep, queueing, sequences, splits, stats,
+    arrivals, asof, boosting, capacity, checkpoints, daily_load, features, load, metrics, ml, policy, prep, queueing, sequences, splits, stats,
 )
 from jobtrail.plans.features import add_features, engineered_jobs, prepare_features
 from jobtrail.schema import NUMERIC_FEATURES, TARGET, heterogeneous_cluster, node_classes
@@ -190,6 +190,50 @@ def asof_state(spark, sf_dir):
     return load.asof_backward(probes, load.cluster_state(table), "t", ["load_cpu", "load_gpu", "active_jobs"])
 
 
+def _minutes(spark, sf_dir):
+    """Jobs with their arrival in whole minutes, so that instants repeat."""
+    return jobs(spark, sf_dir).withColumn("minute", F.floor(F.col("arrival_us") / 60_000_000).cast("bigint"))
+
+
+def _asof(spark, sf_dir, direction, tolerance=None, by=("queue_id",)):
+    table = _minutes(spark, sf_dir)
+    right = table.where(F.col("gpu_type") == "purchase").select(*by, "minute", F.col("job_id").alias("found"))
+    return asof.asof_join(table.select("job_id", *by, "minute"), right, "minute", ["found"], list(by), direction, tolerance,
+                          tie="found", at="found_minute").select("job_id", "found", "found_minute")
+
+
+@query
+def asof_nearest(spark, sf_dir):
+    """The purchase of the same queue nearest to each job in time."""
+    return _asof(spark, sf_dir, "nearest")
+
+
+@query
+def asof_forward(spark, sf_dir):
+    """The next purchase anywhere, from each job's minute on."""
+    return _asof(spark, sf_dir, "forward", by=())
+
+
+@query
+def asof_tolerance(spark, sf_dir):
+    """The last purchase of the same queue within three hours before each job."""
+    return _asof(spark, sf_dir, "backward", tolerance=180)
+
+
+@query
+def load_by_span(spark, sf_dir):
+    """Load at arrival, the trace appended ten days at a time: each span reads its own jobs and the carry."""
+    table = checkpoints.materialise(jobs(spark, sf_dir))
+    ends = table.agg(F.min("arrival_us"), F.max("arrival_us")).first()
+    folder = f"{spark.sparkContext.getCheckpointDir()}/load-{uuid.uuid4().hex}"
+    step, previous, out = 10 * daily_load.DAY_US, None, None
+    for start in range(ends[0] // step * step, ends[1] + 1, step):
+        span = table.where((F.col("arrival_us") >= start) & (F.col("arrival_us") < start + step))
+        found = daily_load.append_span(span, folder, start, start + step, previous)
+        out, previous = found if out is None else out.unionByName(found), start
+    return out.select("job_id", "cluster_load_cpu", "cluster_load_gpu", "active_job_count")
+
+
 @query
 def utilization_timeline(spark, sf_dir):
     return load.utilization_timeline(jobs(spark, sf_dir), heterogeneous_cluster())

@@ -240,6 +240,20 @@ def statements() -> dict[str, str]:
         FROM jobs a LEFT JOIN jobs b ON b.arrival_us <= a.arrival_us + 30000000
                                     AND b.arrival_us + b.runtime_us > a.arrival_us + 30000000
         GROUP BY a.job_id, a.arrival_us""", "jobs")
+    # The best partner of each job among all candidates; one pair per job is kept.
+    def asof(by, where, order):
+        return _sql(f"""
+        , m AS (SELECT *, arrival_us // 60000000 AS minute FROM jobs),
+        pairs AS (SELECT a.job_id, b.job_id AS found, b.minute AS found_minute,
+                         row_number() OVER (PARTITION BY a.job_id ORDER BY {order}) AS k
+                  FROM m a JOIN m b ON b.gpu_type = 'purchase' AND {by} AND {where})
+        SELECT job_id, found, found_minute FROM jobs LEFT JOIN (SELECT * FROM pairs WHERE k = 1) USING (job_id)""", "jobs")
+    q["asof_nearest"] = asof("a.queue_id = b.queue_id", "true", """abs(a.minute - b.minute), b.minute > a.minute,
+                             CASE WHEN b.minute > a.minute THEN b.job_id ELSE -b.job_id END""")
+    q["asof_forward"] = asof("true", "b.minute >= a.minute AND b.minute <= (SELECT max(minute) FROM m)", "b.minute, b.job_id")
+    q["asof_tolerance"] = asof("a.queue_id = b.queue_id", "b.minute <= a.minute AND a.minute - b.minute <= 180",
+                               "b.minute DESC, b.job_id DESC")
+    q["load_by_span"] = _sql("SELECT job_id, cluster_load_cpu, cluster_load_gpu, active_job_count FROM loaded", "loaded")
     q["utilization_timeline"] = _sql("""
         SELECT t, round(load_cpu / 12000.0::DOUBLE, 6) AS cpu_util, round(load_gpu / 400.0::DOUBLE, 6) AS gpu_util,
                active_jobs FROM state""", "state")
