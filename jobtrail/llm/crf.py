@@ -85,6 +85,43 @@ def features_of(core: str) -> list[int]:
     return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS for name in names]
 
 
+class _Buckets(dict):
+    """Bucket of each name with one prefix, remembered."""
+
+    def __init__(self, prefix: str):
+        super().__init__()
+        self.prefix = prefix
+
+    def __missing__(self, name: str) -> int:
+        bucket = self[name] = zlib.crc32(f"{self.prefix}{name}".encode("utf-8", "surrogatepass")) % BUCKETS
+        return bucket
+
+
+class Features:
+    """``features_of`` for many words: affixes and n-grams recur, so their buckets are remembered, up to ``CACHED`` of them."""
+
+    CACHED = 200_000
+
+    def __init__(self) -> None:
+        self.whole, self.heads, self.tails, self.grams = (_Buckets(p) for p in "wpsg")
+
+    def of(self, core: str) -> list[int]:
+        marked = f"^{core}$"
+        heads, tails, grams = self.heads, self.tails, self.grams
+        out = [self.whole.__missing__(core)]
+        out += [heads[core[:n]] for n in range(1, LONGEST_AFFIX + 1)]
+        out += [tails[core[-n:]] for n in range(1, LONGEST_AFFIX + 1)]
+        out += [grams[marked[i:i + 2]] for i in range(len(marked) - 1)]
+        out += [grams[marked[i:i + 3]] for i in range(len(marked) - 2)]
+        return out
+
+    def trim(self) -> None:
+        self.whole.clear()
+        for known in (self.heads, self.tails, self.grams):
+            if len(known) > self.CACHED:
+                known.clear()
+
+
 @dataclass
 class Crf:
     labels: list[str]
@@ -95,6 +132,12 @@ class Crf:
     def emission(self, features: Sequence[int]) -> np.ndarray:
         return self.weights[features].sum(axis=0)
 
+    def emissions(self, features: Sequence[Sequence[int]]) -> np.ndarray:
+        """The scores of many words, none without features."""
+        sizes = np.array([len(f) for f in features])
+        flat = np.fromiter(itertools.chain.from_iterable(features), dtype=np.int64, count=int(sizes.sum()))
+        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+
 
 def _padded(sequences: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in sequences])
@@ -252,9 +295,11 @@ class Labeller:
     CACHED_WORDS = 150_000
     STEP_WORDS = 1 << 19
     TOGETHER_LETTERS = 16 << 20
+    SCORED_TOGETHER = 4_096
 
     def __init__(self, model: Crf):
         self.model = model
+        self.features = Features()
         self._forget()
 
     def _forget(self) -> None:
@@ -264,16 +309,19 @@ class Labeller:
         self.used = 0
 
     def _scored(self, core: str) -> int:
-        """Row of the scores."""
-        row = self.cores.get(core)
-        if row is None:
-            row = self.used
-            if row == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[row] = self.model.emission(features_of(core))
-            self.used += 1
-            self.cores[core] = row
-        return row
+        """Row of the scores; they are there after ``_score_new``."""
+        return self.cores.setdefault(core, len(self.cores))
+
+    def _score_new(self) -> None:
+        """Score the words seen since the last time, many together."""
+        if len(self.cores) > len(self.scores):
+            more = max(len(self.cores) - len(self.scores), len(self.scores))
+            self.scores = np.concatenate([self.scores, np.zeros((more, self.scores.shape[1]), dtype=np.float32)])
+        new = itertools.islice(self.cores, self.used, None)
+        while words := list(itertools.islice(new, self.SCORED_TOGETHER)):
+            self.scores[self.used:self.used + len(words)] = self.model.emissions([self.features.of(w) for w in words])
+            self.used += len(words)
+            self.features.trim()
 
     def _place(self, word: str) -> int:
         """Row of the word's scores; -1 for a word without letters, -2 for one of several pieces."""
@@ -309,6 +357,7 @@ class Labeller:
                 size += len(texts[high])
                 rows.append(self._rows(texts[high]))
                 high += 1
+            self._score_new()
             lengths = np.array([len(r) for r in rows])
             counts[at:high] = lengths
             order = np.argsort(-lengths, kind="stable")
