@@ -27,7 +27,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.util import inheritable_thread_target
 
-from jobtrail.operators.checkpoints import ensure_checkpoint_dir, materialise
+from jobtrail.operators.checkpoints import fresh_path, materialise
 from jobtrail.operators.quantiles import quantiles
 
 CUT = 8
@@ -105,8 +105,7 @@ def group_medians(rows: DataFrame, value: str, by: str, ranked_rows: int = RANKE
 def _ensemble(spark: SparkSession, trees: Sequence, values: Sequence[Mapping[int, float] | None], base: float,
               rows: int, settings: Mapping) -> GBTRegressionModel:
     """The trees with their leaf values, behind a first tree of one leaf that predicts ``base``."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/boosted-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "boosted")
 
     def save(i: int) -> None:
         trees[i].save(f"{folder}/tree-{i + 1}")
@@ -213,8 +212,7 @@ def best_round(errors: Sequence[float], patience: int | None) -> tuple[int, int]
 def cut_back(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
     """The model of the first ``rounds`` trees, by leaving the others out of the written model."""
     spark = SparkSession.active()
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/boosted-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "boosted")
     model.save(f"{folder}/whole")
     spark.read.parquet(f"{folder}/whole/data").where(F.col("treeID") < rounds).write.parquet(f"{folder}/cut/data")
     spark.read.parquet(f"{folder}/whole/treesMetadata").where(F.col("_1") < rounds).write.parquet(f"{folder}/cut/treesMetadata")

@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobtrail.functions.expressions import epoch_micros, log10p1, to_seconds
+from jobtrail.functions.frames import require_columns
 from jobtrail.operators import (
     arrivals, asof, boosting, capacity, checkpoints, daily_load, features, load, metrics, ml, policy, prep, queueing, sequences, splits, stats,
 )
 from jobtrail.plans.features import add_features, engineered_jobs, prepare_features
-from jobtrail.schema import NUMERIC_FEATURES, TARGET, heterogeneous_cluster, node_classes
-from jobtrail.sources import experiments
+from jobtrail.schema import NUMERIC_FEATURES, REQUIRED_RAW, TARGET, heterogeneous_cluster, node_classes
+from jobtrail.sources import experiments, traces
 from jobtrail.sources.events import events_trace
 from jobtrail.streaming import collect_counts, run_available
 
@@ -225,7 +226,7 @@ def load_by_span(spark, sf_dir):
     """Load at arrival, the trace appended ten days at a time: each span reads its own jobs and the carry."""
     table = checkpoints.materialise(jobs(spark, sf_dir))
     ends = table.agg(F.min("arrival_us"), F.max("arrival_us")).first()
-    folder = f"{spark.sparkContext.getCheckpointDir()}/load-{uuid.uuid4().hex}"
+    folder = checkpoints.fresh_path(spark, "load")
     step, previous, out = 10 * daily_load.DAY_US, None, None
     for start in range(ends[0] // step * step, ends[1] + 1, step):
         span = table.where((F.col("arrival_us") >= start) & (F.col("arrival_us") < start + step))
@@ -265,6 +266,80 @@ def unplaceable_jobs(spark, sf_dir):
         "job_id", "num_cpu", "num_gpu")
 
 
+# --- written and read back ---------------------------------------------------
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """The trace written as CSV, read by its header through the loader of its key, checked and cleaned."""
+    path = checkpoints.fresh_path(spark, "trace") + ".csv"
+    raw(spark, sf_dir).write.option("header", True).csv(path)
+    loaded = traces.load_sample(spark, "main", traces.TracePaths(main=path))
+    require_columns(loaded, REQUIRED_RAW)
+    return prep.job_table(loaded, "us")
+
+
+@query
+def csv_baseline_round_trip(spark, sf_dir):
+    """The same with times written as text, through the loader of the baseline trace."""
+    path = checkpoints.fresh_path(spark, "baseline") + ".csv"
+    text = F.date_format(F.timestamp_micros("submit_time"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    raw(spark, sf_dir).withColumn("submit_time", text).write.option("header", True).csv(path)
+    paths = traces.TracePaths(main="", baseline=path, time_format="iso")
+    return prep.job_table(traces.load_sample(spark, "baseline", paths)).select("job_id", "arrival_us", "arrival_sec", "job_runtime")
+
+
+PROCESSED = ["job_id", "arrival_time", "arrival_sec", "job_runtime", "gpu_demand", "user", "gpu_type", "num_cpu", "hour_of_day",
+             "cluster_load_gpu"]
+
+
+@query
+def job_table_round_trip(spark, sf_dir):
+    """The engineered table written by arrival day as Parquet and loaded as the processed trace."""
+    path = checkpoints.fresh_path(spark, "processed")
+    traces.write_job_table(engineered(spark, sf_dir), path, by_day=True)
+    return traces.load_sample(spark, "main_utilization", traces.TracePaths(main="", processed=path)).select(*PROCESSED)
+
+
+@query
+def job_table_csv(spark, sf_dir):
+    """The engineered table written as CSV and read with the types it had."""
+    path, table = checkpoints.fresh_path(spark, "processed-csv"), engineered(spark, sf_dir)
+    traces.write_job_table(table, path, fmt="csv")
+    return spark.read.schema(table.schema).options(header=True, **traces.CSV_TIMES).csv(path).select(*PROCESSED)
+
+
+@query
+def experiments_round_trip(spark, sf_dir):
+    """Experiment records written as JSON, half of them in a second call, and all read back."""
+    path, records = checkpoints.fresh_path(spark, "experiments"), _records(spark, sf_dir)
+    experiments.write_experiments(records.where(F.col("model") == "linear"), path)
+    experiments.write_experiments(records.where(F.col("model") != "linear"), path)
+    return experiments.experiment_table(experiments.read_experiments(spark, path)).select("experiment", "mae", "rmse", "r2")
+
+
+@query
+def one_experiment(spark, sf_dir):
+    path = checkpoints.fresh_path(spark, "experiments")
+    experiments.write_experiments(_records(spark, sf_dir), path)
+    return experiments.champion_parameters(experiments.read_experiment(spark, path, "purchase_half"))
+
+
+@query
+def model_round_trip(spark, sf_dir):
+    """A tree saved, loaded again and applied to the test part."""
+    rows, path = _stump_inputs(spark, sf_dir), checkpoints.fresh_path(spark, "model")
+    whole = {"maxDepth": 1, "featureSubsetStrategy": "all", "numTrees": 1, "bootstrap": False}
+    ml.save_model(ml.fit("rf", rows.where(F.col("split") == "train"), whole), path)
+    return ml.score(rows.where(F.col("split") == "test"), {"tree": ml.load_model(path)}).select("job_id", "pred_tree")
+
+
+@query
+def holdouts(spark, sf_dir):
+    """Rows held out for early stopping in cross-validation and in the final fit."""
+    marked = splits.with_holdout(jobs(spark, sf_dir), ml.CV_HOLDOUT, name="is_val_cv")
+    return splits.with_holdout(marked, ml.FIT_HOLDOUT, name="is_val_fit").select("job_id", "is_val_cv", "is_val_fit")
+
+
 # --- statistics --------------------------------------------------------------
 
 @query

@@ -213,6 +213,22 @@ def statements() -> dict[str, str]:
         SELECT job_id, arrival_us AS arrival_time, round(arrival_sec, 6) AS arrival_sec,
                round(job_runtime, 6) AS job_runtime, gpu_demand, "user", gpu_type, num_inst, num_cpu, arrival_us,
                runtime_us, queue_id, pred_us, round(num_gpu, 6) AS num_gpu FROM jobs""", "jobs")
+    q["csv_round_trip"] = _sql("""
+        SELECT job_id, arrival_us AS arrival_time, round(arrival_sec, 6) AS arrival_sec,
+               round(job_runtime, 6) AS job_runtime, gpu_demand, "user", gpu_type, num_inst, num_cpu, arrival_us,
+               runtime_us FROM jobs""", "jobs")
+    q["csv_baseline_round_trip"] = _sql("""
+        SELECT job_id, arrival_us, round(arrival_sec, 6) AS arrival_sec, round(job_runtime, 6) AS job_runtime FROM jobs""", "jobs")
+    processed = """
+        SELECT job_id, arrival_us AS arrival_time, round(arrival_sec, 6) AS arrival_sec, round(job_runtime, 6) AS job_runtime,
+               gpu_demand, "user", gpu_type, num_cpu, hour_of_day, cluster_load_gpu FROM engineered"""
+    q["job_table_round_trip"] = q["job_table_csv"] = _sql(processed, "engineered")
+    q["experiments_round_trip"] = _sql(f"""
+        SELECT gpu_type || '_' || model AS experiment, mae, rmse, r2
+        FROM (SELECT gpu_type, model, {ERRORS} FROM predicted_long GROUP BY gpu_type, model)""", "predicted_long")
+    q["one_experiment"] = "SELECT 'purchase_half' AS experiment, '{\"model\":\"half\",\"track\":\"purchase\"}' AS params"
+    q["holdouts"] = _sql("""
+        SELECT job_id, pos < ceil(0.15::DOUBLE * n) AS is_val_cv, pos < ceil(0.10::DOUBLE * n) AS is_val_fit FROM hashed""", "hashed")
     q["job_table_exact_gpu"] = _sql("SELECT job_id, round(num_gpu, 6) AS gpu_demand FROM jobs", "jobs")
     q["temporal_features"] = _sql("SELECT job_id, hour_of_day, day_of_week FROM jobs", "jobs")
     q["fill_unknown"] = _sql("""
@@ -450,6 +466,13 @@ def statements() -> dict[str, str]:
         SELECT job_id, round(CASE WHEN num_cpu <= t THEN l ELSE r END, 6) AS pred_tree,
                round(CASE WHEN num_cpu <= t THEN l ELSE r END, 6) AS pred_boosted
         FROM numbered, best WHERE split = 'test'""", "numbered")
+    q["model_round_trip"] = _sql("""
+        , tr AS (SELECT num_cpu AS x, job_runtime AS y FROM numbered WHERE split = 'train'),
+        cut AS (SELECT DISTINCT x AS t FROM tr WHERE x < (SELECT max(x) FROM tr)),
+        tried AS (SELECT t, avg(y) FILTER (x <= t) AS l, avg(y) FILTER (x > t) AS r FROM tr, cut GROUP BY t),
+        best AS (SELECT t, l, r FROM tried, tr GROUP BY t, l, r ORDER BY sum(pow(y - CASE WHEN x <= t THEN l ELSE r END, 2)), t LIMIT 1)
+        SELECT job_id, round(CASE WHEN num_cpu <= t THEN l ELSE r END, 6) AS pred_tree
+        FROM numbered, best WHERE split = 'test'""", "numbered")
     q["l1_stump_scores"] = _sql(_stump_rounds(
         "absolute", 1, 1.0, "SELECT job_id, num_cpu AS x, job_runtime AS y, false AS val FROM numbered WHERE split = 'train'",
         "SELECT DISTINCT x AS t FROM h WHERE x < (SELECT max(x) FROM h)") + """

@@ -127,6 +127,10 @@ def load_sample(spark: SparkSession, which: str, paths: TracePaths) -> DataFrame
     return READERS[which](spark, paths)
 
 
+# CSV options that keep microseconds, for writing and reading.
+CSV_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
+
 def write_job_table(df: DataFrame, path: str, fmt: str = "parquet", by_day: bool = False) -> None:
     """Write an engineered table; ``by_day`` partitions it by arrival day for pruning."""
     if by_day:
@@ -136,7 +140,7 @@ def write_job_table(df: DataFrame, path: str, fmt: str = "parquet", by_day: bool
     else:
         writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, **CSV_TIMES).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
