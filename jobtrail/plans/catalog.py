@@ -260,6 +260,27 @@ def feasible_nodes(spark, sf_dir):
         "job_id", "feasible_nodes", "first_fit")
 
 
+def _machines(spark, sf_dir):
+    """A machine per part: CPUs by its size, GPUs by its key."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("machine_id"), (F.col("p_size") / F.lit(3.0)).alias("cpu"),
+                       (F.col("p_partkey") % 41 / F.lit(10.0)).alias("gpu"), (F.col("p_partkey") % 3).alias("nodes"))
+
+
+@query
+def fits_in_machine_table(spark, sf_dir):
+    return capacity.fits_in_table(jobs(spark, sf_dir), _machines(spark, sf_dir), gpu="num_gpu").select(
+        "job_id", "feasible_nodes", "first_fit")
+
+
+@query
+def fits_no_machine(spark, sf_dir):
+    """Jobs that none of the smaller machines could hold."""
+    small = _machines(spark, sf_dir).where("cpu < 12 AND gpu < 3.5")
+    return capacity.fits_in_table(jobs(spark, sf_dir), small, gpu="num_gpu").where("feasible_nodes = 0") \
+        .select("job_id", "num_cpu", "num_gpu")
+
+
 @query
 def unplaceable_jobs(spark, sf_dir):
     return capacity.unplaceable_jobs(jobs(spark, sf_dir), REDUCED_CLUSTER, gpu="num_gpu").select(

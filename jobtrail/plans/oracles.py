@@ -287,6 +287,15 @@ def statements() -> dict[str, str]:
         SELECT job_id, CAST(coalesce(sum(c.nodes), 0) AS BIGINT) AS feasible_nodes,
                CAST(min(c.id) AS BIGINT) AS first_fit
         FROM jobs LEFT JOIN {machines} ON {fits} GROUP BY job_id""", "jobs")
+    table = """, mt AS (SELECT p_partkey AS id, p_size / 3.0::DOUBLE AS cpu, p_partkey % 41 / 10.0::DOUBLE AS gpu, p_partkey % 3 AS nodes
+                        FROM part WHERE p_partkey % 3 > 0)"""
+    fit = "num_cpu <= mt.cpu + 1e-5::DOUBLE AND num_gpu <= mt.gpu + 1e-5::DOUBLE"
+    q["fits_in_machine_table"] = _sql(f"""{table}
+        SELECT job_id, CAST(coalesce(sum(mt.nodes), 0) AS BIGINT) AS feasible_nodes, CAST(min(mt.id) AS BIGINT) AS first_fit
+        FROM jobs LEFT JOIN mt ON {fit} GROUP BY job_id""", "jobs")
+    q["fits_no_machine"] = _sql(f"""{table}
+        SELECT job_id, num_cpu, round(num_gpu, 6) AS num_gpu FROM jobs
+        WHERE NOT EXISTS (SELECT 1 FROM mt WHERE {fit} AND mt.cpu < 12 AND mt.gpu < 3.5)""", "jobs")
     q["unplaceable_jobs"] = _sql(f"""
         SELECT job_id, num_cpu, round(num_gpu, 6) AS num_gpu FROM jobs
         WHERE NOT EXISTS (SELECT 1 FROM {machines} WHERE {fits})""", "jobs")
