@@ -62,6 +62,14 @@ def _numbered(words: list[bytes], number: _Numbers) -> np.ndarray:
     return out
 
 
+class _Places(dict):
+    """Distinct words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 def _head_words(answers: DataFrame, words: int) -> tuple[int, int, list[tuple[bytes, int]]]:
     """Training tokens, distinct ones, and the most frequent words of the corpus."""
 
@@ -158,7 +166,8 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     """
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
-    packed = pack(rows, F.struct("doc_id", "text"), block_count(rows))
+    blocks = block_count(rows)
+    packed = pack(rows, F.struct("doc_id", "text"), blocks)
     buckets = shuffle_parts(docs.sparkSession)
 
     def words_of_block(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
@@ -189,19 +198,23 @@ def score_documents(docs: DataFrame, held_out: Column, id_column: str = "doc_id"
     whole = float(train_tokens + types + 1)
 
     def finish(table: pa.Table, right: pa.Table) -> pa.Table:
-        names, _ = words_of_block(table)
-        count_of = read_numbers(names, right, buckets)
-        sizes, known, base, tail, numbered = [], [], [], [], []
+        # Every text is split once; from then on its words are places in the list of the block's distinct ones.
+        place, texts_at = _Places(), []
         for value in table.column("text").cast(pa.binary()):
             found = tokens(value.as_py())
-            c = np.empty(len(found) + 1, dtype=np.int64)
-            c[:-1] = np.fromiter(map(count_of.__getitem__, found), dtype=np.int64, count=len(found))
-            c[-1] = ends
-            ids = _numbered(found, number)
-            logs = np.log(c + 1.0)
-            sizes.append(len(c))
-            known.append(int(np.count_nonzero(c)))
-            base.append((logs.sum() - len(c) * np.log(whole)) / np.log(10.0))
+            texts_at.append(np.fromiter(map(place.__getitem__, found), dtype=np.int32, count=len(found)))
+        names = list(place)
+        count_of = read_numbers(names, right, buckets)
+        counts_at = np.array([*map(count_of.__getitem__, names), ends], dtype=np.int64)
+        ids_at = np.array([*map(number.__getitem__, names), gru.END], dtype=np.int32)
+        logs_at = np.log(counts_at + 1.0)
+        end, sizes, known, base, tail, numbered = len(names), [], [], [], [], []
+        for at in texts_at:
+            at = np.append(at, end)
+            ids, logs = ids_at[at], logs_at[at]
+            sizes.append(len(at))
+            known.append(int(np.count_nonzero(counts_at[at])))
+            base.append((logs.sum() - len(at) * np.log(whole)) / np.log(10.0))
             rare = ids == number.other
             tail.append(logs[rare].sum() - np.count_nonzero(rare) * np.log(other_mass))
             numbered.append(ids)
