@@ -2,10 +2,10 @@
 
 Texts are split into words, every distinct word of the corpus is encoded once
 with the tokenizers library, and the ids are joined back to the documents by
-position. To decode, the distinct ids of each block of documents are joined to
-the table of the vocabulary's pieces, a row per id; what it gives a block are the
-pieces its texts are put together from. The vocabulary's size is fixed, so its
-table is broadcast.
+position. To decode, the distinct ids of the corpus are joined to the table of the
+vocabulary's pieces, a row per id; what is found are the pieces texts are put
+together from. The vocabulary's size is fixed, so its table is broadcast and what
+is found travels to every block.
 
 Defined results: null texts are empty and have no ids (digests of the empty
 string); every input row gives one output row, also repeated ones and those
@@ -46,15 +46,24 @@ def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
 
 
 def _used_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct ids of each answer, behind its words' lengths."""
+    """The distinct ids of a task's answers, each behind its words' lengths; at most a vocabulary of them."""
+    used = np.zeros(0, dtype="<u4")
     for batch in batches:
-        for block, data in zip(batch.column(BLOCK).to_pylist(), batch.column("answers").to_pylist()):
+        for data in batch.column("answers").to_pylist():
             numbers = np.frombuffer(unsqueeze(data), "<u4")
             # The lengths come first and add up to the number of ids behind them.
             ends = np.cumsum(numbers, dtype=np.int64) + np.arange(1, len(numbers) + 1)
             words = int(np.searchsorted(ends, len(numbers))) + 1
-            ids = np.unique(numbers[words:]).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({BLOCK: pa.array([block] * len(ids), pa.int32()), "id": pa.array(ids)})
+            used = np.union1d(used, numbers[words:])
+    yield pa.RecordBatch.from_pydict({"id": pa.array(used.astype(np.int64))})
+
+
+def _block_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task's answers, each of which is in one task."""
+    blocks: set[int] = set()
+    for batch in batches:
+        blocks.update(batch.column(BLOCK).to_pylist())
+    yield pa.RecordBatch.from_pydict({BLOCK: pa.array(sorted(blocks), pa.int32())})
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
@@ -85,8 +94,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
         is_piece = pc.equal(answers.column("bucket"), PIECES)
         ids_of = read_answers(_distinct(texts), answers.filter(pc.invert(is_piece)), buckets, "<u4")
         piece: dict[int, str] = {}
-        for packed_pieces in answers.filter(is_piece).column("answers").to_pylist():
-            piece |= {int(i): p for i, p in json.loads(packed_pieces).items()}
+        for listed in answers.filter(is_piece).column("answers").to_pylist():
+            piece |= {int(i): p for i, p in json.loads(listed or b"{}").items()}
         decimal = {i: str(i) for i in piece}
         known = {}
         for word, ids in ids_of.items():
@@ -104,9 +113,11 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
 
     # One exchange by block serves the ids' join and the texts.
     answers = answer_words(packed, words_of_block, encode_words).repartition(blocks, BLOCK)
-    used = answers.mapInArrow(_used_ids, f"{BLOCK} int, id long").distinct()
-    found = used.join(F.broadcast(piece_table(docs.sparkSession, tokenizer)), "id").groupBy(BLOCK).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "piece"))).alias("pieces"))
-    pieces = found.select(BLOCK, F.lit(PIECES).alias("bucket"), F.to_json("pieces").cast("binary").alias("answers"))
+    used = answers.mapInArrow(_used_ids, "id long").distinct()
+    found = used.join(F.broadcast(piece_table(docs.sparkSession, tokenizer)), "id").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "piece")))).alias("pieces"))
+    # One row of at most a vocabulary of pieces, a constant that every block gets as one more answer.
+    pieces = answers.mapInArrow(_block_numbers, f"{BLOCK} int").select(
+        BLOCK, F.lit(PIECES).alias("bucket"), found.scalar().cast("binary").alias("answers"))
     return join_answers(packed, answers.unionByName(pieces), finish,
                         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

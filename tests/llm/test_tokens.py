@@ -62,7 +62,7 @@ def test_bpe_ships_each_text_once(spark):
     final = plan.split("== Initial Plan ==")[0]
     # Texts are packed once and words are encoded once, though both are read twice.
     assert final.count("ReusedExchange") >= 2
-    assert final.count("Scan parquet") == 1 and final.count("FlatMapGroupsInArrow") == 2
+    assert final.count("Scan parquet") == 1 and final.count("FlatMapGroupsInArrow") == 2, final
 
 
 def expected_files(tokenizer, rows):
