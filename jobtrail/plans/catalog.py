@@ -21,7 +21,7 @@ from jobtrail.plans.features import add_features, engineered_jobs, prepare_featu
 from jobtrail.schema import NUMERIC_FEATURES, REQUIRED_RAW, TARGET, heterogeneous_cluster, node_classes
 from jobtrail.sources import experiments, traces
 from jobtrail.sources.events import events_trace
-from jobtrail.streaming import collect_counts, run_available
+from jobtrail.streaming import collect_counts, finish_load_stream, run_available, run_load_stream, stream_loads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -472,6 +472,20 @@ def arrival_rate_stream(spark, sf_dir):
     return collect_counts(spark, f"{folder}/counts")
 
 
+@query
+def load_stream(spark, sf_dir):
+    """Load at arrival of a stream: the trace in parts of ten days, every second one swapped with its neighbour."""
+    table, folder = checkpoints.materialise(jobs(spark, sf_dir)), scratch(spark)
+    first = table.agg(F.min("arrival_us")).first()[0]
+    for part in (1, 0, 2, 3):
+        at = F.floor((F.col("arrival_us") - first) / (10 * daily_load.DAY_US))
+        table.where(at == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    run_load_stream(stream, f"{folder}/out", f"{folder}/offsets", 20 * daily_load.DAY_US)
+    finish_load_stream(table, f"{folder}/out")
+    return stream_loads(spark, f"{folder}/out").select("job_id", "cluster_load_cpu", "cluster_load_gpu", "active_job_count")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the session's checkpoint folder."""
     checkpoints.ensure_checkpoint_dir(spark)

@@ -269,7 +269,7 @@ def statements() -> dict[str, str]:
     q["asof_forward"] = asof("true", "b.minute >= a.minute AND b.minute <= (SELECT max(minute) FROM m)", "b.minute, b.job_id")
     q["asof_tolerance"] = asof("a.queue_id = b.queue_id", "b.minute <= a.minute AND a.minute - b.minute <= 180",
                                "b.minute DESC, b.job_id DESC")
-    q["load_by_span"] = _sql("SELECT job_id, cluster_load_cpu, cluster_load_gpu, active_job_count FROM loaded", "loaded")
+    q["load_stream"] = q["load_by_span"] = _sql("SELECT job_id, cluster_load_cpu, cluster_load_gpu, active_job_count FROM loaded", "loaded")
     q["utilization_timeline"] = _sql("""
         SELECT t, round(load_cpu / 12000.0::DOUBLE, 6) AS cpu_util, round(load_gpu / 400.0::DOUBLE, 6) AS gpu_util,
                active_jobs FROM state""", "state")
