@@ -23,7 +23,7 @@ def brute(jobs, machines):
     return out
 
 
-@pytest.mark.parametrize("block_rows,kinds", [(1 << 20, 40), (3, 40), (1 << 20, 1), (2, 3)])
+@pytest.mark.parametrize("block_rows,kinds", [(1 << 20, 40), (25, 40), (12, 1)])
 def test_every_pair(spark, monkeypatch, block_rows, kinds):
     for name in ("GROUP_ROWS", "WHOLE_ROWS", "MOST_ROWS"):
         monkeypatch.setattr(scan, name, block_rows)

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as driver
 
-TABLES = ["events", "orders", "lineitem", "documents", "pages", "conversations", "benchmark"]
+TABLES = ["events", "orders", "lineitem", "part", "documents", "pages", "conversations", "benchmark"]
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = driver.queries()
 ORACLES = driver.oracle_sql()
