@@ -5,12 +5,18 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.util import inheritable_thread_target
 
 from jobtrail.schema import RAW_TRACE
 
 
+# First lines read at the same time.
+HEADERS_AT_ONCE = 32
+
+
 @dataclass(frozen=True)
 class TracePaths:
     """Where the tables of one installation lie."""
@@ -34,24 +40,29 @@ def _require_path(spark: SparkSession, path: str, hint: str = "") -> None:
 
 
 def _csv_files(spark: SparkSession, path: str) -> list[tuple[str, tuple[str, ...]]]:
-    """The CSV files below a path or pattern with the names in their first line."""
+    """The CSV files below a path or pattern with the names in their first line, of which many are read at a time."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(conf)
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    found, waiting = [], list(fs.globStatus(place))
+    files, waiting = [], list(fs.globStatus(place))
     while waiting:
         status = waiting.pop()
         if status.isDirectory():
             waiting += list(fs.listStatus(status.getPath()))
         elif status.getLen() and not status.getPath().getName().startswith(("_", ".")):
-            stream, codec = fs.open(status.getPath()), codecs.getCodec(status.getPath())
-            stream = stream if codec is None else codec.createInputStream(stream)
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            line = (reader.readLine() or "").removeprefix("\ufeff")
-            reader.close()
-            found.append((status.getPath().toString(), tuple(name.strip() for name in next(csv.reader([line]), []))))
-    return sorted(found)
+            files.append(status.getPath())
+
+    def with_header(file) -> tuple[str, tuple[str, ...]]:
+        stream, codec = fs.open(file), codecs.getCodec(file)
+        stream = stream if codec is None else codec.createInputStream(stream)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = (reader.readLine() or "").removeprefix("\ufeff")
+        reader.close()
+        return file.toString(), tuple(name.strip() for name in next(csv.reader([line]), []))
+
+    with ThreadPool(HEADERS_AT_ONCE) as pool:
+        return sorted(pool.map(inheritable_thread_target(spark)(with_header), files))
 
 
 def _parsed(name: str, dtype: T.DataType, time_format: str | None) -> Column:
