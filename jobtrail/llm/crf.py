@@ -213,8 +213,8 @@ def label_shares(emissions: np.ndarray, lengths: np.ndarray, model: Crf) -> np.n
     return total
 
 
-def _switched(samples: Sequence[tuple[int, list[str]]], rng: np.random.Generator,
-              segment: tuple[int, int], length: int) -> Iterable[tuple[list[str], list[int]]]:
+def _switched(samples: Sequence[tuple[int, np.ndarray]], rng: np.random.Generator,
+              segment: tuple[int, int], length: int) -> Iterable[tuple[np.ndarray, np.ndarray]]:
     """Code-switched training sequences: runs of words from several labelled texts in turn."""
     pieces = []
     for label, words in samples:
@@ -223,37 +223,34 @@ def _switched(samples: Sequence[tuple[int, list[str]]], rng: np.random.Generator
             size = int(rng.integers(*segment))
             pieces.append((label, words[at:at + size]))
             at += size
-    words, labels = [], []
+    runs, labels, size = [], [], 0
     for i in rng.permutation(len(pieces)):
         label, run = pieces[i]
-        words += run
-        labels += [label] * len(run)
-        if len(words) >= length:
-            yield words, labels
-            words, labels = [], []
-    if words:
-        yield words, labels
+        runs.append(run)
+        labels.append(np.full(len(run), label, dtype=np.int32))
+        size += len(run)
+        if size >= length:
+            yield np.concatenate(runs), np.concatenate(labels)
+            runs, labels, size = [], [], 0
+    if runs:
+        yield np.concatenate(runs), np.concatenate(labels)
 
 
-def train(samples: Sequence[tuple[str, list[str]]], passes: int = 6, batch: int = 128, rate: float = 0.08,
+def train(samples: Iterable[tuple[str, list[str]]], passes: int = 6, batch: int = 128, rate: float = 0.08,
           decay: float = 1e-5, segment: tuple[int, int] = (8, 48), length: int = 128, seed: int = 1) -> Crf:
-    """Fit weights and transitions by Adam on the conditional log-likelihood of code-switched sequences."""
-    names = sorted({label for label, _ in samples})
+    """Fit weights and transitions by Adam on the conditional log-likelihood of code-switched sequences.
+
+    Texts are taken one by one and kept as numbers of their words, four bytes each.
+    """
+    known: dict[str, int] = {}
+    numbered = [(label, np.array([known.setdefault(word, len(known)) for word in words], dtype=np.int32))
+                for label, words in samples]
+    names = sorted({label for label, _ in numbered})
     index = {label: i for i, label in enumerate(names)}
     k = len(names)
     rng = np.random.default_rng(seed)
-    known: dict[str, int] = {}
-    rows: list[list[int]] = []
-    sequences, gold = [], []
-    for words, labels in _switched([(index[label], words) for label, words in samples], rng, segment, length):
-        at = []
-        for word in words:
-            if word not in known:
-                known[word] = len(rows)
-                rows.append(features_of(word))
-            at.append(known[word])
-        sequences.append(np.array(at))
-        gold.append(np.array(labels))
+    rows = [features_of(word) for word in known]
+    sequences, gold = map(list, zip(*_switched([(index[label], words) for label, words in numbered], rng, segment, length)))
     sizes = np.array([len(r) for r in rows])
     flat, starts = np.concatenate([np.array(r) for r in rows]), np.concatenate([[0], np.cumsum(sizes)])
     parameters = [np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)]

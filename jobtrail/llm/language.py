@@ -1,9 +1,8 @@
 """Language of whole texts from a conditional random field over their words.
 
 The field is fitted on the driver from a bounded sample: about ``sample``
-labelled texts, spread evenly over the languages by a hash of the document id,
-and of each a run of ``window`` words starting at a hashed place. Runs of
-different texts are put together to code-switched sequences. In scripts
+labelled whole texts, spread evenly over the languages by a hash of the document
+id. Runs of different texts are put together to code-switched sequences. In scripts
 without spaces the pieces of ``crf.tokens_of`` are the words. Every text is then
 labelled whole; its language is the one with the most expected words, and the
 score is that language's share of the words.
@@ -23,21 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from jobtrail.llm import crf
 from jobtrail.llm.shared import hex_unit
 
 UNKNOWN = "und"
-# Documented bounds of the labelled sample: texts over all languages, and words of each.
+# Documented bound of the labelled sample: whole texts over all languages.
 SAMPLE_TEXTS = 4_000
-SAMPLE_WORDS = 150
 
 
-def learning_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, window: int = SAMPLE_WORDS, seed: int = 3,
-                    id_column: str = "doc_id", text_column: str = "text",
-                    lang_column: str = "lang") -> list[tuple[str, list[str]]]:
-    """About ``texts`` labelled runs of up to ``window`` words, as many of each language.
+def learning_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, seed: int = 3, id_column: str = "doc_id",
+                    text_column: str = "text", lang_column: str = "lang") -> list[tuple[str, str]]:
+    """About ``texts`` labelled texts, as many of each language: the words that have labels, a line each.
 
     The hash keeps a text with the probability that gives its language its
     part, so the sample's size is bounded in expectation whatever the input.
@@ -52,29 +48,24 @@ def learning_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, window: int = SA
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, texts / len(sizes) / n))).otherwise(share)
     identity = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("t"), F.md5("text")))
-    place = hex_unit(F.concat(F.lit(f"place{seed}|"), identity))
     chosen = labelled.where(hex_unit(F.concat(F.lit(f"sample{seed}|"), identity)) < share)
-    texts_ = chosen.select("lang", identity.alias("identity"), place.alias("place"), "text")
+    texts_ = chosen.select("lang", identity.alias("identity"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = []
-            for at, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                words = [token for word in text.split() for token in crf.tokens_of(word)]
-                first = int(at * max(len(words) - window + 1, 1))
-                runs.append(words[first:first + window])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.string()))],
+            runs = ["\n".join(token for word in text.split() for token in crf.tokens_of(word))
+                    for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.string())],
                                              names=["lang", "identity", "run"])
 
-    rows = texts_.mapInArrow(cut, texts_.select("lang", "identity").schema.add("run", ArrayType(StringType()))).collect()
-    out = [(row["lang"], row["run"]) for row in sorted(rows, key=lambda r: (r["lang"], r["identity"], r["run"])) if row["run"]]
-    return out
+    rows = texts_.mapInArrow(cut, texts_.select("lang", "identity").schema.add("run", "string")).collect()
+    return [(row["lang"], row["run"]) for row in sorted(rows, key=lambda r: (r["lang"], r["identity"], r["run"])) if row["run"]]
 
 
 def fit(docs: DataFrame, **sample: object) -> crf.Crf | None:
     """The field learned from the labelled rows of ``docs``; None if there are none."""
     samples = learning_sample(docs, **sample)
-    return crf.train(samples) if samples else None
+    return crf.train((lang, run.split("\n")) for lang, run in samples) if samples else None
 
 
 def with_language(docs: DataFrame, model: crf.Crf | None, text_column: str = "text", lang_column: str = "lang_pred",

@@ -106,3 +106,47 @@ def test_unspaced_texts_count_whole(spark):
     found = language.with_language(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
     assert [r.lang_pred for r in sorted(found)] == ["ja", "th", "en"]
     assert all(r.score > 0.8 for r in found)
+
+
+def test_whole_texts_are_learned_from(spark):
+    """The languages of the rows differ only far behind their beginnings."""
+    same, tails = " ".join(["zz"] * 400), {"xa": "alpha beta gamma delta", "xb": "rho sigma tau upsilon"}
+    rows = [(i, f"{same} {tails[lang]}", lang) for i in range(40) for lang in tails]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.learning_sample(df)
+    assert sorted(sample) == sorted((lang, text.replace(" ", "\n")) for _, text, lang in rows)
+    shares, _ = crf.Labeller(language.fit(df)).shares(list(tails.values()))
+    assert shares[0].argmax() == 0 and shares[1].argmax() == 1
+
+
+def plain_shares(model, text):
+    """Expected words per label, a word and a label at a time."""
+    k = range(len(model.labels))
+    words = [token for word in text.split() for token in crf.tokens_of(word)]
+    weights = model.weights.astype(float)
+    local = [np.exp(s - s.max()) for s in (sum(weights[f] for f in crf.features_of(w)) for w in words)]
+    move, start = np.exp(model.transitions), np.exp(model.start)
+    ahead = []
+    for t, here in enumerate(local):
+        row = [here[j] * (start[j] if not t else sum(ahead[-1][i] * move[i, j] for i in k)) for j in k]
+        ahead.append([x / sum(row) for x in row])
+    total, back = np.zeros(len(k)), [1.0] * len(k)
+    for t in reversed(range(len(local))):
+        both = [ahead[t][j] * back[j] for j in k]
+        total += np.array(both) / sum(both)
+        before = [sum(move[i, j] * local[t][j] * back[j] for j in k) for i in k]
+        back = [x / sum(before) for x in before]
+    return total, len(words)
+
+
+def test_query_against_plain_forward_backward(spark):
+    docs = queries.table(spark, SMALL, "documents")
+    model = language.fit(docs.where(language.id_remainder(5) != 0))
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    for row in queries.op10_language(spark, SMALL).collect():
+        total, n = plain_shares(model, texts[row.doc_id] or "")
+        if not n:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+        else:
+            at = model.labels.index(row.lang_pred)
+            assert abs(row.score - total[at] / n) < 1e-3 and total[at] >= total.max() - 1e-3 * n
