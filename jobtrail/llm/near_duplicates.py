@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtrail.llm.components import components
-from jobtrail.llm.shared import written
+from jobtrail.llm.shared import join_facts, join_places, places_of, written
 
 BANDS, ROWS = 42, 6
 MINIMA = 256
@@ -174,8 +174,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a") \
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b") \
+    # The hot side last: its sets are copied inside the tasks that check, not shuffled with every pair.
+    half = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+    places = pairs.groupBy("a").agg(places_of("b").alias("_places"))
+    both = join_places(half, places.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a"), "a", "b") \
         .select("a", "b", "set_a", "set_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +197,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _star_pairs(buckets: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     pairs = buckets.where("member <> first").select(F.col("first").alias("a"), F.col("member").alias("b")).distinct()
     sides = [signatures.select(F.col("doc_id").alias(s), F.col("sig").alias(f"sig_{s}")) for s in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b") \
+    return join_facts(pairs, sides[0], "a", "b").join(sides[1], "b") \
         .where(estimate(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
 
 
@@ -204,8 +206,9 @@ def _cross_pairs(buckets: DataFrame, signatures: DataFrame, clusters: DataFrame,
     placed = buckets.select("key", "member").join(clusters.select(F.col("node").alias("member"), "root"), "member", "left") \
         .select("key", "member", F.coalesce("root", "member").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"),
-                                      F.count(F.lit(1)).alias("n")).where("_low <> _high")
-    members = placed.join(mixed.select("key", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("chunks")), "key") \
+                                      F.count(F.lit(1)).alias("n"), places_of("member").alias("_places")).where("_low <> _high")
+    chunks = mixed.select("key", "_places", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    members = join_places(placed, chunks, "key", "member") \
         .withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")) \
         .join(signatures.select(F.col("doc_id").alias("member"), "sig"), "member")
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
@@ -238,7 +241,7 @@ def _inside_clusters(clusters: DataFrame, roots: DataFrame, sets: DataFrame, per
         .where("top.n < n").select("cluster", F.col("top.root").alias("main"),
                                    F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("parts"),
                                    F.ceil((F.col("n") - F.col("top.n")) / F.lit(CHUNK)).cast("int").alias("few"))
-    members = placed.join(facts, "cluster").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    members = join_facts(placed, facts, "cluster", "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
     hashed = F.xxhash64("node")
     asked = members.where("root <> main").select(
         F.col("cluster").alias("x_cluster"), F.pmod(hashed, F.col("few")).cast("int").alias("x_i"),
@@ -278,9 +281,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     chosen = made.join(classes, ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
     signatures = written(chosen.select("doc_id", "sig", "bands"), "signatures")
     entries = signatures.select(F.col("doc_id").alias("member"), F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("member").alias("first"), F.max("member").alias("_last")) \
-        .where("first <> _last").drop("_last")
-    buckets = written(entries.join(shared, "key").select("key", "first", "member"), "buckets")
+    shared = entries.groupBy("key").agg(F.min("member").alias("first"), F.max("member").alias("_last"),
+                                         places_of("member").alias("_places")).where("first <> _last").drop("_last")
+    buckets = written(join_places(entries, shared, "key", "member").select("key", "first", "member"), "buckets")
     stars = written(_star_pairs(buckets, signatures, least), "star-pairs")
     clusters = components(stars)
     pairs = written(stars.unionByName(_cross_pairs(buckets, signatures, clusters, least)), "pairs")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Java form of the word separators: space and the control characters 9 to 13.
 GAPS = "[ \\t-\\r]+"
+# Places among which the rows of one key are dealt when they meet its facts; one bit each of a 64-bit integer.
+PLACES = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +38,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def place_of(spread: str) -> Column:
+    """The place of a row within its key."""
+    return F.pmod(F.xxhash64(spread), F.lit(PLACES)).cast("int")
+
+
+def places_of(spread: str, where: Column | None = None) -> Column:
+    """Aggregate: the places in which a key has rows, as bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place_of(spread))
+    return F.bit_or(bit if where is None else F.when(where, bit))
+
+
+def join_places(rows: DataFrame, facts: DataFrame, key: str, spread: str) -> DataFrame:
+    """Join rows with their key's facts, of which ``_places`` came from ``places_of``.
+
+    Facts are repeated only for the places their key has rows in, so there are
+    never more of them than rows, and a key of any size lies in ``PLACES`` parts.
+    """
+    taken = F.filter(F.sequence(F.lit(0), F.lit(PLACES - 1)),
+                     lambda i: F.call_function("shiftright", F.col("_places"), i).bitwiseAND(F.lit(1)) == 1)
+    dealt = facts.withColumn("_place", F.explode(taken)).drop("_places")
+    return rows.withColumn("_place", place_of(spread)).join(dealt, [key, "_place"]).drop("_place")
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, spread: str) -> DataFrame:
+    """``join_places`` with a table of one row per key."""
+    places = rows.groupBy(key).agg(places_of(spread).alias("_places"))
+    return join_places(rows, places.join(facts, key), key, spread)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

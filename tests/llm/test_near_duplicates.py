@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.llm import near_duplicates as nd, queries
 from jobtrail.llm.components import components
+from jobtrail.llm.shared import join_facts, join_places, place_of, places_of
 from tests.llm.odd import SMALL, empty_frame, odd_frame
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -132,3 +133,22 @@ def test_components(spark):
     want = walk({n for link in links if link[0] != link[1] for n in link}, links)
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("ends", [lambda i: (0, i), lambda i: (i, 500), lambda i: (250, i)])
+def test_components_of_a_star(spark, ends):
+    """One node with all links: the smallest, the largest, one between."""
+    links = [ends(i) for i in range(1, 500)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == walk({n for link in links if link[0] != link[1] for n in link}, links)
+
+
+def test_a_hot_key_is_dealt_to_places(spark):
+    rows = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).alias("key"), "id")
+    facts = rows.groupBy("key").agg(F.min("id").alias("low"), places_of("id", F.expr("id > 0")).alias("_places"))
+    want = {(r.key, r.id): 0 if r.key == 7 else r.id for r in rows.where("id > 0").collect()}
+    got = join_places(rows.where("id > 0"), facts, "key", "id").collect()
+    assert len(got) == len(want) and {(r.key, r.id): r.low for r in got} == want
+    assert {(r.key, r.id): r.low for r in join_facts(rows.where("id > 0"), facts.drop("_places"), "key", "id").collect()} == want
+    dealt = rows.where("key = 7").groupBy(place_of("id")).count().collect()
+    assert len(dealt) == 64 and max(r["count"] for r in dealt) < 100
