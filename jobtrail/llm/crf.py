@@ -12,6 +12,7 @@ at a time, a step of all of them at once.
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import re
@@ -249,10 +250,14 @@ def train(samples: Iterable[tuple[str, list[str]]], passes: int = 6, batch: int
     index = {label: i for i, label in enumerate(names)}
     k = len(names)
     rng = np.random.default_rng(seed)
-    rows = [features_of(word) for word in known]
     sequences, gold = map(list, zip(*_switched([(index[label], words) for label, words in numbered], rng, segment, length)))
-    sizes = np.array([len(r) for r in rows])
-    flat, starts = np.concatenate([np.array(r) for r in rows]), np.concatenate([[0], np.cumsum(sizes)])
+    buckets, sizes = array.array("i"), []
+    for word in known:
+        found = features_of(word)
+        buckets.extend(found)
+        sizes.append(len(found))
+    flat, sizes = np.array(buckets), np.array(sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     parameters = [np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     step = 0
