@@ -23,8 +23,9 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
     have nulls; right rows without an instant never match; null groups match each other.
 
     Right rows are reduced to one per instant, left rows to their distinct
-    instants, and both lie on one timeline per group, which is scanned both ways in
-    one sorted pass: one shuffle of the timeline whatever the direction. A group of any size is cut
+    instants, and both lie on one timeline per group, which is shuffled once and sorted for each way
+    it is scanned: ahead is back in the reverse order, since a frame that ends with the group is gone
+    through anew for every row. A group of any size is cut
     into blocks, which learn the last row before and the first row after them.
     """
     if direction not in DIRECTIONS:
@@ -42,18 +43,20 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
     # At one instant the point comes first, so looking back finds an equal one.
     blocked = in_blocks(timeline, by, [on, asked])
     block, window = [*blocked.keys, BLOCK], blocked.window()
+    reverse = Window.partitionBy(*block).orderBy(*[F.desc(c) for c in blocked.order])
     rows = blocked.rows.repartition(*block) if blocked.cut else blocked.rows
     ways = rows.withColumns({
         f"{row}_back": F.last(row, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)),
-        f"{row}_ahead": F.first(row, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))})
+        f"{row}_ahead": F.last(row, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0))})
     back, ahead = F.col(f"{row}_back"), F.col(f"{row}_ahead")
     if blocked.cut:
         place = F.when(F.col(row).isNotNull(), F.struct(*blocked.order))
         ends = rows.groupBy(*block).agg(F.min_by(row, place).alias("_first"), F.max_by(row, place).alias("_last"))
-        over = Window.partitionBy(*blocked.keys).orderBy(BLOCK)
+        over, back_over = (Window.partitionBy(*blocked.keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+                           for o in (F.asc(BLOCK), F.desc(BLOCK)))
         handed = ends.select(
-            *block, F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{row}_before"),
-            F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"{row}_after"))
+            *block, F.last("_last", ignorenulls=True).over(over).alias(f"{row}_before"),
+            F.last("_first", ignorenulls=True).over(back_over).alias(f"{row}_after"))
         ways = ways.join(handed.hint("shuffle_hash"), block)
         back, ahead = F.coalesce(back, f"{row}_before"), F.coalesce(ahead, f"{row}_after")
     here = F.col(on)

@@ -44,6 +44,17 @@ def test_against_loops(spark, monkeypatch, direction, tolerance, block_rows):
     assert {r.id: (r.v, r.found_at) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block_rows", [6, 1 << 20])
+@pytest.mark.parametrize("direction", asof.DIRECTIONS)
+def test_no_frame_is_gone_through_for_every_row(spark, monkeypatch, direction, block_rows):
+    """A frame from a row to the group's end is summed up anew per row, so a group would cost its size squared."""
+    small_blocks(monkeypatch, block_rows)
+    rows = spark.range(40).selectExpr("id", "id % 2 AS g", "id AS t", "id AS v")
+    found = asof.asof_join(rows.select("id", "g", "t"), rows.select("g", "t", "v"), "t", ["v"], ["g"], direction)
+    text = found._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in text and "unboundedfollowing" not in text
+
+
 def test_empty_sides(spark):
     one = spark.createDataFrame([(1, 5)], "id long, t long")
     none = spark.createDataFrame([], "t long, v long")
