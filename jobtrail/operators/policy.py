@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -165,23 +167,23 @@ def wilcoxon(diffs: DataFrame, by: str = "policy") -> DataFrame:
     return full.withColumn("z", F.try_divide(F.col("w_plus") - mean, spread))
 
 
-def _exact_tail(ranks: Column, doubled: Column) -> Column:
-    """Chance that the doubled rank sum reaches ``doubled`` when every rank is positive with probability 1/2.
+@lru_cache(maxsize=256)
+def _tail_counts(ranks: tuple[int, ...]) -> np.ndarray:
+    """For each doubled sum the number of sets of ``ranks`` that reach it; each rank adds the ways without it, moved by it."""
+    ways = np.zeros(sum(ranks) + 1, dtype=np.int64)
+    ways[0] = 1
+    for rank in ranks:
+        ways[rank:] += ways[:-rank].copy()
+    return ways[::-1].cumsum()[::-1]
 
-    ``ways[s]`` counts the sets of ranks with the doubled sum ``s``; each rank adds the ways without it, moved by it.
-    """
-    whole = F.aggregate(ranks, F.lit(0).cast("bigint"), lambda a, r: a + r)
-    none = F.array_repeat(F.lit(0).cast("bigint"), whole.cast("int"))
-    start = F.concat(F.array(F.lit(1).cast("bigint")), none)
 
-    def add(ways: Column, rank: Column) -> Column:
-        moved = F.concat(F.array_repeat(F.lit(0).cast("bigint"), rank.cast("int")), ways)
-        return F.transform(ways, lambda n, s: n + F.get(moved, s))
+def _exact_tail(ranks: pd.Series, doubled: pd.Series) -> pd.Series:
+    """Chance that the doubled rank sum reaches ``doubled`` when every rank is positive with probability 1/2.
 
-    ways = F.aggregate(ranks, start, add)
-    reached = F.aggregate(F.slice(ways, doubled.cast("int") + 1, F.greatest(F.size(ways) - doubled.cast("int"), F.lit(0))),
-                          F.lit(0).cast("bigint"), lambda a, n: a + n)
-    return reached.cast("double") / F.pow(F.lit(2.0), F.size(ranks))
+    Groups without ties and of equal size share their ranks, so their counts are kept. Null ranks have no chance.
+    """
+    return pd.Series([None if r is None else float(_tail_counts(tuple(sorted(map(int, r))))[int(d)]) / 2.0 ** len(r)
+                      for r, d in zip(ranks, doubled)], dtype="float64")
 
 
 def signed_rank_test(diffs: DataFrame, by: Sequence[str] = ("policy",), exact_pairs: int = EXACT_PAIRS) -> DataFrame:
@@ -213,8 +215,11 @@ def signed_rank_test(diffs: DataFrame, by: Sequence[str] = ("policy",), exact_pa
     spread = F.sqrt((size * (size + 1.0) * (2.0 * size + 1.0) - tie_term / 2.0) / 24.0)
     z = F.try_divide(w_plus - size * (size + 1.0) / 4.0, spread)
     exact = F.col("n") <= exact_pairs
-    tested = full.select(*by, "n", w_plus.alias("w_plus"), z.alias("z"), exact.alias("exact"), F.when(exact & (F.col("n") > 0),
-                         _exact_tail(F.col("_ranks"), F.col("_doubled").cast("bigint"))).alias("_p"))
+    exact_tail = F.pandas_udf(_exact_tail, "double")
+    counted = exact & (F.col("n") > 0)
+    doubled = F.coalesce(F.when(counted, F.col("_doubled").cast("bigint")), F.lit(0).cast("bigint"))
+    tested = full.select(*by, "n", w_plus.alias("w_plus"), z.alias("z"), exact.alias("exact"),
+                         exact_tail(F.when(counted, F.col("_ranks")), doubled).alias("_p"))
     upper_tail = F.pandas_udf(_upper_tail, "double")
     p_value = F.when(F.col("exact"), F.coalesce("_p", F.lit(1.0))).otherwise(upper_tail(F.col("z")))
     return tested.select(*by, "n", "w_plus", "z", p_value.alias("p_value"), "exact")

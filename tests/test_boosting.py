@@ -3,6 +3,7 @@
 import itertools
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -156,6 +157,19 @@ def test_signed_ranks_are_exact_for_few_pairs(spark):
         assert got[name].p_value == pytest.approx(p if n else 1.0), name
 
 
+def test_exact_tails_of_many_groups(spark):
+    """Counting takes pairs times rank sum per group; 300 groups of 50 pairs are done in seconds."""
+    rows = spark.range(300 * 50).selectExpr("concat('g', id % 300) AS policy", "if(id % 7 = 0, -1, 1) * (id div 300 + 1) AS diff")
+    begin = time.perf_counter()
+    found = policy.signed_rank_test(rows).collect()
+    assert time.perf_counter() - begin < 30
+    assert len(found) == 300 and all(r.n == 50 and r.exact for r in found)
+    ways = [1] + [0] * 1275
+    for rank in range(1, 51):
+        ways = [w + (ways[s - rank] if s >= rank else 0) for s, w in enumerate(ways)]
+    assert all(r.p_value == sum(ways[int(r.w_plus):]) / 2 ** 50 for r in found)
+
+
 def test_exact_and_approximate_tails_meet(spark):
     rng = random.Random(8)
     frame = spark.createDataFrame([("p", rng.randint(-80, 100)) for _ in range(50)], "policy string, diff long")
