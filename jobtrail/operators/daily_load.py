@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from jobtrail.operators.checkpoints import spread
 from jobtrail.operators.load import STATE_SCANS, event_deltas, load_at_arrival
 from jobtrail.operators.scan import key_scan
 
@@ -23,6 +24,18 @@ def no_carry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CARRY)
 
 
+def deal_spans(jobs: DataFrame, folder: str, step_us: int) -> DataFrame:
+    """Write what the load needs of the jobs once, a folder per span of ``step_us``; a span found by ``start`` reads only its own.
+
+    Jobs without an arrival are in no span. A span's rows lie in as many files as there are cores.
+    """
+    needed = [c for c in ("job_id", "arrival_us", "runtime_us", "gpu_demand", "num_cpu") if c in jobs.columns]
+    start = (F.floor(F.col("arrival_us") / F.lit(step_us)) * F.lit(step_us)).cast("bigint")
+    dealt = spread(jobs.select(*needed).where(F.col("arrival_us").isNotNull()), "job_id").withColumn("start", start)
+    dealt.write.partitionBy("start").parquet(folder)
+    return jobs.sparkSession.read.schema(dealt.schema).parquet(folder)
+
+
 def _summed(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("t").agg(*[F.sum(c).alias(c) for c in DELTAS])
 

@@ -110,3 +110,13 @@ def test_spans_may_be_repeated_empty_or_refused(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
     with pytest.raises(ValueError, match="do not arrive"):
         daily_load.append_span(jobs, str(tmp_path), 0, 100)
+
+
+def test_a_span_reads_its_own_files(spark, tmp_path):
+    jobs = trace(spark).unionByName(trace(spark, 3).withColumn("arrival_us", F.lit(None).cast("long")))
+    table = daily_load.deal_spans(jobs.coalesce(1), str(tmp_path / "jobs"), 100)
+    span = table.where(F.col("start") == 100)
+    files = [r[0] for r in span.select(F.input_file_name()).distinct().collect()]
+    assert len(files) == spark.sparkContext.defaultParallelism and all("start=100/" in f for f in files)
+    want = sorted(r.job_id for r in jobs.where("arrival_us BETWEEN 100 AND 199").collect())
+    assert sorted(r.job_id for r in span.collect()) == want and table.count() == 400
