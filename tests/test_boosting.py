@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import functions as F
 
 from jobtrail.operators import boosting, features, ml, policy
+from jobtrail.plans import catalog
 
 
 def rows_of(spark, n=600, seed=3):
@@ -110,6 +111,12 @@ CODED = [(0, "a", 10.0, "train"), (1, "a", 30.0, "train"), (2, "b", 7.0, "train"
          (5, None, 5.0, "train"), (6, None, 6.0, "test"), (7, "b", None, "train"), (8, "b", 2.0, None)]
 
 
+@pytest.mark.parametrize("mode", ["numeric_only", "with_categorical_ordered"])
+def test_learners_get_as_many_parts_as_cores(spark, small, mode):
+    inputs = catalog._inputs(spark, small, mode)
+    assert inputs.assembled.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_target_codes(spark):
     frame = spark.createDataFrame([(*r, 1.0) for r in CODED], "job_id long, user string, label double, split string, _sum double")
     got = {r.job_id: r.user_code for r in features.target_codes(frame, ["user"], smoothing=2.0).collect()}
