@@ -6,11 +6,13 @@ some thousand vectors and, for each of ``PROJECTIONS`` random directions, the
 array of its vectors sorted by projection. A query opens a window around its
 own projection in every array and widens all windows step by step (virtual
 rehashing with a growing radius). A vector's collisions are the windows that it
-is in; those that exceed the threshold are verified by their exact inner
-product. A query stops widening when enough vectors have been verified that are
+is in; those that exceed the threshold are verified by their inner product, in
+single precision first and, as far as its error leaves them among the nearest,
+exactly in double. A query stops widening when enough vectors have been verified that are
 nearer than its radius, or when all have been.
 
-Every vector is indexed and every query meets every part, in blocks of queries.
+Every vector is indexed and every query meets every part, in blocks of queries. The
+work therefore grows as queries times vectors; memory is bounded by a part and a block.
 
 Defined results: vectors null, empty, zero, or with a null or non-finite
 component take no part, nor do rows without an id; of rows with one id the
@@ -72,39 +74,46 @@ def search_part(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
     radii = [FIRST_RADIUS]
     while radii[-1] < 2.0:
         radii.append(radii[-1] * GROWTH)
-    low = np.empty((len(radii), PROJECTIONS, len(queries)), dtype=np.int32)
-    high = np.empty_like(low)
+    # Unsigned places wrap around below a window's lower border, so one comparison covers both borders.
+    small = np.min_scalar_type(len(ids))
+    place = np.empty(order.shape, dtype=small)
+    np.put_along_axis(place, order, np.arange(len(ids), dtype=small)[None], axis=1)
+    low = np.empty((len(radii), len(queries), PROJECTIONS, 1), dtype=small)
+    width = np.empty_like(low)
     for j in range(PROJECTIONS):
         for r, radius in enumerate(radii):
-            low[r, j] = np.searchsorted(sorted_values[j], at[:, j] - radius, side="left")
-            high[r, j] = np.searchsorted(sorted_values[j], at[:, j] + radius, side="right")
+            first = np.searchsorted(sorted_values[j], at[:, j] - radius, side="left")
+            low[r, :, j, 0] = first
+            width[r, :, j, 0] = np.searchsorted(sorted_values[j], at[:, j] + radius, side="right") - first
+    # Single precision says which vectors can be among the nearest, ``slack`` is twice its error; those are verified in double.
+    coarse, coarse_queries = (vectors / longest).astype(np.float32), (queries / lengths[:, None]).astype(np.float32)
+    slack = 2.0 * (vectors.shape[1] + 4) * 2.0 ** -23
     out_q, out_v, out_s = [], [], []
     for q in range(len(queries)):
-        counts = np.zeros(len(ids), dtype=np.int64)
-        scores = np.empty(0)
+        guess = np.empty(len(ids), dtype=np.float32)
+        known = ids == query_ids[q]
+        own = np.flatnonzero(known)
         chosen = np.empty(0, dtype=np.int64)
-        open_low = open_high = None
         for r, radius in enumerate(radii):
-            a, b = low[r, :, q], high[r, :, q]
-            if open_low is None:
-                pieces = [order[j, a[j]:b[j]] for j in range(PROJECTIONS)]
-            else:
-                pieces = [p for j in range(PROJECTIONS)
-                          for p in (order[j, a[j]:open_low[j]], order[j, open_high[j]:b[j]])]
-            open_low, open_high = a, b
-            counts += np.bincount(np.concatenate(pieces), minlength=len(ids))
-            chosen = np.flatnonzero((counts >= needed) & (ids != query_ids[q]))
-            if len(chosen) < k and r + 1 < len(radii):
+            counts = np.add.reduce((place - low[r, q]) < width[r, q], axis=0, dtype=np.uint8)
+            # Windows only widen, so what was guessed stays chosen.
+            fresh = np.flatnonzero((counts >= needed) & ~known)
+            if len(chosen) + len(fresh) < k and r + 1 < len(radii):
                 continue
-            # A row's products are summed in one order, so equal vectors have equal scores.
-            scores = (vectors[chosen] * queries[q]).sum(axis=1)
-            nearest = 2.0 - 2.0 * scores / (lengths[q] * longest)
-            if np.count_nonzero(nearest <= radius * radius) >= ENOUGH * k:
+            guess[fresh] = coarse[fresh] @ coarse_queries[q]
+            known[fresh] = True
+            chosen = np.concatenate([chosen, fresh])
+            if np.count_nonzero(2.0 - 2.0 * guess[chosen] <= radius * radius) >= ENOUGH * k:
                 break
         if len(chosen) < k:
             # Fewer than k within the widest windows: all vectors of the part are verified.
-            chosen = np.flatnonzero(ids != query_ids[q])
-            scores = (vectors[chosen] * queries[q]).sum(axis=1)
+            chosen = np.delete(np.arange(len(ids)), own)
+            guess[chosen] = coarse[chosen] @ coarse_queries[q]
+        if len(chosen) > k:
+            guesses = guess[chosen]
+            chosen = chosen[guesses >= np.partition(guesses, -k)[-k] - slack]
+        # A row's products are summed in one order, so equal vectors have equal scores.
+        scores = (vectors[chosen] * queries[q]).sum(axis=1)
         best = np.lexsort((ids[chosen], -scores))[:k]
         out_q.append(np.full(len(best), query_ids[q]))
         out_v.append(ids[chosen[best]])

@@ -64,3 +64,29 @@ def test_odd_vectors(spark):
     found = by_query(nearest.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect())
     assert found == {0: [(20, 1.0), (1, 0.5)], 20: [(0, 1.0), (1, 0.5)]}
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_few_vectors_are_multiplied_in_double():
+    """Single precision leaves a query little more than ``k`` vectors to verify in double, and the same rows come out."""
+    class Watched(np.ndarray):
+        rows = 0
+
+        def __mul__(self, other):
+            Watched.rows += len(self) if self.ndim == 2 else 0
+            return np.asarray(self) * np.asarray(other)
+
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(2000, 32)) / np.sqrt(32) * rng.uniform(0.5, 1.0, size=(2000, 1))
+    vectors[10:40] = vectors[10]
+    ids, asked = np.arange(2000), np.arange(0, 2000, 20)
+    longest = float(np.sqrt((vectors * vectors).sum(axis=1)).max())
+    query_ids, vector_ids, scores = nearest.search_part(ids, vectors.view(Watched), asked, vectors[asked], 20, longest)
+    # The squares of all rows count once.
+    assert Watched.rows <= len(ids) + len(asked) * 60
+    hit = 0
+    for q in asked:
+        want, mine = brute(ids, vectors, (q, vectors[q]), 20), query_ids == q
+        found = list(zip(vector_ids[mine].tolist(), scores[mine].tolist()))
+        assert all(s == float((vectors[v] * vectors[q]).sum()) for v, s in found)
+        hit += len(set(found) & set(want))
+    assert hit >= 0.95 * 20 * len(asked)
