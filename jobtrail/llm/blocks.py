@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobtrail.llm.shared import shuffle_parts
+from jobtrail.llm.shared import releasing, releasing_group, shuffle_parts
 
 BLOCK = "_block"
 SUMMARY = -1
@@ -68,7 +68,7 @@ def pack(rows: DataFrame, key: Column, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({BLOCK: pa.array([b], pa.int32()),
                                                   "rows": pa.array([to_bytes(table.slice(low, high - low))], pa.binary())})
 
-    return dealt.mapInArrow(pack_batch, f"{BLOCK} int, rows binary").repartition(n, BLOCK)
+    return dealt.mapInArrow(releasing(pack_batch), f"{BLOCK} int, rows binary").repartition(n, BLOCK)
 
 
 def by_bucket(words: set[bytes] | Sequence[bytes], buckets: int) -> dict[int, Words]:
@@ -128,19 +128,19 @@ def answer_words(packed: DataFrame, count_words: Callable[[pa.Table], tuple[Sequ
         return pa.table({BLOCK: pa.array(blocks, pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()),
                          "answers": pa.array(out, pa.binary())})
 
-    sent = packed.groupBy(BLOCK).applyInArrow(send, f"{BLOCK} int, bucket int, words binary, numbers binary")
-    return sent.groupBy("bucket").applyInArrow(reply, f"{BLOCK} int, bucket int, answers binary")
+    sent = packed.groupBy(BLOCK).applyInArrow(releasing_group(send), f"{BLOCK} int, bucket int, words binary, numbers binary")
+    return sent.groupBy("bucket").applyInArrow(releasing_group(reply), f"{BLOCK} int, bucket int, answers binary")
 
 
-def read_answers(words: Sequence[bytes], table: pa.Table, buckets: int, dtype: str) -> dict[bytes, np.ndarray]:
-    """Word -> its answer, for the block whose answers are in ``table``."""
-    sent, out = by_bucket(words, buckets), {}
-    for bucket, packed in zip(table.column("bucket").to_pylist(), table.column("answers").to_pylist()):
-        names, data = sent[bucket], unsqueeze(packed)
-        ends = np.cumsum(np.frombuffer(data, "<u4", len(names)))
-        answers = np.frombuffer(data, dtype, offset=4 * len(names))
-        out.update(zip(names, np.split(answers, ends[:-1])))
-    return out
+def read_answers(words: Sequence[bytes], table: pa.Table, buckets: int, dtype: str) -> Iterator[tuple[bytes, list[int]]]:
+    """Each word and its answer, for the block whose answers are in ``table``; one bucket's at a time are in memory."""
+    sent = by_bucket(words, buckets)
+    for bucket, packed in zip(table.column("bucket").to_pylist(), table.column("answers")):
+        names, data = sent.pop(bucket), unsqueeze(packed.as_py())
+        ends = np.cumsum(np.frombuffer(data, "<u4", len(names))).tolist()
+        answers = np.frombuffer(data, dtype, offset=4 * len(names)).tolist()
+        for word, low, high in zip(names, [0, *ends], ends):
+            yield word, answers[low:high]
 
 
 def read_numbers(words: Sequence[bytes], table: pa.Table, buckets: int) -> dict[bytes, int]:
@@ -159,4 +159,4 @@ def join_answers(packed: DataFrame, answers: DataFrame, finish: Callable[[pa.Tab
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         return finish(from_bytes(left.column("rows").to_pylist()), right)
 
-    return packed.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(both, schema)
+    return packed.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(releasing_group(both), schema)

@@ -98,8 +98,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
             piece |= {int(i): p for i, p in json.loads(listed or b"{}").items()}
         decimal = {i: str(i) for i in piece}
         known = {}
-        for word, ids in ids_of.items():
-            ids = ids.tolist()
+        for word, ids in ids_of:
             if ids:
                 known[word.decode()] = (" ".join([decimal[i] for i in ids]), " ".join([piece[i] for i in ids]), len(ids))
         counts, id_sums, text_sums = [], [], []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtrail.llm import crf
-from jobtrail.llm.shared import hex_unit
+from jobtrail.llm.shared import hex_unit, releasing
 
 UNKNOWN = "und"
 # Documented bound of the labelled sample: whole texts over all languages.
@@ -58,7 +58,7 @@ def learning_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, seed: int = 3, i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.string())],
                                              names=["lang", "identity", "run"])
 
-    rows = texts_.mapInArrow(cut, texts_.select("lang", "identity").schema.add("run", "string")).collect()
+    rows = texts_.mapInArrow(releasing(cut), texts_.select("lang", "identity").schema.add("run", "string")).collect()
     return [(row["lang"], row["run"]) for row in sorted(rows, key=lambda r: (r["lang"], r["identity"], r["run"])) if row["run"]]
 
 
@@ -89,7 +89,7 @@ def with_language(docs: DataFrame, model: crf.Crf | None, text_column: str = "te
                                              names=[*batch.schema.names[:-1], lang_column, score_column])
 
     schema = kept.withColumn(lang_column, F.lit("")).withColumn(score_column, F.lit(0.0)).schema
-    return kept.withColumn("_text", F.col(text_column)).mapInArrow(label, schema)
+    return kept.withColumn("_text", F.col(text_column)).mapInArrow(releasing(label), schema)
 
 
 def predict(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text",

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtrail.llm.components import components
-from jobtrail.llm.shared import join_facts, join_places, places_of, written
+from jobtrail.llm.shared import join_facts, join_places, places_of, releasing, written
 
 BANDS, ROWS = 42, 6
 MINIMA = 256
@@ -156,7 +156,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_key", "bands", "sig"])
         _hashes.clear()
 
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig array<long>")
+    return docs.mapInArrow(releasing(make), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -169,7 +169,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     # The same plan at every size: the texts are shuffled once, the ids are not sent to all.
     chosen = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    return chosen.select("doc_id", "text").mapInArrow(sets, "doc_id long, set binary")
+    return chosen.select("doc_id", "text").mapInArrow(releasing(sets), "doc_id long, set binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(releasing(check), "a long, b long")
 
 
 def _star_pairs(buckets: DataFrame, signatures: DataFrame, least: float) -> DataFrame:

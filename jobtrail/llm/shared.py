@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,6 +42,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on, and what they keep adds to later stages' memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+              ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` for ``mapInArrow``; what it has freed at its task's end goes back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
+def releasing_group(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``function`` for ``applyInArrow`` of one or two groups; for groups of megabytes, as each call takes milliseconds."""
+    if len(inspect.signature(function).parameters) == 1:
+        def run(table: pa.Table) -> pa.Table:
+            try:
+                return function(table)
+            finally:
+                release()
+    else:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return function(left, right)
+            finally:
+                release()
+    return run
+
+
 def place_of(spread: str) -> Column:
     """The place of a row within its key."""
     return F.pmod(F.xxhash64(spread), F.lit(PLACES)).cast("int")
