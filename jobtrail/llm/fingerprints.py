@@ -44,14 +44,14 @@ def _uniforms(hash_: Column) -> tuple[Column, Column]:
     return (low + F.lit(0.5)) / F.lit(HALF), (F.shiftrightunsigned(hash_, 32) + F.lit(0.5)) / F.lit(HALF)
 
 
-def sample_of(term: Column, weight: Column, r: Column, log_c: Column, beta: Column) -> Column:
-    """The term's value in the upper bits, a hash of term and rounded weight in the lower ones."""
-    steps = F.floor(F.log(weight.cast("double")) / r + beta)
+def sample_of(term: Column, log_weight: Column, r: Column, log_c: Column, beta: Column) -> Column:
+    """The term's value in the upper bits, a hash of term and rounded weight in the lower ones; null without a weight."""
+    steps = F.floor(log_weight / r + beta)
     log_a = log_c - r * (steps.cast("double") - beta) - r
     # Values lie in (-128, 128); 2**23 steps per unit keep their order.
     upper = F.floor((log_a + F.lit(128.0)) * F.lit(float(1 << 23))).cast("bigint")
     mark = F.xxhash64(term, steps).bitwiseAND(_long(0xFFFFFFFF))
-    return F.when(weight > 0, F.shiftleft(upper, 32).bitwiseOR(mark))
+    return F.when(log_weight.isNotNull(), F.shiftleft(upper, 32).bitwiseOR(mark))
 
 
 def ordered_blocks(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
@@ -77,18 +77,23 @@ def ordered_blocks(docs: DataFrame, id_column: str, text_column: str) -> tuple[D
 
 
 def weighted_terms(texts: DataFrame, row: list[str]) -> DataFrame:
-    """Weights of each row's words in ``text`` (``a``) and ``edited`` (``b``); a row without words has the empty one."""
-    both = texts.select(*row, F.explode(F.array(
-        F.struct(F.col("text").alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b")),
-        F.struct(F.col("edited").alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("s"))
-    words = both.select(*row, "s.a", "s.b", F.explode(F.split(ascii_lower(F.col("s.t")), GAPS)).alias("word"))
-    return words.groupBy(*row, "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    """Weights of each row's words in ``text`` (``a``) and its edited form (``b``) by the words' hashes; a row without words has null."""
+    # Letters are lowered before the texts are put together, those of ``text`` once for both.
+    lowered = texts.select(*row, ascii_lower(F.col("text")).alias("_text"), ascii_lower(F.col("head")).alias("_head"), "kept")
+    both = lowered.select(*row, F.explode(F.array(
+        F.struct(F.col("_text").alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b")),
+        F.struct(F.concat(F.substr("_text", F.lit(1), F.col("kept")), "_head").alias("t"),
+                 F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("s"))
+    words = both.select(*row, "s.a", "s.b", F.explode(F.split("s.t", GAPS)).alias("word"))
+    terms = words.select(*row, "a", "b", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+    return terms.groupBy(*row, "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def draw_samples(terms: DataFrame, row: list[str], samples: int) -> DataFrame:
     """``samples`` of each row's two texts, null for a text without words."""
-    counted = terms.select(*row, F.xxhash64("word").alias("term"),
-                           F.when(F.col("word") != "", F.col("a")).alias("a"), F.when(F.col("word") != "", F.col("b")).alias("b"))
+    # The logarithm of a weight once per term, not once per sample; that of no weight is null.
+    logs = [F.when(F.col("term").isNotNull() & (F.col(c) > 0), F.log(F.col(c).cast("double"))).alias(c) for c in ("a", "b")]
+    counted = terms.select(*row, "term", *logs)
     seeded = counted.withColumn("k", F.explode(F.array([F.lit(i) for i in range(samples)]))) \
         .withColumn("h1", F.xxhash64("term", "k")).withColumn("h2", F.xxhash64("h1", F.lit(1)))
     u1, u2 = _uniforms(F.col("h1"))
@@ -124,8 +129,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_column: str
     """
     placed, after = ordered_blocks(docs, id_column, text_column)
     half = F.floor(F.length("text") / F.lit(2)).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
-    texts = placed.withColumn("edited", edited)
+    texts = placed.withColumn("kept", F.length("text") - half).withColumn("head", F.substr("next_text", F.lit(1), half)) \
+        .withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("kept")), "head"))
     row = ["block", "place"]
     drawn = draw_samples(weighted_terms(texts, row), row, samples)
     facts = texts.select(*row, F.when(F.col("key") > _long(-NO_ID), F.col("key")).alias("doc_id"),

@@ -93,3 +93,16 @@ def test_odd_rows(spark):
 def test_main_path_is_native(spark):
     plan = queries.op2_fingerprints(spark, SMALL)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_logarithms_per_term(spark):
+    """A sample costs the three logarithms of its hashes; those of the weights are taken before terms meet the seeds."""
+    terms = spark.createDataFrame([(1, 1, 7, 2, 1), (1, 1, 8, 0, 3), (1, 2, None, 1, 1)],
+                                  "block long, place int, term long, a long, b long")
+    drawn = fingerprints.draw_samples(terms, ["block", "place"], 4)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "cast(a#" not in above and below.count("LOG(cast(") + below.count("ln(cast(") == 2
+    found = {r.place: r.samples for r in drawn.collect()}
+    assert all(s.a is not None and s.b is not None for s in found[1]) and len(found[1]) == 4
+    assert all(s.a is None and s.b is None for s in found[2])
