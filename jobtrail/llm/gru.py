@@ -52,7 +52,8 @@ class Gru:
 
     def __post_init__(self) -> None:
         self.class_of = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        self.class_of = np.concatenate([self.class_of, [len(self.starts) - 1]])
+        # Few classes: small integers are sorted by radix.
+        self.class_of = np.concatenate([self.class_of, [len(self.starts) - 1]]).astype(np.min_scalar_type(len(self.starts)))
 
     @property
     def words(self) -> int:
@@ -89,23 +90,26 @@ class Gru:
 
 
 def _step(model: Gru, words: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step for all rows: the new state and what backpropagation needs."""
-    h = state.shape[1]
-    fed = model.inputs.take(words, axis=0)
-    from_state = state @ model.recurrent
-    gates = fed[:, :2 * h] + from_state[:, :2 * h]
+    """One step for all columns of the state (hidden x text): the new state and what backpropagation needs.
+
+    A gate's numbers lie side by side in this layout, so every operation runs through one piece of memory.
+    """
+    h = state.shape[0]
+    fed = model.inputs.take(words, axis=0).T
+    from_state = model.recurrent.T @ state
+    gates = from_state[:2 * h] + fed[:2 * h]
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
     gates += 1.0
     np.reciprocal(gates, out=gates)
-    keep, reset = gates[:, :h], gates[:, h:]
-    new = reset * from_state[:, 2 * h:]
-    new += fed[:, 2 * h:]
+    keep, reset = gates[:h], gates[h:]
+    new = reset * from_state[2 * h:]
+    new += fed[2 * h:]
     np.tanh(new, out=new)
     out = state - new
     out *= keep
     out += new
-    return out, keep, reset, new, from_state[:, 2 * h:]
+    return out, keep, reset, new, from_state[2 * h:]
 
 
 def _log_softmax_of(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +130,16 @@ def _score_of(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def output_scores(model: Gru, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each target's class, and of the word in it unless it is another word."""
+    """Natural log-probability of each target's class, and of the word in it unless it is another word; a state is a column."""
     cls = model.class_of[targets]
-    scores = _score_of(model.class_out @ states.T + model.class_bias[:, None], cls)
+    scores = _score_of(model.class_out @ states + model.class_bias[:, None], cls)
     order = np.argsort(cls, kind="stable")
     borders = np.searchsorted(cls[order], np.arange(len(model.starts)))
     for c in range(len(model.starts) - 1):
         rows = order[borders[c]:borders[c + 1]]
         if len(rows):
             a, b = model.starts[c], model.starts[c + 1]
-            logits = model.word_out[a:b] @ states.take(rows, axis=0).T + model.word_bias[a:b, None]
+            logits = model.word_out[a:b] @ states.take(rows, axis=1) + model.word_bias[a:b, None]
             scores[rows] += _score_of(logits, targets[rows] - a)
     return scores
 
@@ -164,17 +168,17 @@ def score_texts(model: Gru, texts: Sequence[np.ndarray], together: int = 1 << 22
         for column, i in enumerate(group):
             padded[:len(texts[i]), column] = texts[i]
         running = np.searchsorted(-size, -np.arange(steps), side="left")
-        state = np.zeros((n, hidden), dtype=np.float32)
+        state = np.zeros((hidden, n), dtype=np.float32)
         states, waiting, first = [], 0, 0
         for t in range(steps):
             r = running[t]
             before = padded[t - 1, :r] if t else np.full(r, model.words + 1)
-            state = _step(model, before, state[:r])[0]
+            state = _step(model, before, state[:, :r])[0]
             states.append(state)
             waiting += r
             if waiting >= flush or t + 1 == steps:
                 targets = [padded[u, :running[u]] for u in range(first, t + 1)]
-                scores = output_scores(model, np.concatenate(states), np.concatenate(targets))
+                scores = output_scores(model, np.concatenate(states, axis=1), np.concatenate(targets))
                 at = np.concatenate([np.arange(k) for k in running[first:t + 1]])
                 out[group] += np.bincount(at, scores, n)
                 states, waiting, first = [], 0, t + 1
@@ -202,7 +206,7 @@ class Trainer:
         rows = np.full(streams * length, -1, dtype=np.int64)
         rows[:len(words)] = words
         rows = rows.reshape(streams, length)
-        state = np.zeros((streams, self.model.recurrent.shape[0]), dtype=np.float32)
+        state = np.zeros((self.model.recurrent.shape[0], streams), dtype=np.float32)
         before = np.full(streams, END)
         for low in range(0, length, window):
             targets = rows[:, low:low + window].T
@@ -215,72 +219,77 @@ class Trainer:
         model = self.model
         steps, n = targets.shape
         inputs = np.where(inputs < 0, 0, inputs)
-        kept, states = [], np.empty((steps, n, state.shape[1]), dtype=np.float32)
+        kept, states = [], np.empty((len(state), steps, n), dtype=np.float32)
         for t in range(steps):
-            state = np.where(fresh[t][:, None], np.float32(0), state)
+            state = np.where(fresh[t], np.float32(0), state)
             after, *rest = _step(model, inputs[t], state)
             kept.append((state, *rest))
-            state = states[t] = after
+            state = states[:, t] = after
         live = np.flatnonzero(targets.ravel() >= 0)
         if not len(live):
             return state
-        grad = np.zeros((steps * n, states.shape[2]), dtype=np.float32)
-        grad[live] = self._output(states.reshape(steps * n, -1)[live], targets.ravel()[live])
-        self._through_time(inputs, fresh, kept, grad.reshape(steps, n, -1), len(live))
+        flat = states.reshape(len(state), steps * n)
+        if len(live) == steps * n:
+            grad = self._output(flat, targets.ravel())
+        else:
+            grad = np.zeros_like(flat)
+            grad[:, live] = self._output(flat.take(live, axis=1), targets.ravel()[live])
+        self._through_time(inputs, fresh, kept, grad.reshape(states.shape))
         return state
 
     def _output(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Learn the output layers; the loss's gradient with respect to the states."""
+        """Learn the output layers; the loss's gradient with respect to the states, a column each."""
         model = self.model
         # Gradients are of the loss per stream and window, not per word.
         scale = np.float32(1.0 / STREAMS)
         cls = model.class_of[targets]
-        score, p = _log_softmax_of(model.class_out @ states.T + model.class_bias[:, None], cls)
+        score, p = _log_softmax_of(model.class_out @ states + model.class_bias[:, None], cls)
         self.loss -= float(score.sum())
         p[cls, np.arange(len(cls))] -= 1.0
-        grad = p.T @ model.class_out
-        class_grad, bias_grad = p @ states, p.sum(axis=1)
+        grad = model.class_out.T @ p
+        class_grad, bias_grad = p @ states.T, p.sum(axis=1)
         order = np.argsort(cls, kind="stable")
         borders = np.searchsorted(cls[order], np.arange(len(model.starts)))
         for c in range(len(model.starts) - 1):
             rows = order[borders[c]:borders[c + 1]]
             if len(rows):
                 at = slice(model.starts[c], model.starts[c + 1])
-                mine = states[rows]
+                mine = states.take(rows, axis=1)
                 inside = targets[rows] - model.starts[c]
-                score, q = _log_softmax_of(model.word_out[at] @ mine.T + model.word_bias[at, None], inside)
+                score, q = _log_softmax_of(model.word_out[at] @ mine + model.word_bias[at, None], inside)
                 self.loss -= float(score.sum())
                 q[inside, np.arange(len(rows))] -= 1.0
-                grad[rows] += q.T @ model.word_out[at]
-                self._move("word_out", q @ mine * scale, at)
+                grad[:, rows] += model.word_out[at].T @ q
+                self._move("word_out", q @ mine.T * scale, at)
                 self._move("word_bias", q.sum(axis=1) * scale, at)
         self._move("class_out", class_grad * scale)
         self._move("class_bias", bias_grad * scale)
         self.words += len(targets)
         return grad
 
-    def _through_time(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, grad: np.ndarray, words: int) -> None:
+    def _through_time(self, inputs: np.ndarray, fresh: np.ndarray, kept: list, grad: np.ndarray) -> None:
         model = self.model
-        steps, n, h = grad.shape
+        h, steps, n = grad.shape
         scale = np.float32(1.0 / STREAMS)
         fed = np.empty((steps, n, 3 * h), dtype=np.float32)
         recurrent = np.zeros_like(model.recurrent)
-        back = np.zeros((n, h), dtype=np.float32)
+        back = np.zeros((h, n), dtype=np.float32)
+        through = np.empty((3 * h, n), dtype=np.float32)
         for t in range(steps - 1, -1, -1):
             previous, keep, reset, new, from_state = kept[t]
-            d = grad[t] + back
+            d = grad[:, t] + back
             d_new = d * (1 - keep) * (1 - new * new)
-            d_keep = d * (previous - new) * keep * (1 - keep)
-            d_reset = d_new * from_state * reset * (1 - reset)
-            fed[t, :, :h], fed[t, :, h:2 * h], fed[t, :, 2 * h:] = d_keep, d_reset, d_new
-            through = fed[t].copy()
-            through[:, 2 * h:] *= reset
-            recurrent += previous.T @ through
-            back = d * keep + through @ model.recurrent.T
-            back[fresh[t]] = 0.0
+            through[:h] = d * (previous - new) * keep * (1 - keep)
+            through[h:2 * h] = d_new * from_state * reset * (1 - reset)
+            through[2 * h:] = d_new
+            fed[t] = through.T
+            through[2 * h:] *= reset
+            recurrent += previous @ through.T
+            back = d * keep + model.recurrent @ through
+            back[:, fresh[t]] = 0.0
         np.clip(recurrent, -CLIP * STREAMS, CLIP * STREAMS, out=recurrent)
         flat_inputs, flat = inputs.ravel(), fed.reshape(steps * n, -1)
-        order = np.argsort(flat_inputs, kind="stable")
+        order = np.argsort(flat_inputs.astype(np.min_scalar_type(len(model.inputs))), kind="stable")
         seen, first = np.unique(flat_inputs[order], return_index=True)
         self._move("inputs", np.add.reduceat(flat[order], first, axis=0) * scale, seen)
         self._move("recurrent", recurrent * scale)

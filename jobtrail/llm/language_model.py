@@ -57,7 +57,8 @@ class _Numbers(dict):
 
 def _numbered(words: list[bytes], number: _Numbers) -> np.ndarray:
     out = np.empty(len(words) + 1, dtype=np.int32)
-    out[:-1] = np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words))
+    get, other = number.get, number.other
+    out[:-1] = [get(word, other) for word in words]
     out[-1] = gru.END
     return out
 

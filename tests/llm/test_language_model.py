@@ -134,3 +134,11 @@ def test_no_training_documents(spark):
     from pyspark.sql import functions as F
     rows = language_model.score_documents(odd_frame(spark), F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
+
+
+def test_small_class_numbers():
+    """Classes are numbered by small integers, which are sorted by radix, and gates lie side by side in memory."""
+    model = gru.Gru.untrained(np.arange(50, 0, -1).astype(float), 7)
+    assert model.class_of.dtype.itemsize == 1
+    state, keep, reset, new, _ = gru._step(model, np.array([1, 2, 3]), np.zeros((gru.HIDDEN, 3), np.float32))
+    assert all(x.shape == (gru.HIDDEN, 3) and x.flags.c_contiguous for x in (state, keep, reset, new))
