@@ -29,7 +29,7 @@ def predictions(model, rows):
     return [r.prediction for r in model.transform(rows).orderBy("job_id").select("prediction").collect()]
 
 
-@pytest.mark.parametrize("query, kind", [(catalog.gbt_metrics, "gbt")])
+@pytest.mark.parametrize("query, kind", [(catalog.gbt_metrics, "gbt"), (catalog.gbt_l1_metrics, "gbt_l1")])
 def test_queries_fit_the_full_size(monkeypatch, query, kind):
     seen = []
     monkeypatch.setattr(catalog, "_inputs", lambda *_: SimpleNamespace(train=None, test=None, categories=7))
